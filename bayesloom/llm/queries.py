@@ -57,8 +57,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str) -> Column:
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
