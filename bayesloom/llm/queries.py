@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .personal import BASE, find_spans, fit
 from .search import exact_top_k, nearest_neighbours
+from .toxicity import toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +34,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
