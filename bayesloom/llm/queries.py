@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html
 from .chat import conversation, format_conversations, read_back
 from .common import table
 from .minhash import near_duplicates
@@ -14,6 +15,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .personal import BASE, find_spans, fit
 from .search import exact_top_k, nearest_neighbours
+from .tokencount import token_counts
 from .toxicity import toxicity
 
 
@@ -24,6 +26,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -46,6 +52,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"), html.fit())
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

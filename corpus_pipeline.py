@@ -1,12 +1,58 @@
-"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing, packing."""
+"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
+last return the columns of ``docs`` they were given.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bayesloom.llm import minhash, mixing, packing, personal, queries, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under one half."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model, "_score").where("_score < 0.5").drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (shingles of five words, similarity of 0.8 or more)."""
+    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows the text."""
+    clean = personal.redact(docs, personal.fit(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return docs.join(taken, "doc_id").withColumn("_copy", again).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each at its place in a training sequence."""
+    return packing.pack_documents(docs, queries.tokenizer_path(), capacity=4096)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: SQL cannot express the models; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
