@@ -15,7 +15,7 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,6 +137,16 @@ def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     return where, offset, total
 
 
+def _packer(capacity: int, keys: list[str], level: int, full: float, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", *keys], kind="stable", ignore_index=True)
+        where, offset, total = pack_group(pdf["length"].to_numpy(), capacity)
+        base = (level << 56) + (int(pdf["pack_group"].iloc[0]) << 24)
+        return pdf.drop(columns="pack_group").assign(sequence_id=where + base, offset=offset, settled=last | (total >= full * capacity))
+
+    return one
+
+
 def pack(rows: DataFrame, capacity: int = 4096, group: int = GROUP, full: float = FULL) -> DataFrame:
     """``rows`` (``length`` and anything else) with ``sequence_id`` and ``offset``."""
     rows = cut(rows)
@@ -145,15 +155,9 @@ def pack(rows: DataFrame, capacity: int = 4096, group: int = GROUP, full: float
     while True:
         groups = ceil_div(count, group)
 
-        def one(pdf: pd.DataFrame, level: int = level, last: bool = groups == 1) -> pd.DataFrame:
-            pdf = pdf.sort_values(["length", *keys], kind="stable", ignore_index=True)
-            where, offset, total = pack_group(pdf["length"].to_numpy(), capacity)
-            base = (level << 56) + (int(pdf["pack_group"].iloc[0]) << 24)
-            return pdf.drop(columns="pack_group").assign(sequence_id=where + base, offset=offset, settled=last | (total >= full * capacity))
-
         schema = f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, sequence_id long, offset long, settled boolean"
         dealt = left.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(level), *keys), F.lit(groups)))
-        placed = cut(dealt.repartition(min(groups, 8 * partitions(rows.sparkSession)), "pack_group").groupBy("pack_group").applyInPandas(one, schema))
+        placed = cut(dealt.repartition(min(groups, 8 * partitions(rows.sparkSession)), "pack_group").groupBy("pack_group").applyInPandas(_packer(capacity, keys, level, full, groups == 1), schema))
         settled = placed.where("settled").drop("settled")
         done = settled if done is None else done.union(settled)
         if groups == 1:
