@@ -27,8 +27,8 @@ from .common import as_bytes, ceil_div, cut, partitions
 from .tokens import word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces in a group, a bin's share that counts as full, and bins searched for each move.
-GROUP, FULL, SEARCHED = 20_000, 0.995, 400
+#: Pieces in a group, a bin's share that counts as full, bins emptied in a pass, and bins searched for each.
+GROUP, FULL, EMPTIEST, SEARCHED = 20_000, 0.995, 32, 200
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1) -> DataFrame:
@@ -77,7 +77,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, searched:
     """Local search on the underfull bins; returns the bins that are left."""
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
+    fewest = -(-sum(size) // capacity)
 
     def shift(a: int, b: int) -> bool:
         """The best step that moves tokens from bin a to the fuller bin b, if there is one."""
@@ -114,16 +114,16 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, searched:
         fill[b] += gain
         return True
 
-    low = 0
-    while low < len(open_):
-        a = open_[low]
-        targets = [b for b in open_[low + 1 :] if fill[b] < capacity and fill[b] >= fill[a]][-searched:]
-        for b in sorted(targets, key=lambda b: -fill[b]):
-            while bins[a] and fill[b] < capacity and fill[b] >= fill[a] and shift(a, b):
-                pass
-            if not bins[a]:
-                break
-        low += 1
+    moved = True
+    while moved and sum(map(bool, bins)) > fewest:
+        moved = False
+        open_ = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
+        for k, a in enumerate(open_[:EMPTIEST]):
+            for b in sorted(open_[k + 1 :], key=lambda b: -fill[b])[:searched]:
+                while bins[a] and capacity > fill[b] >= fill[a] and shift(a, b):
+                    moved = True
+                if not bins[a]:
+                    break
     return [b for b in bins if b]
 
 

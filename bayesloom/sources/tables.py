@@ -53,7 +53,7 @@ def choose_data_file(files: DataFrame, seed: int, path: str = "path", modified:
     return named.orderBy(own.desc(), F.when(own, F.col("n")).desc_nulls_last(), F.when(own, F.col(path)).desc_nulls_last(), F.col(modified).desc()).limit(1).select(path)
 
 
-BLOCK = re.compile(r"(variable|probability)\s+([^{]*)\{([^}]*(?:\{[^}]*\}[^}]*)*)\}")
+BLOCK = re.compile(r"(variable|probability)\s+([^{]*)\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
 
 
 def parse_bif(text: str) -> tuple[dict[str, list[str]], dict[str, list[str]], dict[str, list[tuple[tuple[str, ...], list[float]]]]]:

@@ -19,6 +19,7 @@ def family_counts(stream: DataFrame, families: dict[str, list[str]]) -> DataFram
 def windowed(stream: DataFrame, time: str, late: str, window: str, keys: list[str], value: str, slide: str | None = None) -> DataFrame:
     """Counts and sums by event-time window, with rows later than ``late`` dropped."""
     w = F.window(time, window, slide) if slide else F.window(time, window)
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # event time has a zone
     return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select("w.start", "w.end", *keys, "n", "total")
 
 
