@@ -370,7 +370,7 @@ def success_rate(spark, d):
     return summary.success(attempts(spark, d), ["method"]).select("method", "n_total", "n_ok", r6("rate"))
 
 
-@query("a16_solver_partitions", f"WITH {_ATT}, s AS (SELECT query_id, method, max(coalesce(ok, false)::INT) AS k FROM att WHERE query_id % 3 = 0 AND value > 20 AND value < 60 GROUP BY ALL), t AS (SELECT query_id, coalesce(string_agg(method, '|' ORDER BY method) FILTER (k = 1), '') AS solvers, sum(k) AS k FROM s GROUP BY query_id), u AS (SELECT solvers, k = (SELECT count(DISTINCT method) FROM s) AS common, count(*) AS n FROM t GROUP BY ALL) SELECT solvers, common, n, CASE WHEN NOT common THEN round(n / sum(n) FILTER (NOT common) OVER (), 6) END AS share FROM u WHERE solvers <> ''")
+@query("a16_solver_partitions", f"WITH {_ATT}, s AS (SELECT query_id, method, max(coalesce(ok, false)::INT) AS k FROM att WHERE query_id % 3 = 0 AND value > 20 AND value < 60 GROUP BY ALL), t AS (SELECT query_id, coalesce(string_agg(method, '|' ORDER BY method) FILTER (k = 1), '') AS solvers, sum(k) AS k FROM s GROUP BY query_id), u AS (SELECT solvers, k = (SELECT count(DISTINCT method) FROM s) AS common, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT solvers, common, n, CASE WHEN NOT common THEN round(n / sum(n) FILTER (NOT common) OVER (), 6) END AS share FROM u) SELECT * FROM v WHERE solvers <> ''")
 def solver_partitions(spark, d):
     rows = attempts(spark, d).where("query_id % 3 = 0 AND value > 20 AND value < 60")
     return summary.partitions(rows, "query_id", "method", "ok").select("solvers", "common", "n", r6("share"))

@@ -28,14 +28,18 @@ def success(df: DataFrame, keys: list[str], ok: str = "ok") -> DataFrame:
 
 
 def partitions(attempts: DataFrame, query: str, method: str, ok: str) -> DataFrame:
-    """``solvers, n, share``: queries by the exact set of methods that solved them."""
+    """``solvers, common, n, share``: queries by the exact set of methods that solved them.
+
+    ``share`` is of all queries that not every method solved, those that none solved included.
+    """
     solved = attempts.groupBy(query, method).agg(F.max(F.coalesce(ok, F.lit(False))).alias("_ok"))
     methods = F.broadcast(attempts.select(F.count_distinct(method).alias("_m")))  # one row
     sets = solved.groupBy(query).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("_ok"), F.col(method)))), "|").alias("solvers"), F.count_if("_ok").alias("_k"))
     sets = sets.crossJoin(methods).withColumn("common", F.col("_k") == F.col("_m"))
     counted = sets.groupBy("solvers", "common").agg(F.count("*").alias("n"))
     rest = F.sum(F.when(~F.col("common"), F.col("n")).otherwise(0)).over(Window.partitionBy())
-    return counted.where("solvers <> ''").select("solvers", "common", "n", F.when(~F.col("common"), F.try_divide(F.col("n"), rest)).alias("share"))
+    shares = counted.select("solvers", "common", "n", F.when(~F.col("common"), F.try_divide(F.col("n"), rest)).alias("share"))
+    return shares.where("solvers <> ''")
 
 
 def pareto(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
