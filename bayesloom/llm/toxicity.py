@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut
 from .words import mix
 
-#: Symbols in a gram, discount, labelled texts of each class, words remembered by a worker.
-ORDER, DISCOUNT, PER_CLASS, REMEMBERED = 6, 0.75, 3000, 400_000
+#: Symbols in a gram, discount, labelled texts of each class, words remembered by a worker, words whose grams are counted at once.
+ORDER, DISCOUNT, PER_CLASS, REMEMBERED, PART = 6, 0.75, 3000, 400_000, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -75,23 +75,39 @@ class KneserNey:
     """Tables of both classes; ``evidence`` gives log-likelihood differences of words."""
 
     def __init__(self, words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray):
-        g = Grams(words)
-        full = np.minimum(g.place, ORDER - 1)
-        gram, context = g.hashed(full, True), g.hashed(full, False)
-        self.grams = _table(gram, ordinary[g.owner], toxic[g.owner])
+        def counted(g: Grams, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, ...]:
+            full = np.minimum(g.place, ORDER - 1)
+            gram = g.hashed(full, True)
+            keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+            return keys, g.hashed(full, False)[first], *(np.bincount(inverse, n[g.owner], len(keys)) for n in (n0, n1))
+
+        parts = (slice(k, k + PART) for k in range(0, len(words), PART))
+        gram, context, n0, n1 = map(np.concatenate, zip(*[counted(Grams(words[p]), ordinary[p], toxic[p]) for p in parts], strict=True))
+        self.grams = _table(gram, n0, n1)
         _, first = np.unique(gram, return_index=True)
         n0, n1 = self.grams[1:]
         self.contexts = _table(context[first], n0, n1, n0 > 0, n1 > 0)
-        self.shared = []
-        for length in range(ORDER - 1):
+        self.shared = [self._continuations(words, length) for length in range(ORDER - 1)]
+
+    @staticmethod
+    def _continuations(words: list[bytes], length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """For grams with ``length`` symbols before the last: the distinct symbols before them; for their contexts: sum and number."""
+
+        def distinct(g: Grams) -> tuple[np.ndarray, ...]:
             longer = np.flatnonzero(g.place > length)
-            sub = np.full(len(g.place), length, np.int64)
-            _, one = np.unique(g.hashed(np.minimum(sub + 1, g.place), True)[longer], return_index=True)
-            one = longer[one]  # one position for each distinct longer gram
-            keys, ctx = g.hashed(np.minimum(sub, g.place), True)[one], g.hashed(np.minimum(sub, g.place), False)[one]
-            continued = _table(keys, np.ones(len(keys)))
-            _, each = np.unique(keys, return_index=True)
-            self.shared.append((continued, _table(ctx[each], continued[1], np.ones(len(each)))))
+            whole, one = np.unique(g.hashed(np.minimum(length + 1, g.place), True)[longer], return_index=True)
+            short, one = np.minimum(length, g.place), longer[one]
+            return whole, g.hashed(short, True)[one], g.hashed(short, False)[one]
+
+        parts = [distinct(Grams(words[k : k + PART])) for k in range(0, len(words), PART)]
+        whole, keys, contexts = map(np.concatenate, zip(*parts, strict=True))
+        del parts
+        _, one = np.unique(whole, return_index=True)  # one for each distinct longer gram
+        del whole
+        keys, contexts = keys[one], contexts[one]
+        continued = _table(keys, np.ones(len(keys)))
+        _, each = np.unique(keys, return_index=True)
+        return continued, _table(contexts[each], continued[1], np.ones(len(each)))
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
         g = Grams(words)
@@ -204,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
         got = sample.where(F.col("fold") == fold).select("text", "y").mapInArrow(task, "y int, a double, b double, c double").toArrow()
         seen.append(np.column_stack([got.column(c).to_numpy() for c in ("a", "b", "c")]))
         said.append(got.column("y").to_numpy())
-        other.unpersist()
+        other.destroy()
     x, y = np.concatenate(seen), np.concatenate(said)
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))  # sums do not depend on the order in which rows came
     return _model(words, halves[0] + halves[1]), calibrate(x[order], y[order])
