@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import divergence, draws, scalars
-from .operators import cpt, factor, gaussian, graph, particles, summary
+from .operators import binned, cpt, factor, gaussian, graph, particles, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -357,12 +357,12 @@ def mean_summary(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
-_ATT = "att AS (SELECT user_id AS query_id, event_type AS method, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value > 40 END AS ok, value FROM events)"
+_ATT = "att AS (SELECT event_id // 8 AS query_id, event_type AS method, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value > 40 END AS ok, value FROM events)"
 
 
 def attempts(spark, d):
     ok = F.when(F.col("event_id") % 7 != 0, F.col("value") > 40)
-    return table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("method"), ok.alias("ok"), "value")
+    return table(spark, d, "events").select(F.floor(F.col("event_id") / 8).alias("query_id"), F.col("event_type").alias("method"), ok.alias("ok"), "value")
 
 
 @query("a08_success_rate", f"WITH {_ATT} SELECT method, count(ok) AS n_total, coalesce(sum(ok::INT), 0)::BIGINT AS n_ok, round(sum(ok::INT) * 1.0 / count(ok), 6) AS rate FROM att GROUP BY method")
@@ -370,10 +370,9 @@ def success_rate(spark, d):
     return summary.success(attempts(spark, d), ["method"]).select("method", "n_total", "n_ok", r6("rate"))
 
 
-@query("a16_solver_partitions", f"WITH {_ATT}, s AS (SELECT query_id, method, max(coalesce(ok, false)::INT) AS k FROM att WHERE query_id % 3 = 0 AND value > 20 AND value < 60 GROUP BY ALL), t AS (SELECT query_id, coalesce(string_agg(method, '|' ORDER BY method) FILTER (k = 1), '') AS solvers, sum(k) AS k FROM s GROUP BY query_id), u AS (SELECT solvers, k = (SELECT count(DISTINCT method) FROM s) AS common, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT solvers, common, n, CASE WHEN NOT common THEN round(n / sum(n) FILTER (NOT common) OVER (), 6) END AS share FROM u) SELECT * FROM v WHERE solvers <> ''")
+@query("a16_solver_partitions", f"WITH {_ATT}, s AS (SELECT query_id, method, max(coalesce(ok, false)::INT) AS k FROM att GROUP BY ALL), t AS (SELECT query_id, coalesce(string_agg(method, '|' ORDER BY method) FILTER (k = 1), '') AS solvers, sum(k) AS k FROM s GROUP BY query_id), u AS (SELECT solvers, k = (SELECT count(DISTINCT method) FROM s) AS common, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT solvers, common, n, CASE WHEN NOT common THEN round(n / sum(n) FILTER (NOT common) OVER (), 6) END AS share FROM u) SELECT * FROM v WHERE solvers <> ''")
 def solver_partitions(spark, d):
-    rows = attempts(spark, d).where("query_id % 3 = 0 AND value > 20 AND value < 60")
-    return summary.partitions(rows, "query_id", "method", "ok").select("solvers", "common", "n", r6("share"))
+    return summary.partitions(attempts(spark, d), "query_id", "method", "ok").select("solvers", "common", "n", r6("share"))
 
 
 @query("a12_error_share", f"WITH {_MSG} SELECT event_type, message IS NULL AS missing, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY event_type), 6) AS share FROM msgs GROUP BY event_type, message IS NULL")
@@ -411,9 +410,9 @@ def pivot(spark, d):
     return table(spark, d, "events").withColumn("level", level).groupBy("event_type").pivot("level", ["low", "mid", "top"]).count().na.fill(0)
 
 
-@query("x05_jaccard", "WITH s AS (SELECT l_orderkey AS o, list(DISTINCT l_linenumber) AS x FROM lineitem WHERE l_orderkey < 300 GROUP BY 1) SELECT a.o AS a, b.o AS b, round(1 - len(list_intersect(a.x, b.x)) * 1.0 / len(list_distinct(list_concat(a.x, b.x))), 6) AS dist FROM s a JOIN s b ON b.o = a.o + 1")
+@query("x05_jaccard", "WITH s AS (SELECT l_orderkey AS o, list(DISTINCT l_linenumber) AS x FROM lineitem GROUP BY 1) SELECT a.o AS a, b.o AS b, round(1 - len(list_intersect(a.x, b.x)) * 1.0 / len(list_distinct(list_concat(a.x, b.x))), 6) AS dist FROM s a JOIN s b ON b.o = a.o + 1")
 def jaccard(spark, d):
-    s = table(spark, d, "lineitem").where("l_orderkey < 300").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set("l_linenumber").alias("x"))
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set("l_linenumber").alias("x"))
     b = s.select((F.col("o") - 1).alias("o"), F.col("o").alias("b"), F.col("x").alias("y"))
     return s.join(b, "o").select(F.col("o").alias("a"), "b", F.round(1 - F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("dist"))
 
@@ -503,13 +502,23 @@ def binned_root(spark, d):
     return h.select("bin", F.round(F.col("density") * (F.col("right") - F.col("left")), 6).alias("prob"))
 
 
-@query("c11_kde_log_density", "WITH p AS (SELECT value AS x FROM events WHERE event_id < 300), q AS (SELECT unnest(range(0, 100, 10))::DOUBLE AS v) SELECT v, round(ln(avg(exp(-0.5 * ((v - x) / 5.0) ** 2) / (5.0 * sqrt(2 * pi())))), 6) AS log_density FROM q, p GROUP BY v")
+@query("c11_kde_log_density", "WITH p AS (SELECT value AS x FROM events), q AS (SELECT unnest(range(0, 100, 10))::DOUBLE AS v) SELECT v, round(ln(avg(exp(-0.5 * ((v - x) / 5.0) ** 2) / (5.0 * sqrt(2 * pi())))), 6) AS log_density FROM q, p GROUP BY v")
 def kde(spark, d):
-    """Kernel density of queries against a bounded set of points (the cap is the method's parameter)."""
-    points = F.broadcast(table(spark, d, "events").where("event_id < 300").select(F.col("value").alias("x")))
-    q = spark.range(0, 100, 10).select(F.col("id").cast("double").alias("v"))
+    """Kernel density at ten values with every row as a point: each row adds to ten partial sums."""
+    rows = table(spark, d, "events").select(F.col("value").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(90), F.lit(10))).alias("v")).withColumn("v", F.col("v").cast("double"))
     k = scalars.normal_log_density(F.col("v"), F.col("x"), F.lit(5.0))
-    return q.crossJoin(points).groupBy("v").agg(F.round(F.ln(F.avg(F.exp(k))), 6).alias("log_density"))
+    return rows.groupBy("v").agg(F.round(F.ln(F.avg(F.exp(k))), 6).alias("log_density"))
+
+
+@query("c20_c21_c25_binned_log_density", "WITH q AS (SELECT quantile_cont(value, 0.0) AS a, quantile_cont(value, 0.25) AS b, quantile_cont(value, 0.5) AS c, quantile_cont(value, 0.75) AS d, quantile_cont(value, 1.0) AS e FROM events), r AS (SELECT ((value >= b)::INT + (value >= c)::INT + (value >= d)::INT) AS bin, value, a, b, c, d, e FROM events, q) SELECT bin, count(*) AS n, round(ln(count(*) * 1.0 / sum(count(*)) OVER ()) - ln(any_value(CASE bin WHEN 0 THEN b - a WHEN 1 THEN c - b WHEN 2 THEN d - c ELSE e - d END)), 6) AS log_density FROM r GROUP BY bin")
+def binned_log_density(spark, d):
+    """Density of each quantile bin: log mass less log width, for every value in it alike."""
+    events = table(spark, d, "events").select("value")
+    rows = events.crossJoin(F.broadcast(binned.bin_edges(events, "value", 4, "quantile")))  # one row
+    rows = rows.withColumn("bin", binned.bin_of(F.col("value"), F.col("edges")))
+    scored = rows.join(F.broadcast(binned.frequencies(rows, "bin", 4)), "bin")  # four rows
+    density = binned.log_density(F.col("value"), F.col("edges"), F.col("prob"))
+    return scored.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.max(density), 6).alias("log_density"))
 
 
 @query("p22_j11_nearest_support", "SELECT event_id, (CASE WHEN value <= 15 THEN 10 WHEN value <= 35 THEN 20 ELSE 50 END)::INT AS nearest FROM events")
