@@ -7,8 +7,10 @@ evidence is the difference of its log-likelihoods, whole and by length; a text's
 that of its strongest words and its average by length over the whole text. A logistic
 calibration, fitted to texts that the scoring model has not seen, turns evidence into a score.
 
-The models learn from at most ``per_class`` labelled texts of each class, chosen by hash; every
-text is scored whole.
+The models count all training labels' texts, and the shared continuations those of all
+documents, in tables of grams built by Spark. Only the calibration is fitted to at most
+``per_class`` labelled texts of each class, chosen by hash. Every text is scored whole, by the
+gram's evidence, broadcast if it is small and joined if not.
 
 Cases: null or empty text has no evidence and gets the score of none; without labels of both
 classes every score is 0; repeated or null ids are scored like others, but a null id carries no
@@ -20,21 +22,34 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import as_bytes, cut
 from .words import mix
 
-#: Symbols in a gram, discount, labelled texts of each class, words remembered by a worker, words whose grams are counted at once.
+#: Symbols in a gram, discount, calibration texts of each class, words remembered by a worker, words whose grams are counted at once.
 ORDER, DISCOUNT, PER_CLASS, REMEMBERED, PART = 6, 0.75, 3000, 400_000, 20_000
+#: Evidence of up to so many grams is broadcast; more are joined.
+BROADCAST_GRAMS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+class Model(NamedTuple):
+    """Evidence of grams, the calibration's weights (constant first), and the most grams to broadcast."""
+
+    evidence: DataFrame
+    weights: np.ndarray
+    most: int
+
+
 class Grams:
     """Positions of all symbols that are predicted in some words, and hashes of what stands before them."""
 
@@ -57,83 +72,110 @@ class Grams:
         return mix((self.total[end] - self.total[begin]) * self.inverse[begin] + length.astype(np.uint64) * np.uint64(2) + np.uint64(symbol))
 
 
-def _table(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys with sums of values."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, *[np.bincount(inverse, v, len(distinct)).astype(np.float32) for v in values]
-
-
-def _look(table: tuple[np.ndarray, ...], keys: np.ndarray) -> list[np.ndarray]:
+def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     if not len(table[0]):
-        return [np.zeros(len(keys)) for _ in table[1:]]
+        return np.zeros(len(keys))
     k = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    hit = table[0][k] == keys
-    return [np.where(hit, v[k], 0).astype(np.float64) for v in table[1:]]
-
-
-class KneserNey:
-    """Tables of both classes; ``evidence`` gives log-likelihood differences of words."""
-
-    def __init__(self, words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray):
-        def counted(g: Grams, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, ...]:
-            full = np.minimum(g.place, ORDER - 1)
-            gram = g.hashed(full, True)
-            keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-            return keys, g.hashed(full, False)[first], *(np.bincount(inverse, n[g.owner], len(keys)) for n in (n0, n1))
-
-        parts = (slice(k, k + PART) for k in range(0, len(words), PART))
-        gram, context, n0, n1 = map(np.concatenate, zip(*[counted(Grams(words[p]), ordinary[p], toxic[p]) for p in parts], strict=True))
-        self.grams = _table(gram, n0, n1)
-        _, first = np.unique(gram, return_index=True)
-        n0, n1 = self.grams[1:]
-        self.contexts = _table(context[first], n0, n1, n0 > 0, n1 > 0)
-        self.shared = [self._continuations(words, length) for length in range(ORDER - 1)]
-
-    @staticmethod
-    def _continuations(words: list[bytes], length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-        """For grams with ``length`` symbols before the last: the distinct symbols before them; for their contexts: sum and number."""
-
-        def distinct(g: Grams) -> tuple[np.ndarray, ...]:
-            longer = np.flatnonzero(g.place > length)
-            whole, one = np.unique(g.hashed(np.minimum(length + 1, g.place), True)[longer], return_index=True)
-            short, one = np.minimum(length, g.place), longer[one]
-            return whole, g.hashed(short, True)[one], g.hashed(short, False)[one]
-
-        parts = [distinct(Grams(words[k : k + PART])) for k in range(0, len(words), PART)]
-        whole, keys, contexts = map(np.concatenate, zip(*parts, strict=True))
-        del parts
-        _, one = np.unique(whole, return_index=True)  # one for each distinct longer gram
-        del whole
-        keys, contexts = keys[one], contexts[one]
-        continued = _table(keys, np.ones(len(keys)))
-        _, each = np.unique(keys, return_index=True)
-        return continued, _table(contexts[each], continued[1], np.ones(len(each)))
-
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        g = Grams(words)
-        p = np.full(len(g.place), 1 / 256)
-        for length, (continued, contexts) in enumerate(self.shared):
-            some = np.flatnonzero(g.place > length)
-            sub = np.minimum(length, g.place)
-            (n,) = _look(continued, g.hashed(sub, True)[some])
-            total, types = _look(contexts, g.hashed(sub, False)[some])
-            seen = total > 0
-            p[some[seen]] = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types * p[some])[seen] / total[seen]
-        full = np.minimum(g.place, ORDER - 1)
-        counts = _look(self.grams, g.hashed(full, True))
-        t0, t1, k0, k1 = _look(self.contexts, g.hashed(full, False))
-        both = []
-        for n, total, types in ((counts[0], t0, k0), (counts[1], t1, k1)):
-            both.append(np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types * p) / np.maximum(total, 1), p))
-        return np.bincount(g.owner, np.log(both[1] / both[0]), len(words))
-
-
-def text_features(texts: list[bytes], model: KneserNey, known: dict[bytes, float]) -> np.ndarray:
+    return np.where(table[0][k] == keys, table[1][k], 0)
+
+
+def _distinct_grams(words: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
+    """Every distinct gram of each length: length, gram, its context, its suffix, whether it is backed off to, and counts where it is longest."""
+
+    def distinct(gram: np.ndarray, others: list[np.ndarray], shared: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        some = np.bincount(inverse, shared, len(keys)) > 0
+        return [keys, *(x[first] for x in others), some, *(np.bincount(inverse, c, len(keys)).astype(np.int64) for c in n)]
+
+    found = []
+    for k in range(0, len(words), PART):
+        g, n = Grams(words[k : k + PART]), counts[:, k : k + PART]
+        for length in range(ORDER):
+            at = np.flatnonzero(g.place >= length)
+            full = length == np.minimum(g.place[at], ORDER - 1)
+            size = np.full(len(g.place), length)
+            size[g.place < length] = 0
+            shorter = g.hashed(np.maximum(size - 1, 0), True)[at]
+            shared = (g.place[at] > length) & (length < ORDER - 1)
+            found.append(distinct(g.hashed(size, True)[at], [g.hashed(size, False)[at], shorter, full * 0 + length], shared, n[:, g.owner[at]] * full))
+    whole = [np.concatenate(c) for c in zip(*found, strict=True)]
+    return distinct(whole[0], whole[1:4], whole[4], np.stack(whole[5:]))
+
+
+GRAMS = "gram long, context long, suffix long, length long, shared boolean, n0 long, n1 long, n2 long, n3 long"
+
+
+def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``GRAMS`` of the words of all documents; ``n`` counts those of all training labels, by fold and class."""
+    rows = docs.select("doc_id", "text").join(training(labels).select("doc_id", (2 * F.col("fold") + F.col("y")).alias("cell")), "doc_id", "left").select("text", F.coalesce("cell", F.lit(4)).alias("cell"))
+    names = [c.split()[0] for c in GRAMS.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[Counter] = [Counter() for _ in range(4)]
+        others: set[bytes] = set()
+
+        def flush() -> pa.RecordBatch:
+            words = list(others.union(*cells))
+            counts = np.array([np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in cells])
+            columns = [x.view(np.int64) if x.dtype == np.uint64 else x for x in _distinct_grams(words, counts)]
+            for c in (*cells, others):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+        for batch in batches:
+            for text, cell in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                (others if cell == 4 else cells[cell]).update(text.lower().split())
+                if len(others) + sum(map(len, cells)) > REMEMBERED:
+                    yield flush()
+        if others or any(cells):
+            yield flush()
+
+    first = [F.first(c).alias(c) for c in ("context", "suffix", "length")]
+    return rows.mapInArrow(task, GRAMS).groupBy("gram").agg(*first, F.max("shared").alias("shared"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+
+
+def gram_evidence(grams: DataFrame) -> DataFrame:
+    """``gram, half0, half1, whole``: log-likelihood differences of the longest grams, by the models of either fold and of both."""
+    continued = grams.where("length > 0").groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("after"))
+    shared = grams.where("shared").select("gram", "context", "suffix", "length").join(continued, "gram")
+    shared = cut(shared.join(shared.groupBy("context").agg(F.sum("after").alias("total"), F.count("*").alias("types")), "context"))
+    lower, levels = None, []
+    for length in range(ORDER - 1):
+        level = shared.where(F.col("length") == length)
+        level = level.withColumn("back", F.lit(1 / 256)) if lower is None else level.join(lower, "suffix")
+        p = (F.greatest(F.col("after") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("back")) / F.col("total")
+        level = cut(level.select("gram", p.alias("p")))
+        levels.append(level)
+        lower = level.select(F.col("gram").alias("suffix"), F.col("p").alias("back"))
+    back = reduce(DataFrame.union, levels).select(F.col("gram").alias("suffix"), "p")
+    models = {"half0": ("n0", "n1"), "half1": ("n2", "n3"), "whole": ("n0 + n2", "n1 + n3")}
+    n = {(m, y): F.expr(e) for m, pair in models.items() for y, e in enumerate(pair)}
+    sums = [x for (m, y), c in n.items() for x in (F.sum(c).alias(f"{m}_t{y}"), F.sum((c > 0).cast("long")).alias(f"{m}_k{y}"))]
+    contexts = grams.where("n0 + n1 + n2 + n3 > 0").groupBy("context").agg(*sums)
+
+    def likelihood(m: str, y: int) -> Column:
+        t, k = F.col(f"{m}_t{y}"), F.col(f"{m}_k{y}")
+        return F.when(t > 0, (F.greatest(n[m, y] - DISCOUNT, F.lit(0.0)) + DISCOUNT * k * F.col("p")) / t).otherwise(F.col("p"))
+
+    known = grams.where("length > 0").join(contexts, "context").join(back, "suffix")  # of other contexts both models say the same
+    return known.select("gram", *[F.log(likelihood(m, 1) / likelihood(m, 0)).alias(m) for m in models])
+
+
+def _split(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def _word_evidence(words: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    g = Grams(words)
+    return np.bincount(g.owner, _look(table, g.hashed(np.minimum(g.place, ORDER - 1), True)), len(words))
+
+
+def text_features(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], known: dict[bytes, float]) -> np.ndarray:
     """For each text: the strongest word's evidence, the same by length, and the whole text's by length."""
-    split = [t.lower().split() for t in texts]
+    split = [_split(t) for t in texts]
     new = list({w for words in split for w in words if w not in known})
-    for k in range(0, len(new), 20_000):
-        known.update(zip(new[k : k + 20_000], model.evidence(new[k : k + 20_000]).tolist(), strict=True))
+    for k in range(0, len(new), PART):
+        known.update(zip(new[k : k + PART], _word_evidence(new[k : k + PART], table).tolist(), strict=True))
     out = np.zeros((len(texts), 3))
     for i, words in enumerate(split):
         if words:
@@ -145,6 +187,60 @@ def text_features(texts: list[bytes], model: KneserNey, known: dict[bytes, float
     return out
 
 
+FEATURES = ("_strongest", "_by_length", "_of_all")
+
+
+def with_features(docs: DataFrame, evidence: DataFrame, model: str, most: int = BROADCAST_GRAMS) -> DataFrame:
+    """``docs`` with ``FEATURES``: by a broadcast of up to ``most`` grams' evidence, or by joins if there are more."""
+    evidence = evidence.select("gram", F.col(model).alias("e"))
+    return _broadcast_features(docs, evidence) if evidence.count() <= most else _joined_features(docs, evidence)
+
+
+def _broadcast_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    got = evidence.toArrow()
+    keys, values = got.column("gram").to_numpy().view(np.uint64), got.column("e").to_numpy()
+    order = np.argsort(keys)
+    shipped, at = docs.sparkSession.sparkContext.broadcast((keys[order], values[order])), docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
+        for batch in batches:
+            texts = as_bytes(batch.column(at))
+            x = np.concatenate([text_features(texts[k : k + 256], shipped.value, known) for k in range(0, len(texts), 256)] or [np.zeros((0, 3))])
+            for name, column in zip(FEATURES, x.T, strict=True):
+                batch = batch.append_column(name, pa.array(column))
+            yield batch
+
+    return docs.mapInArrow(task, StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in FEATURES]]))
+
+
+def _joined_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                words = Counter(_split(text))
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["_row", "word", "times"])
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                words = batch.column(0).slice(k, 1000)
+                g = Grams(words.to_pylist())
+                gram = g.hashed(np.minimum(g.place, ORDER - 1), True).view(np.int64)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(g.owner)), pa.array(gram)], names=["word", "gram"])
+
+    words = cut(keyed.select("_row", "text").mapInArrow(words_of, "_row long, word binary, times long"))
+    grams = words.select("word").distinct().mapInArrow(grams_of, "word binary, gram long")
+    known = grams.join(evidence, "gram").groupBy("word").agg(F.sum("e").alias("e"))
+    size = F.length("word") + 1
+    e = words.join(known, "word", "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
+    a, b, c = FEATURES
+    x = e.groupBy("_row").agg(F.max("e").alias(a), F.max(F.col("e") / size).alias(b), (F.sum(F.col("e") * F.col("times")) / F.sum(size * F.col("times"))).alias(c))
+    return keyed.join(x, "_row", "left").fillna(0.0, [*FEATURES]).select(*docs.columns, *FEATURES)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.001) -> np.ndarray:
     """Logistic weights (constant first) by Newton steps on a ridge-penalised likelihood."""
     a = np.column_stack((np.ones(len(x)), x))
@@ -165,84 +261,39 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """``text, y, fold`` of the learning texts."""
+def training(labels: DataFrame) -> DataFrame:
+    """``doc_id, y, fold`` of the labels to learn from."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).where(~is_held_out())
-    order = F.xxhash64("doc_id", F.lit("learn"))
-    few = known.where("y = 1").orderBy(order, "doc_id").limit(per_class).union(known.where("y = 0").orderBy(order, "doc_id").limit(per_class))
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most twice per_class rows
-    return picked.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold"))
-
-
-def _word_counts(sample: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """All words of the sample, and their counts by fold and class."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: Counter = Counter()
-            for text, y, fold in zip(as_bytes(batch.column(0)), *(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
-                total.update((w, 2 * fold + y) for w in text.lower().split())
-            words, cells = zip(*total, strict=True) if total else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(cells, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["word", "cell", "n"])
+    return known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
 
-    rows = sample.mapInArrow(task, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n")).toArrow().sort_by([("word", "ascending"), ("cell", "ascending")])
-    index = rows.column("word").combine_chunks().dictionary_encode()
-    counts = np.zeros((len(index.dictionary), 4))
-    np.add.at(counts, (index.indices.to_numpy(), rows.column("cell").to_numpy()), rows.column("n").to_numpy())
-    return index.dictionary.to_pylist(), counts
 
-
-def _model(words: list[bytes], counts: np.ndarray) -> KneserNey:
-    used = counts.sum(axis=1) > 0
-    return KneserNey([w for w, u in zip(words, used, strict=True) if u], counts[used, 0], counts[used, 1])
+def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """``text, y, fold`` of the calibration texts."""
+    known, order = training(labels), F.xxhash64("doc_id", F.lit("learn"))
+    few = known.where("y = 1").orderBy(order, "doc_id").limit(per_class).union(known.where("y = 0").orderBy(order, "doc_id").limit(per_class))
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y", "fold")  # at most twice per_class labels
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[KneserNey, np.ndarray] | None:
-    """The models of all learning texts, and the weights that fit texts scored by models of the other half."""
-    sample = cut(_sample(docs, labels, per_class))
-    words, counts = _word_counts(sample)
-    halves = [counts[:, :2], counts[:, 2:]]
-    if any(h[:, y].sum() == 0 for h in halves for y in (0, 1)):
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = BROADCAST_GRAMS) -> Model | None:
+    """Evidence by the models of all training texts, and the weights that fit texts scored by models of the other half."""
+    grams = cut(gram_counts(docs, labels))
+    if not all(grams.agg(*[F.sum(f"n{k}") for k in range(4)]).first()):
         return None
-    spark = docs.sparkSession
-    seen, said = [], []
-    for fold in (0, 1):
-        other = spark.sparkContext.broadcast(_model(words, halves[1 - fold]))
-
-        def task(batches: Iterator[pa.RecordBatch], other=other) -> Iterator[pa.RecordBatch]:
-            known: dict[bytes, float] = {}
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    x = text_features(as_bytes(part.column(0)), other.value, known)
-                    yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x[:, j]) for j in range(3))], names=["y", "a", "b", "c"])
-
-        got = sample.where(F.col("fold") == fold).select("text", "y").mapInArrow(task, "y int, a double, b double, c double").toArrow()
-        seen.append(np.column_stack([got.column(c).to_numpy() for c in ("a", "b", "c")]))
-        said.append(got.column("y").to_numpy())
-        other.destroy()
-    x, y = np.concatenate(seen), np.concatenate(said)
+    evidence = cut(gram_evidence(grams))
+    sample = cut(_sample(docs, labels, per_class))
+    got = pa.concat_tables([with_features(sample.where(F.col("fold") == fold), evidence, f"half{1 - fold}", most).select("y", *FEATURES).toArrow() for fold in (0, 1)])
+    x, y = np.column_stack([got.column(c).to_numpy() for c in FEATURES]), got.column("y").to_numpy()
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))  # sums do not depend on the order in which rows came
-    return _model(words, halves[0] + halves[1]), calibrate(x[order], y[order])
+    return Model(evidence, calibrate(x[order], y[order]), most)
 
 
-def scored(docs: DataFrame, model: tuple[KneserNey, np.ndarray] | None, score: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for each row's ``text``."""
     if model is None:
         return docs.withColumn(score, F.lit(0.0))
-    shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, weights), known = shipped.value, {}
-        for batch in batches:
-            texts = as_bytes(batch.column(at))
-            x = np.concatenate([text_features(texts[k : k + 256], model, known) for k in range(0, len(texts), 256)] or [np.zeros((0, 3))])
-            z = np.clip(weights[0] + x @ weights[1:], -500, 500)
-            yield batch.append_column(score, pa.array(1 / (1 + np.exp(-z))))
-
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(task, StructType([*docs.schema.fields]).add(score, DoubleType()))
+    z = sum((F.col(c) * float(w) for c, w in zip(FEATURES, model.weights[1:], strict=True)), F.lit(float(model.weights[0])))
+    rows = with_features(docs, model.evidence, "whole", model.most)
+    return rows.select(*docs.columns, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias(score))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

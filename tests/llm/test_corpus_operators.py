@@ -105,6 +105,27 @@ def test_toxicity_held_out(spark):
     assert set(toxicity.toxicity(docs, known.limit(0)).select("score").distinct().collect()[0]) == {0.0}
 
 
+def rare_expressions(spark):
+    rng = random.Random(4)
+    said = lambda k: " ".join(rng.choice(["ba", "ke", "lo", "mi"]) + rng.choice(["no", "ra", "ti", "su"]) for _ in range(k))
+    rare = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(40)]
+    rows = [(i, f"{said(9)} {rare[i // 4 % 40] if i % 4 == 0 else said(1)} {said(9)}") for i in range(2400)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(2400)], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_counts_all_labels(spark):
+    """A small calibration sample leaves the counts whole: expressions of other labelled texts are known, joined or broadcast."""
+    docs, known = rare_expressions(spark)
+    got = toxicity.toxicity(docs, known, per_class=12).toPandas()
+    held = got[got.held_out]
+    assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.97
+    n = toxicity.gram_counts(docs, known).where("length > 0").agg(F.sum(F.expr("n0 + n1 + n2 + n3"))).first()[0]
+    trained = docs.where(~toxicity.is_held_out())
+    assert n == sum(len(w) + 1 for r in trained.collect() for w in r.text.split())
+    joined = toxicity.scored(docs, toxicity.fit(docs, known, per_class=12, most=0)).toPandas().sort_values("doc_id")
+    assert np.allclose(joined.score, got.sort_values("doc_id").score, atol=1e-9)
+
+
 def vectors(spark, n=700, dims=8, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dims)).round(2)
