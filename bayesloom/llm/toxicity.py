@@ -9,7 +9,8 @@ calibration, fitted to texts that the scoring model has not seen, turns evidence
 
 The models count all training labels' texts, and the shared continuations those of all
 documents, in tables of grams built by Spark. Only the calibration is fitted to at most
-``per_class`` labelled texts of each class, chosen by hash. Every text is scored whole, by the
+``per_class`` labelled texts of each class, chosen by hash and weighed so that the classes keep
+their shares of all training labels. Every text is scored whole, by the
 gram's evidence, broadcast if it is small and joined if not.
 
 Cases: null or empty text has no evidence and gets the score of none; without labels of both
@@ -32,14 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import as_bytes, cut
-from .words import mix
 
 #: Symbols in a gram, discount, calibration texts of each class, words remembered by a worker, words whose grams are counted at once.
 ORDER, DISCOUNT, PER_CLASS, REMEMBERED, PART = 6, 0.75, 3000, 400_000, 20_000
-#: Evidence of up to so many grams is broadcast; more are joined.
+#: Evidence of up to so many grams, and so many labels, are broadcast; more are joined.
 BROADCAST_GRAMS = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Model(NamedTuple):
@@ -50,26 +48,19 @@ class Model(NamedTuple):
     most: int
 
 
-class Grams:
-    """Positions of all symbols that are predicted in some words, and hashes of what stands before them."""
-
-    def __init__(self, words: list[bytes]):
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        b = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]), np.uint8).astype(np.uint64) + np.uint64(1)
-        end = np.cumsum(size)
-        self.owner = np.repeat(np.arange(len(words)), size)
-        self.place = np.arange(len(b)) - np.repeat(end - size, size)
-        self.at = np.flatnonzero(self.place > 0)
-        self.owner, self.place = self.owner[self.at], self.place[self.at]
-        power, inverse = np.full(len(b) + 1, _BASE, np.uint64), np.full(len(b) + 1, _INVERSE, np.uint64)
-        power[0] = inverse[0] = 1
-        power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * power[:-1])))
-
-    def hashed(self, length: np.ndarray, symbol: bool) -> np.ndarray:
-        """Hash of the ``length`` symbols before each position, with the symbol itself or without."""
-        begin, end = self.at - length, self.at + symbol
-        return mix((self.total[end] - self.total[begin]) * self.inverse[begin] + length.astype(np.uint64) * np.uint64(2) + np.uint64(symbol))
+def longest_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each predicted symbol, and the symbol with up to ``ORDER - 1`` before it: their number above 48 bits, a byte each."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    b = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]), np.uint8).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(place > 0)
+    length = np.minimum(place[at], ORDER - 1)
+    gram = (length << 48) + b[at]
+    for k in range(1, ORDER):
+        some = length >= k
+        gram[some] += b[at[some] - k] << (8 * k)
+    return owner[at], gram
 
 
 def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -79,36 +70,27 @@ def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return np.where(table[0][k] == keys, table[1][k], 0)
 
 
-def _distinct_grams(words: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
-    """Every distinct gram of each length: length, gram, its context, its suffix, whether it is backed off to, and counts where it is longest."""
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with sums of the rows of ``counts``."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(inverse, c, len(distinct)) for c in counts]).astype(np.int64)
 
-    def distinct(gram: np.ndarray, others: list[np.ndarray], shared: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        some = np.bincount(inverse, shared, len(keys)) > 0
-        return [keys, *(x[first] for x in others), some, *(np.bincount(inverse, c, len(keys)).astype(np.int64) for c in n)]
 
+def _distinct_grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found = []
     for k in range(0, len(words), PART):
-        g, n = Grams(words[k : k + PART]), counts[:, k : k + PART]
-        for length in range(ORDER):
-            at = np.flatnonzero(g.place >= length)
-            full = length == np.minimum(g.place[at], ORDER - 1)
-            size = np.full(len(g.place), length)
-            size[g.place < length] = 0
-            shorter = g.hashed(np.maximum(size - 1, 0), True)[at]
-            shared = (g.place[at] > length) & (length < ORDER - 1)
-            found.append(distinct(g.hashed(size, True)[at], [g.hashed(size, False)[at], shorter, full * 0 + length], shared, n[:, g.owner[at]] * full))
-    whole = [np.concatenate(c) for c in zip(*found, strict=True)]
-    return distinct(whole[0], whole[1:4], whole[4], np.stack(whole[5:]))
-
-
-GRAMS = "gram long, context long, suffix long, length long, shared boolean, n0 long, n1 long, n2 long, n3 long"
+        owner, gram = longest_grams(words[k : k + PART])
+        found.append(_sums(gram, counts[:, k : k + PART][:, owner]))
+    return _sums(np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found], axis=1))
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``GRAMS`` of the words of all documents; ``n`` counts those of all training labels, by fold and class."""
-    rows = docs.select("doc_id", "text").join(training(labels).select("doc_id", (2 * F.col("fold") + F.col("y")).alias("cell")), "doc_id", "left").select("text", F.coalesce("cell", F.lit(4)).alias("cell"))
-    names = [c.split()[0] for c in GRAMS.split(", ")]
+    """``gram`` (longest grams of the words of all documents) and ``n0`` to ``n3``: counts in the training labels' texts, by fold and class."""
+    cells = cut(training(labels).select("doc_id", (2 * F.col("fold") + F.col("y")).alias("cell")))
+    if cells.count() <= BROADCAST_GRAMS:
+        cells = F.broadcast(cells)  # texts stay where they lie
+    rows = docs.select("doc_id", "text").join(cells, "doc_id", "left").select("text", F.coalesce("cell", F.lit(4)).alias("cell"))
+    names = ["gram", *(f"n{k}" for k in range(4))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[Counter] = [Counter() for _ in range(4)]
@@ -117,10 +99,10 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             words = list(others.union(*cells))
             counts = np.array([np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in cells])
-            columns = [x.view(np.int64) if x.dtype == np.uint64 else x for x in _distinct_grams(words, counts)]
+            gram, n = _distinct_grams(words, counts)
             for c in (*cells, others):
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, *n)], names=names)
 
         for batch in batches:
             for text, cell in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -130,14 +112,20 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         if others or any(cells):
             yield flush()
 
-    first = [F.first(c).alias(c) for c in ("context", "suffix", "length")]
-    return rows.mapInArrow(task, GRAMS).groupBy("gram").agg(*first, F.max("shared").alias("shared"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    return rows.mapInArrow(task, ", ".join(f"{n} long" for n in names)).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
 
 def gram_evidence(grams: DataFrame) -> DataFrame:
     """``gram, half0, half1, whole``: log-likelihood differences of the longest grams, by the models of either fold and of both."""
-    continued = grams.where("length > 0").groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("after"))
-    shared = grams.where("shared").select("gram", "context", "suffix", "length").join(continued, "gram")
+    length = F.shiftright("gram", 48)
+    suffix, context = (F.expr(f"((gram >> 48) - {less} << 48) | {rest}") for less, rest in ((1, "(gram & ((1L << int(8 * (gram >> 48))) - 1))"), (0, "((gram & ((1L << 48) - 1)) >> 8)")))
+    grams = grams.withColumn("length", length).withColumn("suffix", suffix).withColumn("context", context)
+    shorter = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("length")
+    shared = grams.select("gram", shorter).select(F.expr("(length << 48) | (gram & ((1L << int(8 * (length + 1))) - 1))").alias("gram")).distinct()
+    shared = cut(shared.withColumn("length", length).withColumn("suffix", suffix).withColumn("context", context))
+    longer = shared.where("length > 0").select("gram", "suffix").union(grams.select("gram", "suffix")).distinct()
+    continued = longer.groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("after"))
+    shared = shared.join(continued, "gram")
     shared = cut(shared.join(shared.groupBy("context").agg(F.sum("after").alias("total"), F.count("*").alias("types")), "context"))
     lower, levels = None, []
     for length in range(ORDER - 1):
@@ -157,22 +145,18 @@ def gram_evidence(grams: DataFrame) -> DataFrame:
         t, k = F.col(f"{m}_t{y}"), F.col(f"{m}_k{y}")
         return F.when(t > 0, (F.greatest(n[m, y] - DISCOUNT, F.lit(0.0)) + DISCOUNT * k * F.col("p")) / t).otherwise(F.col("p"))
 
-    known = grams.where("length > 0").join(contexts, "context").join(back, "suffix")  # of other contexts both models say the same
+    known = grams.join(contexts, "context").join(back, "suffix")  # of other contexts both models say the same
     return known.select("gram", *[F.log(likelihood(m, 1) / likelihood(m, 0)).alias(m) for m in models])
 
 
-def _split(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def _word_evidence(words: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    g = Grams(words)
-    return np.bincount(g.owner, _look(table, g.hashed(np.minimum(g.place, ORDER - 1), True)), len(words))
+    owner, gram = longest_grams(words)
+    return np.bincount(owner, _look(table, gram), len(words))
 
 
 def text_features(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], known: dict[bytes, float]) -> np.ndarray:
     """For each text: the strongest word's evidence, the same by length, and the whole text's by length."""
-    split = [_split(t) for t in texts]
+    split = [t.lower().split() for t in texts]
     new = list({w for words in split for w in words if w not in known})
     for k in range(0, len(new), PART):
         known.update(zip(new[k : k + PART], _word_evidence(new[k : k + PART], table).tolist(), strict=True))
@@ -198,7 +182,7 @@ def with_features(docs: DataFrame, evidence: DataFrame, model: str, most: int =
 
 def _broadcast_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     got = evidence.toArrow()
-    keys, values = got.column("gram").to_numpy().view(np.uint64), got.column("e").to_numpy()
+    keys, values = got.column("gram").to_numpy(), got.column("e").to_numpy()
     order = np.argsort(keys)
     shipped, at = docs.sparkSession.sparkContext.broadcast((keys[order], values[order])), docs.columns.index("text")
 
@@ -220,16 +204,15 @@ def _joined_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                words = Counter(_split(text))
+                words = Counter(text.lower().split())
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["_row", "word", "times"])
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 words = batch.column(0).slice(k, 1000)
-                g = Grams(words.to_pylist())
-                gram = g.hashed(np.minimum(g.place, ORDER - 1), True).view(np.int64)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(g.owner)), pa.array(gram)], names=["word", "gram"])
+                owner, gram = longest_grams(words.to_pylist())
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(owner)), pa.array(gram)], names=["word", "gram"])
 
     words = cut(keyed.select("_row", "text").mapInArrow(words_of, "_row long, word binary, times long"))
     grams = words.select("word").distinct().mapInArrow(grams_of, "word binary, gram long")
@@ -241,11 +224,11 @@ def _joined_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     return keyed.join(x, "_row", "left").fillna(0.0, [*FEATURES]).select(*docs.columns, *FEATURES)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.001) -> np.ndarray:
-    """Logistic weights (constant first) by Newton steps on a ridge-penalised likelihood."""
+def calibrate(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 0.001) -> np.ndarray:
+    """Logistic weights (constant first) by Newton steps on a ridge-penalised likelihood; each row stands for ``rows`` like it."""
     a = np.column_stack((np.ones(len(x)), x))
-    weight = np.full(len(y), 1 / max(1, len(y)))
-    scale = np.maximum(a.std(axis=0), 1e-9)
+    weight = rows / rows.sum()
+    scale = np.maximum(np.sqrt(weight @ (a - weight @ a) ** 2), 1e-9)
     scale[0] = 1
     a, w = a / scale, np.zeros(a.shape[1])
     for _ in range(100):
@@ -284,7 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     got = pa.concat_tables([with_features(sample.where(F.col("fold") == fold), evidence, f"half{1 - fold}", most).select("y", *FEATURES).toArrow() for fold in (0, 1)])
     x, y = np.column_stack([got.column(c).to_numpy() for c in FEATURES]), got.column("y").to_numpy()
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))  # sums do not depend on the order in which rows came
-    return Model(evidence, calibrate(x[order], y[order]), most)
+    all_rows, few_rows = (dict(d.groupBy("y").count().collect()) for d in (docs.select("doc_id").join(training(labels), "doc_id"), sample))
+    stands_for = np.array([all_rows[c] / few_rows[c] for c in (0, 1)])  # the prior is that of all training labels
+    return Model(evidence, calibrate(x[order], y[order], stands_for[y[order]]), most)
 
 
 def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFrame:

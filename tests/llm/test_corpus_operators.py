@@ -119,13 +119,23 @@ def test_toxicity_counts_all_labels(spark):
     got = toxicity.toxicity(docs, known, per_class=12).toPandas()
     held = got[got.held_out]
     assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.97
-    n = toxicity.gram_counts(docs, known).where("length > 0").agg(F.sum(F.expr("n0 + n1 + n2 + n3"))).first()[0]
+    n = toxicity.gram_counts(docs, known).agg(F.sum(F.expr("n0 + n1 + n2 + n3"))).first()[0]
     trained = docs.where(~toxicity.is_held_out())
     assert n == sum(len(w) + 1 for r in trained.collect() for w in r.text.split())
     joined = toxicity.scored(docs, toxicity.fit(docs, known, per_class=12, most=0)).toPandas().sort_values("doc_id")
     assert np.allclose(joined.score, got.sort_values("doc_id").score, atol=1e-9)
 
 
+def test_toxicity_cap_keeps_the_prior(spark):
+    """Texts that say nothing of their class: the mean score is the share of toxic labels, whatever the cap."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["bano", "kera", "loti", "misu"]) for _ in range(12))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    whole, capped = (toxicity.toxicity(docs, known, per_class=n).agg(F.avg("score")).first()[0] for n in (3000, 100))
+    assert abs(whole - 0.1) < 0.06 and abs(capped - whole) < 0.06
+
+
 def vectors(spark, n=700, dims=8, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dims)).round(2)
