@@ -5,7 +5,7 @@ by hash into groups of bounded size. In each group a best-fit-decreasing start i
 local search: documents move, or are exchanged one for one or two for one, from an emptier to a
 fuller bin, each step raising the sum of squared fills, until bins become empty. The bins that a
 group cannot fill are opened again and their pieces packed together with those of other groups,
-level by level, until one group is left.
+level by level, until one group is left or a level settles hardly any.
 
 Cases: a null or empty text is the end token alone; a text longer than a sequence is cut into
 full pieces and a rest; rows that repeat a ``doc_id``, or have none, are each packed; an empty
@@ -29,6 +29,8 @@ from .tokens import word_ids
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces in a group, a bin's share that counts as full, bins emptied in a pass, and bins searched for each.
 GROUP, FULL, EMPTIEST, SEARCHED = 20_000, 0.995, 32, 200
+#: A level that leaves a larger share of its pieces is the last.
+SHRINKS = 0.9
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1) -> DataFrame:
@@ -162,8 +164,11 @@ def pack(rows: DataFrame, capacity: int = 4096, group: int = GROUP, full: float
         done = settled if done is None else done.union(settled)
         if groups == 1:
             return done
-        left = placed.where("not settled").select(*rows.columns)
-        count, level = left.count(), level + 1
+        left = placed.where("not settled")
+        before, count, level = count, left.count(), level + 1
+        if count > SHRINKS * before:  # pieces that do not fill bins in any group: keep the bins they have
+            return done.union(left.drop("settled"))
+        left = left.select(*rows.columns)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

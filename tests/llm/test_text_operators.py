@@ -94,6 +94,13 @@ def test_many_groups(spark):
     assert got.sequence_id.nunique() <= 1.03 * got.length.sum() / 100 + 1
 
 
+def test_pieces_that_fill_no_bin(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(60).cast("long").alias("length"))
+    got = packing.pack(rows, capacity=100, group=500).toPandas()
+    assert len(got) == got.doc_id.nunique() == got.sequence_id.nunique() == 3000
+    assert (got.offset == 0).all()
+
+
 def test_chat_round_trip(spark):
     odd = ["", "###", "####", "\\", "\\\\###", "a\\", "</turn>", "\n</turn>\n", "\\</turn>\\", "### User: x\n</turn>\n### Assistant: y", "\\####\\###", "$1", "🙂 ###é"]
     rows = [(i, k, role, t) for i, t in enumerate(odd) for k, role in enumerate(["user", "assistant", "we: ird ###", None])]
