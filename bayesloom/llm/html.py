@@ -28,6 +28,9 @@ from pyspark.sql import DataFrame
 # Fixed values of the HTML standard: elements without content, with raw text, and of block level.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title select option iframe svg button canvas object".split())
+NESTED, ENDS_ITSELF = frozenset("svg object template canvas".split()), frozenset("button select option".split())
+#: The block of text that belongs to no block.
+DROPPED = -1
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset(["html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"])
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -72,15 +75,31 @@ def _tag_end(html: str, at: int) -> int:
     return end
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where the closing tag of an element begins that is open at ``at``, or -1."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b", re.IGNORECASE).finditer(html, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.start()
+        elif tag in ENDS_ITSELF:
+            return -1
+        elif tag in NESTED and not html.endswith("/", m.start(), _tag_end(html, m.start())):
+            depth += 1
+    return -1
+
+
 def parse(html: str) -> list[Node]:
     """Block-level elements in page order, the page itself first; inline text goes to its block."""
     nodes = [Node("page", -1, 0, frozenset(), [], [])]
     stack: list[tuple[str, int]] = [("page", 0)]  # open elements, each with its block
     link, place, at = 0, 0, 0
+    never: set[str] = set()  # elements that nothing closes any more
 
     def text(t: str) -> None:
         nonlocal place
-        if t:
+        if t and stack[-1][1] != DROPPED:
             nodes[stack[-1][1]].parts.append((place, unescape(t), link > 0))
             place += 1
 
@@ -115,11 +134,23 @@ def parse(html: str) -> list[Node]:
                     stack.append(("page", 0))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b", re.IGNORECASE).search(html, at)
-            at = _tag_end(html, close.start()) + 1 if close else len(html)
+            if tag not in ("script", "style") and html.endswith("/", lt, end):
+                continue
+            close = -1 if tag in never else _raw_end(html, tag, at)
+            if close >= 0:
+                at = _tag_end(html, close) + 1
+            elif tag in ("script", "style"):
+                at = len(html)
+            else:  # nothing closes it: what follows is dropped up to the next block or the parent's end
+                if tag not in never and not re.compile(f"</{tag}", re.IGNORECASE).search(html, at):
+                    never.add(tag)
+                stack.append((tag, DROPPED))
             continue
         if tag == "br":
             text(" ")
+        if tag in BLOCK or tag == "hr":
+            while stack[-1][1] == DROPPED:
+                link -= stack.pop()[0] == "a"
         if tag in VOID:
             if tag == "hr":
                 nodes.append(Node("hr", stack[-1][1], 0, frozenset(), [], []))
@@ -164,10 +195,13 @@ def features(nodes: list[Node]) -> np.ndarray:
             for x in (chars, linked, tags, paras, links, stops):
                 x[node.parent] += x[i]
     total = max(chars[0], 1)
+    position = np.zeros(n, np.int64)
+    for node in nodes:
+        position[node.children] = np.arange(len(node.children))
     rows = np.zeros((n, len(TAGS) + 2 * len(GROUPS) + 14))
     for i, node in enumerate(nodes):
         siblings = nodes[node.parent].children if node.parent >= 0 else [i]
-        k = siblings.index(i) if len(siblings) < 200 and i in siblings else 0
+        k = int(position[i])
         up = nodes[node.parent].groups if node.parent >= 0 else frozenset()
         c = max(chars[i], 1)
         rows[i] = [

@@ -193,6 +193,21 @@ def test_held_out_invented_pages(trees):
     assert right / total > 0.97
 
 
+def test_positions_among_many_siblings():
+    """The share of the way through the siblings, and whether a block is the first, in a parent of 500."""
+    x = html.features(html.parse("<div>" + "<p>text</p>" * 500 + "</div>"))[2:]
+    assert np.allclose(x[:, -3], np.arange(500) / 499) and x[:, -2].tolist() == [1.0] + [0.0] * 499
+
+
+@pytest.mark.parametrize(
+    "odd",
+    ["<svg/>", "<svg width='1' />", "<button>drop", "<div><canvas>drop</div>", "<select><option>drop", "<svg><svg>drop</svg>drop</svg>", "<object><object>drop</object>drop</object>", "<button>drop<p></p><button>drop</button>"],
+)
+def test_unclosed_and_nested_elements(odd):
+    said = " ".join(t.strip() for n in html.parse(f"<article>{odd}<p>one</p><p>two</p></article>") for _, t, _ in n.parts)
+    assert said.split() == ["one", "two"]
+
+
 def test_odd_pages(spark, trees):
     odd = [None, "", "plain &amp; <b>text</b>", "<!-- x", "<script>if(a<b)</script>", "<<a", "<p", "</p></div>", "<div>" * 300]
     df = spark.createDataFrame([(1, "u", h, "t") for h in odd], "page_id long, url string, html string, text string")
