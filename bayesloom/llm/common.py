@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; set a local one only where none is named (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``, or one below the warehouse where none is named.
+
+    The warehouse is a folder that driver and executors share; a machine's own temporary folder is not.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bayesloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that gives its freed memory back at its end: workers live on, and pools would keep their peaks."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def uniform(*parts) -> Column:
     """A number in (0, 1) that depends on nothing but ``parts``: equal in every rerun and partitioning."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)
