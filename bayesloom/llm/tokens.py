@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
-#: Words a worker remembers before the older half is forgotten.
-REMEMBERED = 300_000
+#: Bytes of words and ids that a worker remembers before it forgets the older half.
+REMEMBERED = 48 << 20
+#: What an entry takes besides its bytes.
+ENTRY = 170
 
 
 class WordIds:
@@ -27,7 +29,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.held = 0
         before = self.tokenizer.pre_tokenizer
         plain = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha() and c != 0x130]
         self.bytes_of = {c.lower(): "".join(x for x, _ in before.pre_tokenize_str(c.lower())) for c in plain if len(c.lower()) == 1 and ord(c.lower()) < 0x180}
@@ -37,14 +39,18 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _keep(self, word: bytes, ids: bytes) -> bytes:
+        self.held += len(word) + len(ids) + ENTRY
+        if self.held > REMEMBERED // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[word] = ids
+        return ids
+
     def _letters(self, word: str) -> bytes:
-        word = word.lower()
-        if (ids := self.parts.get(word)) is None:
+        key = word.encode()
+        if (ids := self.young.get(key)) is None and (ids := self.old.get(key)) is None:
             made = "".join(map(self.bytes_of.__getitem__, word))
-            ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(made)], "<u4").tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[word] = ids
+            ids = self._keep(key, np.asarray([t.id for t in self.tokenizer.model.tokenize(made)], "<u4").tobytes())
         return ids
 
     def _word(self, word: bytes) -> bytes:
@@ -52,13 +58,10 @@ class WordIds:
             text = word.decode()
             body, mark = (text[:-1], text[-1]) if text[-1] in self.MARKS else (text, "")
             if body and self.letters.issuperset(body):
-                ids = self._letters(body) + (self.marks[mark] if mark else b"")
+                ids = self._letters(body.lower()) + (self.marks[mark] if mark else b"")
             else:
                 ids = self._encode(text)
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
-        return ids
+        return self._keep(word, ids) if word not in self.young else ids
 
     def __call__(self, text: bytes) -> bytes:
         get, words = self.young.get, text.split()

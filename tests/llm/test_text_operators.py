@@ -80,10 +80,39 @@ def test_packing_is_whole_and_tight(spark, sf):
 
 def test_local_search_empties_bins():
     lengths = np.array([6, 5, 5, 4, 3, 3, 2, 2])
-    start = [[0], [1], [2], [3], [4], [5], [6], [7]]
-    bins = packing.improve(start, lengths, 10)
-    assert sorted(i for b in bins for i in b) == list(range(8))
-    assert len(bins) == 3
+    search = packing.Search(lengths, np.arange(8), 10)
+    where = search.run()
+    assert np.bincount(where, lengths).max() <= 10
+    assert (search.fill > 0).sum() == 3 and search.emptied == 5 and search.steps["move"]
+
+
+def test_the_search_and_not_the_start_reaches_the_fewest_bins():
+    """First fit leaves more bins than possible; moves and all three exchanges take them away."""
+    lengths = np.random.default_rng(5).gamma(2.0, 500.0, 3000).astype(int).clip(1, 4096)
+    start = packing.first_fit(lengths, 4096)
+    fewest = -(-lengths.sum() // 4096)
+    assert len(set(start.tolist())) > fewest
+    search = packing.searched(lengths, 4096)
+    assert (search.fill > 0).sum() == fewest and search.emptied == len(set(start.tolist())) - fewest
+    assert min(search.steps.values()) > 10
+
+
+def test_squared_fill_grows_with_each_step():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 60, 80)
+    search = packing.Search(lengths, packing.first_fit(lengths, 100), 100)
+    search._pairs()
+    for a in range(len(search.fill)):
+        before = (search.fill**2).sum()
+        if search.fill[a] and search.step(a):
+            assert (search.fill**2).sum() > before
+            assert (np.bincount(search.where, lengths, len(search.fill)) == search.fill).all() and search.fill.max() <= 100
+            assert all(sorted(np.flatnonzero(search.where == b)) == sorted(m) for b, m in enumerate(search.members))
+
+
+def test_many_equal_pieces_in_a_bin():
+    where, offset, total = packing.pack_group(np.ones(20_000, np.int64), 4096)
+    assert len(set(where.tolist())) == 5 and total.max() == 4096 and len({*zip(where.tolist(), offset.tolist())}) == 20_000
 
 
 def test_many_groups(spark):
