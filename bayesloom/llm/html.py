@@ -7,8 +7,8 @@ invented pages whose elements are labelled, give the chance that an element hold
 best labelling in which nothing below a rejected element is kept is found from the leaves up, so
 that ancestors and descendants never contradict each other.
 
-Cases: null or empty html gives an empty text; unclosed elements are closed by their parents'
-ends; text outside any element belongs to the page; repeated rows are each answered; an empty
+Cases: an element that nothing closes ends where its parent does; quotes inside text or inside the
+other quotes open no value; null or empty html gives an empty text; text outside any element belongs to the page; repeated rows are each answered; an empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -17,7 +17,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -25,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released
+
 # Fixed values of the HTML standard: elements without content, with raw text, and of block level.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title select option iframe svg button canvas object".split())
@@ -52,7 +56,11 @@ TOKENS = {
 LEXICON = {w: g for g, words in TOKENS.items() for w in words.split()}
 GROUPS = tuple(TOKENS)
 SPLIT = re.compile(r"[^a-z]+")
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+#: Attributes that name what an element is, and a style that hides it.
+NAMING, HIDING = frozenset(("class", "id", "role")), re.compile(r"display:\s*none", re.IGNORECASE)
+#: One attribute with what stands before it: its name, and its value in either quotes or without.
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+BEFORE_END = re.compile(r"[\s/]*")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 
 
@@ -65,14 +73,33 @@ class Node(NamedTuple):
     parts: list  # (position, text, in a link) of the block's own text
 
 
+def scan_tag(html: str, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+    """Where the tag ends (its ``>``, or the page's end) whose name ends at ``at``, its attributes, and whether a slash of its own closes it.
+
+    Quotes count only where a value begins, so an apostrophe inside the other quotes, or in a
+    later text, is none. A quote that is never closed within its own tag begins no quoted value.
+    """
+    found = []
+    while True:
+        before, at = at, BEFORE_END.match(html, at).end()
+        if at >= len(html) or html[at] == ">":
+            return at, found, at > before and html[at - 1] == "/"
+        m = ATTRIBUTE.match(html, at)
+        value, end = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "", m.end()
+        if m[4] is None and "<" in value and html[end : end + 1].strip(" \t\r\n/>"):
+            end = min((k for k in (html.find(">", at), len(html)) if k >= 0))  # the quote belongs to what follows
+            value = html[at:end]
+        found.append((m[1].lower(), value))
+        at = end
+
+
 def _tag_end(html: str, at: int) -> int:
+    """The end of the markup that begins at ``at``: of a tag by its attributes, of anything else its first ``>``."""
+    m = NAME.match(html, at)
+    if m:
+        return scan_tag(html, m.end())[0]
     end = html.find(">", at)
-    if end < 0:
-        return len(html)
-    for quote in "\"'":
-        if html.count(quote, at, end) % 2 and (close := html.find(quote, end)) >= 0 and (later := html.find(">", close)) >= 0 and html.find("<", end, close) < 0:
-            return later
-    return end
+    return len(html) if end < 0 else end
 
 
 def _raw_end(html: str, tag: str, at: int) -> int:
@@ -85,7 +112,7 @@ def _raw_end(html: str, tag: str, at: int) -> int:
                 return m.start()
         elif tag in ENDS_ITSELF:
             return -1
-        elif tag in NESTED and not html.endswith("/", m.start(), _tag_end(html, m.start())):
+        elif tag in NESTED and not scan_tag(html, m.end())[2]:
             depth += 1
     return -1
 
@@ -94,15 +121,21 @@ def parse(html: str) -> list[Node]:
     """Block-level elements in page order, the page itself first; inline text goes to its block."""
     nodes = [Node("page", -1, 0, frozenset(), [], [])]
     stack: list[tuple[str, int]] = [("page", 0)]  # open elements, each with its block
-    link, place, at = 0, 0, 0
+    open_: Counter = Counter()  # how many of each are open
+    place, at = 0, 0
     never: set[str] = set()  # elements that nothing closes any more
 
     def text(t: str) -> None:
         nonlocal place
         if t and stack[-1][1] != DROPPED:
-            nodes[stack[-1][1]].parts.append((place, unescape(t), link > 0))
+            nodes[stack[-1][1]].parts.append((place, unescape(t), open_["a"] > 0))
             place += 1
 
+    def close(k: int) -> None:
+        """Close the element at ``k`` of the stack and all within it."""
+        open_.subtract(t for t, _ in stack[k:])
+        del stack[k:]
+
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
@@ -121,59 +154,58 @@ def parse(html: str) -> list[Node]:
                 text("<")
                 at = lt + 1
             continue
-        tag, end = m[1].lower(), _tag_end(html, lt)
+        tag = m[1].lower()
+        end, attributes, closed = scan_tag(html, m.end())
         at = end + 1
         if html[lt + 1] == "/":
-            if any(t == tag for t, _ in stack):
-                while True:
-                    t, _ = stack.pop()
-                    link -= t == "a"
-                    if t == tag:
-                        break
-                if not stack:
-                    stack.append(("page", 0))
+            if open_[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
-            if tag not in ("script", "style") and html.endswith("/", lt, end):
+            if tag not in ("script", "style") and closed:
                 continue
-            close = -1 if tag in never else _raw_end(html, tag, at)
-            if close >= 0:
-                at = _tag_end(html, close) + 1
+            shut = -1 if tag in never else _raw_end(html, tag, at)
+            if shut >= 0:
+                at = _tag_end(html, shut) + 1
             elif tag in ("script", "style"):
                 at = len(html)
             else:  # nothing closes it: what follows is dropped up to the next block or the parent's end
                 if tag not in never and not re.compile(f"</{tag}", re.IGNORECASE).search(html, at):
                     never.add(tag)
                 stack.append((tag, DROPPED))
+                open_[tag] += 1
             continue
         if tag == "br":
             text(" ")
         if tag in BLOCK or tag == "hr":
             while stack[-1][1] == DROPPED:
-                link -= stack.pop()[0] == "a"
+                close(len(stack) - 1)
         if tag in VOID:
             if tag == "hr":
                 nodes.append(Node("hr", stack[-1][1], 0, frozenset(), [], []))
                 place += 1
             continue
         ends = SAME.get(tag, ("p",) if tag in CLOSES_P else ())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ends) else ():
             if stack[k][0] in ends:
-                link -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
+                close(k)
                 break
             if stack[k][0] in SCOPE:
                 break
         block = stack[-1][1]
         if tag in BLOCK:
-            words = {w for a in ATTRIBUTE.finditer(html, m.end(), end) if a[1].lower() not in ("style", "hidden") for w in SPLIT.split((a[2] or a[3] or a[4] or "").lower())}
-            groups = frozenset(g for w in words if (g := LEXICON.get(w)))
+            words = {w for a, v in attributes if a in NAMING for w in SPLIT.split(v.lower())}
+            groups = {g for w in words if (g := LEXICON.get(w))}
+            if any(a == "hidden" or a == "style" and HIDING.search(v) for a, v in attributes):
+                groups.add("hidden")
             nodes[block].children.append(len(nodes))
-            nodes.append(Node(tag, block, nodes[block].depth + 1, groups | ({"hidden"} if re.search(r"display:\s*none|\shidden\b", html[lt:end]) else set()), [], []))
+            nodes.append(Node(tag, block, nodes[block].depth + 1, frozenset(groups), [], []))
             block = len(nodes) - 1
             place += 1
+        elif closed:
+            continue
         stack.append((tag, block))
-        link += tag == "a" and not html.endswith("/", lt, end)
+        open_[tag] += 1
     return nodes
 
 
@@ -323,8 +355,9 @@ def invented_page(rng: random.Random) -> str:
     return el("html", el("body", "".join([*before, story, *after]), main=1), main=1)
 
 
+@lru_cache(maxsize=1)
 def fit(pages: int = 700, seed: int = 11) -> Trees:
-    """Trees for the elements of invented pages; an element is main if it holds main text."""
+    """Trees for the elements of invented pages; an element is main if it holds main text. Fitted once in a session."""
     rng, x, y = random.Random(seed), [], []
     for _ in range(pages):
         html = invented_page(rng)
@@ -378,6 +411,7 @@ def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages`` (``page_id``, ``url``, ``html``)."""
 
+    @released
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
