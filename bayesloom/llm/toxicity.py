@@ -1,27 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the symbols (bytes) of words, one of toxic and one of ordinary texts, have their
-own counts where a context is longest and back off to shared continuation counts of both, so
-that rare expressions, and new forms of known ones, are smoothed alike by either. A word's
-evidence is the difference of its log-likelihoods, whole and by length; a text's evidence is
-that of its strongest words and its average by length over the whole text. A logistic
-calibration, fitted to texts that the scoring model has not seen, turns evidence into a score.
+Two models of the symbols (bytes) of texts, one of toxic and one of ordinary texts, have their own
+counts where a context is longest and back off to shared continuation counts of both, so that rare
+expressions, and new forms of known ones, are smoothed alike by either. A text is a stream of its
+lower-cased words with one space between, and grams run over the spaces, so that expressions of
+several words are counted as such. What decides is the difference of the two log-likelihoods by
+length: over the whole text, and over its likeliest passages of ``PASSAGES`` symbols, since few
+words make a long text toxic. A logistic calibration, fitted to texts that the scoring model has
+not seen, turns these length-normalised differences into a score.
 
 The models count all training labels' texts, and the shared continuations those of all
 documents, in tables of grams built by Spark. Only the calibration is fitted to at most
 ``per_class`` labelled texts of each class, chosen by hash and weighed so that the classes keep
-their shares of all training labels. Every text is scored whole, by the
-gram's evidence, broadcast if it is small and joined if not.
+their shares of all training labels. Every text is scored whole, in pieces of bounded size that
+carry their context along, by the grams' evidence: broadcast if small, joined if not.
 
-Cases: null or empty text has no evidence and gets the score of none; without labels of both
-classes every score is 0; repeated or null ids are scored like others, but a null id carries no
-label; if labels repeat an id, toxic wins; an empty table gives no rows. Other columns are
-ignored (``scored`` passes them on).
+Cases: null or empty text has no evidence and gets the score of none; a text shorter than a
+passage is one; without labels of both classes every score is 0; repeated or null ids are scored
+like others, but a null id carries no label; if labels repeat an id, toxic wins; an empty table
+gives no rows. Other columns are ignored (``scored`` passes them on).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -32,12 +34,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, released
 
-#: Symbols in a gram, discount, calibration texts of each class, words remembered by a worker, words whose grams are counted at once.
-ORDER, DISCOUNT, PER_CLASS, REMEMBERED, PART = 6, 0.75, 3000, 400_000, 20_000
+#: Symbols in a gram, discount, weight of the shared backoff in a class's contexts, calibration texts of each class.
+ORDER, DISCOUNT, STRENGTH, PER_CLASS = 6, 0.75, 10.0, 3000
+#: First symbols of a word that are predicted from the word before, too.
+CROSSING = 2
+#: Symbols of the passages whose likelihoods are compared, bytes looked at at once, grams held before they are handed on.
+PASSAGES, PIECE, HELD = (8, 24), 1 << 20, 4_000_000
 #: Evidence of up to so many grams, and so many labels, are broadcast; more are joined.
 BROADCAST_GRAMS = 2_000_000
+#: Grams of less evidence than this say nothing and are not kept.
+SILENT = 0.02
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[SPACE] = 32
 
 
 class Model(NamedTuple):
@@ -48,69 +61,86 @@ class Model(NamedTuple):
     most: int
 
 
-def longest_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The word of each predicted symbol, and the symbol with up to ``ORDER - 1`` before it: their number above 48 bits, a byte each."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    b = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(place > 0)
-    length = np.minimum(place[at], ORDER - 1)
-    gram = (length << 48) + b[at]
-    for k in range(1, ORDER):
-        some = length >= k
-        gram[some] += b[at[some] - k] << (8 * k)
-    return owner[at], gram
+def symbols(text: bytes) -> np.ndarray:
+    """The text's symbols: its lower-cased words, a space before each and after the last."""
+    b = LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]
+    space = b == 32
+    return b[~(space & np.concatenate(([False], space[:-1])))]
 
 
-def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    if not len(table[0]):
-        return np.zeros(len(keys))
-    k = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return np.where(table[0][k] == keys, table[1][k], 0)
+def longest_grams(b: np.ndarray) -> np.ndarray:
+    """For each symbol but the first, it and up to ``ORDER - 1`` before it, a byte each; their number above 48 bits.
 
+    The first ``CROSSING`` symbols of a word see the word before; the later ones see no farther
+    than the space before their own word, so that a word is known in whatever company it comes.
+    """
+    wide, at = b.astype(np.int64), np.arange(1, len(b))
+    space = np.maximum.accumulate(np.where(b[:-1] == 32, at - 1, 0))  # the last space before each symbol
+    length = np.where(at - space > CROSSING, at - space, at)
+    length = np.minimum(length, ORDER - 1)
+    gram = wide[1:] | (length << 48)
+    for k in range(1, min(ORDER, len(b))):
+        gram[k - 1 :] |= np.where(length[k - 1 :] >= k, wide[: len(wide) - k], 0) << (8 * k)
+    return gram
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with sums of the rows of ``counts``."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, np.stack([np.bincount(inverse, c, len(distinct)) for c in counts]).astype(np.int64)
 
+def text_grams(text: bytes) -> Iterator[np.ndarray]:
+    """All grams of a text, in pieces of about ``PIECE`` symbols that overlap by a gram's context."""
+    b = symbols(text)
+    if len(b) > 1:
+        for at in range(0, len(b) - 1, PIECE):
+            lead = min(at, ORDER)
+            yield longest_grams(b[at - lead : at + PIECE + 1])[lead:]
 
-def _distinct_grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found = []
-    for k in range(0, len(words), PART):
-        owner, gram = longest_grams(words[k : k + PART])
-        found.append(_sums(gram, counts[:, k : k + PART][:, owner]))
-    return _sums(np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found], axis=1))
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with sums of the rows of ``counts``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], np.stack([np.add.reduceat(c[order], begin) if len(begin) else c[:0] for c in counts])
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``gram`` (longest grams of the words of all documents) and ``n0`` to ``n3``: counts in the training labels' texts, by fold and class."""
+    """``gram`` (longest grams of all documents) and ``n0`` to ``n3``: counts in the training labels' texts, by fold and class."""
     cells = cut(training(labels).select("doc_id", (2 * F.col("fold") + F.col("y")).alias("cell")))
     if cells.count() <= BROADCAST_GRAMS:
         cells = F.broadcast(cells)  # texts stay where they lie
     rows = docs.select("doc_id", "text").join(cells, "doc_id", "left").select("text", F.coalesce("cell", F.lit(4)).alias("cell"))
     names = ["gram", *(f"n{k}" for k in range(4))]
 
+    @released
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: list[Counter] = [Counter() for _ in range(4)]
-        others: set[bytes] = set()
+        kept, sums = np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+        new: list[tuple[np.ndarray, int]] = []
+
+        def fold() -> None:
+            nonlocal kept, sums
+            keys = np.concatenate([kept, *[g for g, _ in new]])
+            cell = np.repeat([c for _, c in new], [len(g) for g, _ in new])
+            counts = [np.concatenate((sums[c], (cell == c).astype(np.int64))) for c in range(4)]
+            kept, sums = _sums(keys, np.stack(counts))
+            new.clear()
 
-        def flush() -> pa.RecordBatch:
-            words = list(others.union(*cells))
-            counts = np.array([np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in cells])
-            gram, n = _distinct_grams(words, counts)
-            for c in (*cells, others):
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, *n)], names=names)
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (kept, *sums)], names=names)
 
+        size = 0
         for batch in batches:
             for text, cell in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                (others if cell == 4 else cells[cell]).update(text.lower().split())
-                if len(others) + sum(map(len, cells)) > REMEMBERED:
-                    yield flush()
-        if others or any(cells):
-            yield flush()
+                for grams in text_grams(text):
+                    new.append((grams, cell))
+                    size += len(grams)
+                    if size > HELD // 4:
+                        fold()
+                        size = 0
+                        if len(kept) > HELD:
+                            yield batch_of()
+                            kept, sums = np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+        if new:
+            fold()
+        if len(kept):
+            yield batch_of()
 
     return rows.mapInArrow(task, ", ".join(f"{n} long" for n in names)).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
@@ -143,35 +173,66 @@ def gram_evidence(grams: DataFrame) -> DataFrame:
 
     def likelihood(m: str, y: int) -> Column:
         t, k = F.col(f"{m}_t{y}"), F.col(f"{m}_k{y}")
-        return F.when(t > 0, (F.greatest(n[m, y] - DISCOUNT, F.lit(0.0)) + DISCOUNT * k * F.col("p")) / t).otherwise(F.col("p"))
+        return (F.greatest(n[m, y] - DISCOUNT, F.lit(0.0)) + (STRENGTH + DISCOUNT * k) * F.col("p")) / (STRENGTH + t)
 
     known = grams.join(contexts, "context").join(back, "suffix")  # of other contexts both models say the same
-    return known.select("gram", *[F.log(likelihood(m, 1) / likelihood(m, 0)).alias(m) for m in models])
-
-
-def _word_evidence(words: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    owner, gram = longest_grams(words)
-    return np.bincount(owner, _look(table, gram), len(words))
-
-
-def text_features(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], known: dict[bytes, float]) -> np.ndarray:
-    """For each text: the strongest word's evidence, the same by length, and the whole text's by length."""
-    split = [t.lower().split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    for k in range(0, len(new), PART):
-        known.update(zip(new[k : k + PART], _word_evidence(new[k : k + PART], table).tolist(), strict=True))
-    out = np.zeros((len(texts), 3))
-    for i, words in enumerate(split):
-        if words:
-            e = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            n = np.fromiter(map(len, words), np.float64, len(words)) + 1
-            out[i] = e.max(), (e / n).max(), e.sum() / n.sum()
-    if len(known) > REMEMBERED:
-        known.clear()
-    return out
-
-
-FEATURES = ("_strongest", "_by_length", "_of_all")
+    said = known.select("gram", *[F.log(likelihood(m, 1) / likelihood(m, 0)).alias(m) for m in models])
+    return said.where(reduce(Column.__or__, [F.abs(m) >= SILENT for m in models]))
+
+
+class Table:
+    """Evidence by gram in an open-addressed array: two reads for most symbols."""
+
+    def __init__(self, grams: np.ndarray, evidence: np.ndarray):
+        self.bits = max(8, int(2 * len(grams) + 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        left, at = np.arange(len(grams)), self._home(grams)
+        while len(left):  # each round one gram takes each free place, the others go on to the next
+            free = self.keys[at] == -1
+            self.keys[at[free]] = grams[left[free]]
+            won = self.keys[at] == grams[left]
+            self.values[at[won]] = evidence[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (len(self.keys) - 1)
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        at = self._home(grams)
+        out = np.where(self.keys[at] == grams, self.values[at], np.float32(0))
+        left = np.flatnonzero((self.keys[at] != grams) & (self.keys[at] != -1))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            hit = self.keys[at] == grams[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (self.keys[at] != -1)
+            left, at = left[on], at[on]
+        return out
+
+
+def passages(evidence: np.ndarray, width: int) -> float:
+    """The largest mean over ``width`` consecutive symbols (over all, if there are fewer)."""
+    if len(evidence) <= width:
+        return float(evidence.mean()) if len(evidence) else 0.0
+    total = np.cumsum(np.concatenate(([0.0], evidence)))
+    return float((total[width:] - total[:-width]).max() / width)
+
+
+def text_features(text: bytes, table: Table) -> list[float]:
+    """Length-normalised differences of the log-likelihoods: of the whole text, and of its likeliest passage of each width."""
+    n, total, best, tail = 0, 0.0, [-math.inf] * len(PASSAGES), np.zeros(0, np.float32)
+    for grams in text_grams(text):
+        e = table(grams)
+        n, total = n + len(e), total + float(e.sum(dtype=np.float64))
+        run = np.concatenate((tail, e))  # passages may begin in the piece before
+        best = [max(b, passages(run, w)) for b, w in zip(best, PASSAGES, strict=True)]
+        tail = run[-max(PASSAGES) :]
+    return [total / n, *best] if n else [0.0] * (1 + len(PASSAGES))
+
+
+FEATURES = ("_of_all", *[f"_of_{w}" for w in PASSAGES])
 
 
 def with_features(docs: DataFrame, evidence: DataFrame, model: str, most: int = BROADCAST_GRAMS) -> DataFrame:
@@ -181,16 +242,14 @@ def with_features(docs: DataFrame, evidence: DataFrame, model: str, most: int =
 
 
 def _broadcast_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    got = evidence.toArrow()
-    keys, values = got.column("gram").to_numpy(), got.column("e").to_numpy()
-    order = np.argsort(keys)
-    shipped, at = docs.sparkSession.sparkContext.broadcast((keys[order], values[order])), docs.columns.index("text")
+    got = evidence.toArrow()  # at most ``most`` rows
+    shipped, at = docs.sparkSession.sparkContext.broadcast((got.column("gram").to_numpy(), got.column("e").to_numpy())), docs.columns.index("text")
 
+    @released
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        table = Table(*shipped.value)
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            x = np.concatenate([text_features(texts[k : k + 256], shipped.value, known) for k in range(0, len(texts), 256)] or [np.zeros((0, 3))])
+            x = np.array([text_features(t, table) for t in as_bytes(batch.column(at))]).reshape(-1, len(FEATURES))
             for name, column in zip(FEATURES, x.T, strict=True):
                 batch = batch.append_column(name, pa.array(column))
             yield batch
@@ -199,28 +258,35 @@ def _broadcast_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def _joined_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each row's symbols meet the grams' evidence by a join; sums and passages are made where a row's pieces meet."""
     keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                words = Counter(text.lower().split())
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["_row", "word", "times"])
-
+    @released
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                words = batch.column(0).slice(k, 1000)
-                owner, gram = longest_grams(words.to_pylist())
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(owner)), pa.array(gram)], names=["word", "gram"])
-
-    words = cut(keyed.select("_row", "text").mapInArrow(words_of, "_row long, word binary, times long"))
-    grams = words.select("word").distinct().mapInArrow(grams_of, "word binary, gram long")
-    known = grams.join(evidence, "gram").groupBy("word").agg(F.sum("e").alias("e"))
-    size = F.length("word") + 1
-    e = words.join(known, "word", "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
-    a, b, c = FEATURES
-    x = e.groupBy("_row").agg(F.max("e").alias(a), F.max(F.col("e") / size).alias(b), (F.sum(F.col("e") * F.col("times")) / F.sum(size * F.col("times"))).alias(c))
+            for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                place = 0
+                for grams in text_grams(text):
+                    for k in range(0, len(grams), 1 << 16):
+                        part = grams[k : k + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row)), pa.array(np.arange(place, place + len(part))), pa.array(part)], names=["_row", "place", "gram"])
+                        place += len(part)
+
+    said = keyed.select("_row", "text").mapInArrow(grams_of, "_row long, place long, gram long")
+    at = said.join(evidence, "gram", "left").select("_row", "place", F.coalesce("e", F.lit(0.0)).alias("e"))
+    stretch = max(PASSAGES)
+    # a stretch of symbols goes with the one before it, so that each passage lies within one group
+    part = F.floor(F.col("place") / stretch)
+    near = at.select("_row", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"), "place", "e")
+    runs = near.groupBy("_row", "part").agg(F.sort_array(F.collect_list(F.struct("place", "e"))).alias("run"), F.sum(F.when(F.col("own") == F.col("part"), F.col("e"))).alias("sum"), F.count_if(F.col("own") == F.col("part")).alias("n"))
+
+    def best(width: int) -> Column:
+        sums = F.aggregate("run", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["e"])))
+        means = F.zip_with(F.slice(sums, width + 1, 2 * stretch + 1), F.slice(sums, F.lit(1), F.greatest(F.size(sums) - width, F.lit(0))), lambda hi, lo: (hi - lo) / width)
+        return F.when(F.size("run") >= width, F.array_max(means))
+
+    x = runs.groupBy("_row").agg((F.sum("sum") / F.sum("n")).alias(FEATURES[0]), *[F.max(best(w)).alias(f) for w, f in zip(PASSAGES, FEATURES[1:], strict=True)])
+    x = x.select("_row", FEATURES[0], *[F.coalesce(f, FEATURES[0]).alias(f) for f in FEATURES[1:]])
     return keyed.join(x, "_row", "left").fillna(0.0, [*FEATURES]).select(*docs.columns, *FEATURES)
 
 

@@ -126,6 +126,72 @@ def test_toxicity_counts_all_labels(spark):
     assert np.allclose(joined.score, got.sort_values("doc_id").score, atol=1e-9)
 
 
+def plain_kneser_ney(texts, order, crossing, discount, strength):
+    """Probabilities of the two class models by their definition, from dictionaries of grams."""
+    from collections import Counter, defaultdict
+
+    def grams(text):
+        b = b" " + b" ".join(text.encode().lower().split()) + b" "
+        for i in range(1, len(b)):
+            back = i - b.rindex(b" ", 0, i)
+            yield b[max(0, i - min(order - 1, back if back > crossing else i)) : i + 1]
+
+    cells = [Counter(g for t, y in texts if y == c for g in grams(t)) for c in (0, 1)]
+    every = {g for t, _ in texts for g in grams(t)}
+    shorter = {g[k:] for g in every for k in range(1, len(g))}
+    known, after = defaultdict(Counter), Counter(g[1:] for g in {*every, *(g for g in shorter if len(g) > 1)})
+    for g in shorter:
+        known[g[:-1]][g] = after[g]
+
+    def shared(g):
+        own = known[g[:-1]]
+        return (max(own[g] - discount, 0) + discount * len(own) * (shared(g[1:]) if len(g) > 1 else 1 / 256)) / sum(own.values())
+
+    def likelihood(g, y):
+        own = {h: n for h, n in cells[y].items() if h[:-1] == g[:-1] and len(h) == len(g)}
+        return (max(cells[y][g] - discount, 0) + (strength + discount * len(own)) * shared(g[1:])) / (strength + sum(own.values()))
+
+    return every, likelihood
+
+
+def test_toxicity_equals_plain_kneser_ney(spark):
+    rng = random.Random(3)
+    texts = [(" ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 9))), i % 3 == 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, int(y)) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    trained = {r.doc_id for r in docs.where(~toxicity.is_held_out()).collect()}
+    every, likelihood = plain_kneser_ney([(t, int(y) if i in trained else None) for i, (t, y) in enumerate(texts)], toxicity.ORDER, toxicity.CROSSING, toxicity.DISCOUNT, toxicity.STRENGTH)
+    got = {r.gram & (1 << 48) - 1: r.whole for r in toxicity.gram_evidence(toxicity.gram_counts(docs, known)).collect()}
+    assert any(b" " in g[1:-1] for g in every)  # grams of more than one word
+    assert len(got) > 50
+    for g in every:
+        want = np.log(likelihood(g, 1) / likelihood(g, 0))
+        assert got.get(int.from_bytes(g, "big"), 0.0) == pytest.approx(want, abs=1e-9 if abs(want) >= toxicity.SILENT else toxicity.SILENT)
+
+
+def test_passages_of_long_texts_cross_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    text = b" ".join(bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(400))
+    grams = np.unique(np.concatenate(list(toxicity.text_grams(text))))
+    table = toxicity.Table(grams, rng.normal(size=len(grams)).astype(np.float32))
+    whole = toxicity.text_features(text, table)
+    e = table(np.concatenate(list(toxicity.text_grams(text)))).astype(float)
+    assert whole == pytest.approx([e.mean(), *[max(e[i : i + w].mean() for i in range(len(e) - w + 1)) for w in toxicity.PASSAGES]], abs=1e-5)
+    monkeypatch.setattr(toxicity, "PIECE", 100)
+    assert toxicity.text_features(text, table) == pytest.approx(whole, abs=1e-5)
+    assert toxicity.text_features(b"", table) == [0.0] * 3 and len(toxicity.text_features(b"a", table)) == 3
+
+
+def test_length_normalised_whole_texts_tell_classes_apart(spark):
+    """The comparison over whole texts alone, where every word is of its class."""
+    rng = random.Random(8)
+    said = [lambda: rng.choice("bdg") + rng.choice("aeo") + rng.choice("nrl"), lambda: rng.choice("bdg") + rng.choice("aiu") + rng.choice("nst")]
+    docs = spark.createDataFrame([(i, " ".join(said[i % 2]() for _ in range(rng.randint(3, 40)))) for i in range(600)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = toxicity.with_features(docs, toxicity.fit(docs, known).evidence, "whole").where(toxicity.is_held_out()).toPandas()
+    assert ((got._of_all > 0) == (got.doc_id % 2 == 1)).mean() > 0.97
+
+
 def test_toxicity_cap_keeps_the_prior(spark):
     """Texts that say nothing of their class: the mean score is the share of toxic labels, whatever the cap."""
     rng = random.Random(6)
