@@ -51,18 +51,19 @@ def render(role: Column, text: Column) -> Column:
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted string as an array of (role, text); what breaks the grammar gives null texts."""
-    ends = F.split(formatted, BARE_END)
-
-    def turn(block: Column, k: Column) -> Column:
-        heads = F.split(block, BARE_HEAD)
+    def read(block: Column, heads: Column, lead: Column) -> Column:
         body = F.try_element_at(heads, F.lit(2))
         at = F.instr(body, ": ")
-        lead = F.when(k == 0, F.lit("")).otherwise(F.lit("\n"))
         good = (F.size(heads) == 2) & (F.try_element_at(heads, F.lit(1)) == lead) & F.startswith(body, F.lit(" ")) & (at > 1) & F.endswith(body, F.lit("\n"))
         text = F.substr(body, at + 2, F.length(body) - at - 2)
         return F.struct(_role(F.substr(body, F.lit(2), at - 2)).alias("role"), F.when(good, unescape(text)).alias("text"))
 
-    return F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), turn)
+    def turn(block: Column, k: Column) -> Column:
+        # an array of one element binds the split block to a name; written out, it would be split at each use
+        lead = F.when(k == 0, F.lit("")).otherwise(F.lit("\n"))
+        return F.element_at(F.transform(F.array(F.split(block, BARE_HEAD)), lambda heads: read(block, heads, lead)), 1)
+
+    return F.flatten(F.transform(F.array(F.split(formatted, BARE_END)), lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), turn)))
 
 
 def _returns(rendered: Column, role: Column, text: Column) -> Column:

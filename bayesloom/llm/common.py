@@ -35,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row_key(docs: DataFrame, key: str, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with a ``key`` that tells its rows apart: ``doc_id``, or a row number where ids repeat or are null.
+
+    Row numbers are written to the checkpoint folder, so that a later reading gives the same ones.
+    """
+    if docs.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1)).isEmpty():
+        return docs.withColumn(key, F.col(doc_id))
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()))
+
+
 def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task that gives its freed memory back at its end: workers live on, and pools would keep their peaks."""
 

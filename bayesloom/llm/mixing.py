@@ -7,7 +7,9 @@ in small chunks, where a pair exchanges *words*: the one gains what the other lo
 copy is integral. What is left fractional, at most one document of each chunk, meets the
 left-overs of other chunks one level higher: a reduction tree whose groups have a bounded size.
 At the root the left-overs of a source's size classes meet from large to small. Random choices
-are hashes of the documents, so reruns agree, whatever the partitioning.
+are hashes of the documents, so reruns agree, whatever the partitioning. Rows of one id, source
+and size cannot be told apart: of ``n`` such rows ``floor(n * p)`` get their copy by arithmetic,
+and one of them stands in the rounding for what is left, so that no chunk grows with them.
 
 Cases: null or empty text has size 0 and is taken 0 times; a null source is a source of its own
 (the last in order); rows that repeat a ``doc_id``, or have none, each count; a source without
@@ -22,10 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, uniform
+from .common import WORD, cut, partitions, uniform
 
 #: Rows in a chunk (on average), and chunks that meet one level higher.
 CHUNK, FAN_IN = 48, 48
+#: Copies of one row that a task repeats at once.
+PART = 4096
 #: Tables of up to so many rows (sources, size classes of sources) are broadcast; larger ones are joined.
 BROADCAST_ROWS = 50_000
 TINY = 1e-9
@@ -100,6 +104,15 @@ def _round_level(rows: DataFrame, keys: list[str], level: int, by_words: bool, l
     return out.select(*keys, "u.*")
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row ``n`` times; many at once are dealt out in parts first."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART).cast("long"))).alias("part")
+    few, many = rows.where(F.col("n").between(1, PART)), rows.where(F.col("n") > PART)
+    dealt = many.select("*", part).repartition(partitions(rows.sparkSession), "part", "doc_id", "size")
+    dealt = dealt.withColumn("n", F.least(F.lit(PART).cast("long"), F.col("n") - F.col("part") * PART)).drop("part")
+    return few.unionByName(dealt).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for every row of ``docs`` (``doc_id``, ``source``, ``text``)."""
     sized = cut(docs.select("doc_id", "source", word_count().alias("size")))
@@ -113,12 +126,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rated = rated.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double")) * 8).cast("int"))
     whole = rated.where("p = 0").select("doc_id", "source", "size", F.col("base").alias("copies"))
 
-    open_ = rated.where("p > 0").select("doc_id", "source", "size", "p", "base", "class")
+    same = ["doc_id", "source", "size", "p", "base", "class"]
+    groups = cut(rated.where("p > 0").groupBy(*same).agg(F.count("*").alias("n")).withColumn("sum", F.col("n") * F.col("p")))
+    groups = groups.withColumn("up", F.floor(F.col("sum") + TINY)).withColumn("part", F.col("sum") - F.col("up"))
+    left = (F.col("part") > TINY).cast("long")
+    open_ = groups.where(left > 0).select("doc_id", "source", "size", F.col("part").alias("p"), "base", "class")
+    for n, more in ((F.col("up"), 1), (F.col("n") - F.col("up") - left, 0)):
+        whole = whole.unionByName(_repeated(groups.select("doc_id", "source", "size", (F.col("base") + more).alias("copies"), n.alias("n"))))
     cells = cut(open_.groupBy("source", "class").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
     most = cells.agg(F.max("chunks")).first()[0] or 1
     c = _checked(cells.select(F.col("source").alias("s"), F.col("class").alias("c"), "chunks"))
     open_ = open_.join(c, open_.source.eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
-    # repeated ids are told apart by their size alone, which is enough to spread them over chunks of one class
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), "chunks")).drop("s", "c", "chunks")
     settled = []
     for level in range(math.ceil(math.log(most, FAN_IN)) + 1 if most > 1 else 1):

@@ -277,6 +277,59 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_that_cannot_be_told_apart(spark):
+    """A third of all rows of one null id and size: no chunk holds them, and their copies add up."""
+    hot = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit("x y z").alias("text"))
+    rest = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 20).cast("int")).alias("text"))
+    got = mixing.mix(hot.union(rest))
+    assert got.count() == 80_000
+    for r in got.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("copies").alias("most")).collect():
+        assert abs(r.taken - r.target) <= 40 and r.most <= 2
+    same = got.where("doc_id is null").groupBy("source", "copies").count().collect()
+    again = mixing.mix(hot.repartition(5).union(rest)).where("doc_id is null").groupBy("source", "copies").count().collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, again))
+
+
+def test_one_large_family_is_not_copied_to_every_block(spark):
+    """20,000 near copies, nearly all of one component: a member goes to about one group, whatever the family's size."""
+    n = 20_000
+    members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") % 200 == 0, F.col("id")).otherwise(1).alias("comp"))
+    assert minhash._tiles(members).count() < 1.2 * n
+    apart = minhash._tiles(members.withColumn("comp", F.col("node")).where("node < 1500"), block=100)
+    met = apart.groupBy("x", "kind", "i", "j").agg(F.collect_list(F.struct("node", "home", "left")).alias("m")).collect()
+    seen = set()
+    for g in met:
+        for a in g.m:
+            for b in g.m:
+                if a.node < b.node and (g.kind == -1 or (g.kind == 0 and a.home != b.home) or (g.kind == 1 and (g.i == g.j or a.left != b.left))):
+                    seen.add((a.node, b.node))
+    assert len(seen) == 1500 * 1499 // 2
+
+
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash._tiles, "__defaults__", (8,))
+    rng = random.Random(12)
+    rows = list(enumerate([*family(rng, 150, 40, 7), *family(rng, 60, 25, 4)]))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2)
+
+
+def test_pipeline_stages_tell_rows_of_one_id_apart(spark, sf):
+    """Null and repeated ids: no row is lost by the id of another."""
+    import corpus_pipeline
+
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (2, one, "en", "s", 1), (None, "a b c d e f g", "en", "s", 1), (None, None, "en", "s", 1), (None, "", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.text) for r in kept.collect()) == sorted(map(str, [one, two, "a b c d e f g", None, ""]))
+    mixed = corpus_pipeline.mix_sources(spark, kept, sf)
+    assert {r.text for r in mixed.collect()} <= {one, two, "a b c d e f g"} and mixed.columns == docs.columns
+    assert 24 <= sum(len(r.text.split()) for r in mixed.collect()) <= 48
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
