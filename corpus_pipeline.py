@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
 last return the columns of ``docs`` they were given.
+
+Cases: documents of null or empty text are not toxic, no one's copies, hold no personal data, are
+taken no times by the mix (they have no words), and so are not packed; a null source is a source of
+its own; rows that repeat a ``doc_id``, or have none, are each judged by themselves; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bayesloom.llm import minhash, mixing, packing, personal, queries, toxicity
+from bayesloom.llm.common import with_row_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (shingles of five words, similarity of 0.8 or more)."""
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = with_row_key(docs, "_row_key")
+    found = minhash.near_duplicates(rows.select(F.col("_row_key").alias("doc_id"), "text"), width=5, percent=80)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_row_key"))
+    return rows.join(gone, "_row_key", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +42,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return docs.join(taken, "doc_id").withColumn("_copy", again).select(*docs.columns)
+    rows = with_row_key(docs, "_row_key")
+    taken = mixing.mix(rows.select(F.col("_row_key").alias("doc_id"), "source", "text")).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("_row_key"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    return rows.join(taken, "_row_key").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
