@@ -40,8 +40,9 @@ from .common import as_bytes, cut, released
 ORDER, DISCOUNT, STRENGTH, PER_CLASS = 6, 0.75, 10.0, 3000
 #: First symbols of a word that are predicted from the word before, too.
 CROSSING = 2
-#: Symbols of the passages whose likelihoods are compared, bytes looked at at once, grams held before they are handed on.
-PASSAGES, PIECE, HELD = (8, 24), 1 << 20, 4_000_000
+#: Symbols of the passages whose likelihoods are compared, bytes looked at at once, grams looked at before they are
+#: counted, and held before they are handed on.
+PASSAGES, PIECE, NEW, HELD = (8, 24), 1 << 18, 1 << 19, 1 << 21
 #: Evidence of up to so many grams, and so many labels, are broadcast; more are joined.
 BROADCAST_GRAMS = 2_000_000
 #: Grams of less evidence than this say nothing and are not kept.
@@ -98,7 +99,7 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(keys)
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[begin], np.stack([np.add.reduceat(c[order], begin) if len(begin) else c[:0] for c in counts])
+    return keys[begin], np.stack([np.add.reduceat(c[order], begin, dtype=np.int32) if len(begin) else np.zeros(0, np.int32) for c in counts])
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -111,35 +112,38 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @released
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, sums = np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
         new: list[tuple[np.ndarray, int]] = []
+        runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted grams with counts
+        size = 0
 
         def fold() -> None:
-            nonlocal kept, sums
-            keys = np.concatenate([kept, *[g for g, _ in new]])
-            cell = np.repeat([c for _, c in new], [len(g) for g, _ in new])
-            counts = [np.concatenate((sums[c], (cell == c).astype(np.int64))) for c in range(4)]
-            kept, sums = _sums(keys, np.stack(counts))
+            """The new grams as one more run; runs are merged once they are as many as the first one's grams."""
+            cell = np.repeat(np.array([c for _, c in new], np.int8), [len(g) for g, _ in new])
+            runs.append(_sums(np.concatenate([g for g, _ in new]), [cell == c for c in range(4)]))
             new.clear()
+            if len(runs) > 1 and sum(len(g) for g, _ in runs[1:]) > max(len(runs[0][0]), NEW):
+                runs[:] = [_sums(np.concatenate([g for g, _ in runs]), np.concatenate([n for _, n in runs], axis=1))]
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (kept, *sums)], names=names)
+            gram, n = _sums(np.concatenate([g for g, _ in runs]), np.concatenate([n for _, n in runs], axis=1))
+            runs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(x, pa.int64()) for x in n)], names=names)
 
-        size = 0
         for batch in batches:
-            for text, cell in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for grams in text_grams(text):
-                    new.append((grams, cell))
-                    size += len(grams)
-                    if size > HELD // 4:
-                        fold()
-                        size = 0
-                        if len(kept) > HELD:
-                            yield batch_of()
-                            kept, sums = np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                for text, cell in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    for grams in text_grams(text):
+                        new.append((grams, cell))
+                        size += len(grams)
+                        if size > NEW:
+                            fold()
+                            size = 0
+                            if sum(len(g) for g, _ in runs) > HELD:
+                                yield batch_of()
         if new:
             fold()
-        if len(kept):
+        if runs:
             yield batch_of()
 
     return rows.mapInArrow(task, ", ".join(f"{n} long" for n in names)).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names[1:]])
@@ -249,7 +253,8 @@ def _broadcast_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*shipped.value)
         for batch in batches:
-            x = np.array([text_features(t, table) for t in as_bytes(batch.column(at))]).reshape(-1, len(FEATURES))
+            parts = (batch.column(at).slice(k, 500) for k in range(0, batch.num_rows, 500))
+            x = np.array([text_features(t, table) for part in parts for t in as_bytes(part)]).reshape(-1, len(FEATURES))
             for name, column in zip(FEATURES, x.T, strict=True):
                 batch = batch.append_column(name, pa.array(column))
             yield batch
