@@ -52,3 +52,20 @@ def wasserstein(p: Column, q: Column) -> Column:
         return F.struct((a["gap"] + d).alias("gap"), (a["total"] + F.abs(a["gap"] + d)).alias("total"))
 
     return F.aggregate(F.zip_with(p, q, lambda a, b: a - b), start, step, lambda a: a["total"])
+
+
+def wasserstein_on(p: Column, q: Column, support: Column) -> Column:
+    """Wasserstein-1 distance of two pmfs on an increasing support: the gap of the distribution functions times the step to the next value."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(support) - 1), lambda i: F.element_at(support, i + 1) - F.element_at(support, i))
+    start = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("total"))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a["gap"] + x["d"]).alias("gap"), (a["total"] + F.abs(a["gap"] + x["d"]) * x["w"]).alias("total"))
+
+    both = F.zip_with(F.slice(F.zip_with(p, q, lambda a, b: a - b), F.lit(1), F.size(support) - 1), steps, lambda d, w: F.struct(d.alias("d"), w.alias("w")))
+    return F.when(F.size(support) > 1, F.aggregate(both, start, step, lambda a: a["total"])).otherwise(F.lit(0.0))
+
+
+def moment_errors(mean: Column, std: Column, true_mean: Column, true_std: Column) -> tuple[Column, Column]:
+    """Absolute errors of a mean and a standard deviation."""
+    return F.abs(mean - true_mean), F.abs(std - true_std)

@@ -57,28 +57,6 @@ def slug(text: Column, limit: int = 120) -> Column:
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 9), F.lit("_"), F.substring(F.md5(text), 1, 8))).otherwise(s)
 
 
-# What an error message is normalised by, in order.
-SIGNATURE = (
-    (r"\s+", " "),
-    (r"0x[0-9a-f]+", "<hex>"),
-    (r"state '[^']*'", "state <state>"),
-    (r"for '[^']*'", "for <var>"),
-    (r"'[^']*'", "<value>"),
-    (r"\bn[0-9]+[a-z0-9_]*\b", "<var>"),
-    (r"[0-9]{3,}", "<num>"),
-)
-OUT_OF_MEMORY = "out of memory|cuda error|cudnn_status_alloc_failed|resource_exhausted|memoryerror|cannot allocate memory|std::bad_alloc|oom"
-
-
-def error_signature(message: Column) -> Column:
-    """An error message without what differs from one occurrence to another."""
-    return F.trim(reduce(lambda m, r: F.regexp_replace(m, *r), SIGNATURE, F.lower(message)))
-
-
-def is_out_of_memory(message: Column) -> Column:
-    return F.coalesce(F.lower(message).rlike(OUT_OF_MEMORY), F.lit(False))
-
-
 def stable_seed(seed: int, key: Column) -> Column:
     """``seed`` plus the first four bytes of the key's sha256 (little-endian), modulo 2^32."""
     h = F.sha2(key, 256)

@@ -36,27 +36,116 @@ def reachable(edges: DataFrame) -> DataFrame:
         closed, n = grown, more
 
 
-def distances(edges: DataFrame, most: int) -> DataFrame:
-    """``source, node, dist``: hops between nodes of the undirected graph, up to ``most``."""
-    both = edges.select(F.col("parent").alias("x"), F.col("child").alias("y")).union(edges.select("child", "parent")).distinct()
-    nodes = both.select(F.col("x").alias("source")).distinct()
-    found = nodes.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"))
-    edge = found
-    for k in range(1, most + 1):
-        edge = edge.join(both, F.col("node") == F.col("x")).select("source", F.col("y").alias("node")).distinct().join(found.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(k))
+def _undirected(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent").alias("x"), F.col("child").alias("y")).union(edges.select("child", "parent")).distinct()
+
+
+def distances(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``source, node, dist``: hops between nodes of the undirected graph, up to ``most``, or as far as there are any."""
+    both = _undirected(edges).cache()
+    found = both.select(F.col("x").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("dist"))
+    edge, k, held = found, 0, [both]
+    while most is None or k < most:
+        k += 1
+        edge = edge.join(both, F.col("node") == F.col("x")).select("source", F.col("y").alias("node")).distinct().join(found.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(k)).cache()
+        held.append(edge)
+        if edge.isEmpty():
+            break
         found = found.unionByName(edge)
     return found
 
 
-def levels(edges: DataFrame, most: int) -> DataFrame:
-    """``node, level``: the longest path from a root; the order of levels is topological."""
+def levels(edges: DataFrame) -> DataFrame:
+    """``node, level``: the longest path from a root; the order of levels is topological. A cycle is an error."""
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
+    count = nodes.count()
     at = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
-    found = at
-    for k in range(1, most + 1):
-        at = at.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("level", F.lit(k))
+    found, k = at, 0
+    if count and at.isEmpty():
+        raise ValueError("the graph has a cycle")
+    while True:
+        k += 1
+        at = at.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("level", F.lit(k)).cache()
+        if at.isEmpty():
+            break
+        if k >= count:
+            raise ValueError("the graph has a cycle")
         found = found.unionByName(at)
-    return found.groupBy("node").agg(F.max("level").alias("level"))
+    placed = found.groupBy("node").agg(F.max("level").alias("level"))
+    if placed.count() < count:
+        raise ValueError("the graph has a cycle")
+    return placed
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node that can be reached without regard to direction, spread until nothing changes."""
+    both = _undirected(edges).cache()
+    labels = both.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")).cache()
+    while True:
+        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("near"))
+        new = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("component", "near").alias("component")).cache()
+        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old")
+        if changed.isEmpty():
+            return new
+        labels = new
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """``node``: nodes without which their component falls apart.
+
+    Every node is taken away in a copy of the graph of its own (a key column), and all copies' components are found at once.
+    """
+    both = _undirected(edges).cache()
+    nodes = both.select(F.col("x").alias("node")).distinct()
+    copies = nodes.select(F.col("node").alias("cut")).crossJoin(both).where("x <> cut and y <> cut").cache()  # a network's nodes by its edges
+    labels = nodes.select(F.col("node").alias("cut")).crossJoin(nodes).where("node <> cut").withColumn("label", F.col("node")).cache()
+    while True:
+        near = copies.join(labels.select("cut", F.col("node").alias("y"), "label"), ["cut", "y"]).groupBy("cut", F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        new = labels.join(near, ["cut", "node"], "left").select("cut", "node", F.least("label", F.coalesce("near", "label")).alias("label")).cache()
+        if new.join(labels.withColumnRenamed("label", "old"), ["cut", "node"]).where("label <> old").isEmpty():
+            break
+        labels = new
+    left = both.select(F.col("x").alias("cut"), F.col("y").alias("node")).join(labels, ["cut", "node"])
+    return left.groupBy("cut").agg(F.count_distinct("label").alias("parts")).where("parts > 1").select(F.col("cut").alias("node"))
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 0) -> DataFrame:
+    """``node, betweenness``: shortest paths through a node, from all sources or ``sources`` of them chosen by hash and scaled up; halved, as edges have no direction."""
+    both = _undirected(edges).cache()
+    nodes = both.select(F.col("x").alias("node")).distinct().cache()
+    n = nodes.count()
+    starts = nodes if sources is None else nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sources)
+    used = starts.count()
+    front = starts.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")).cache()
+    steps = [front]
+    seen = front.select("source", "node")
+    while True:  # paths counted level by level
+        ahead = steps[-1].join(both, F.col("node") == F.col("x")).groupBy("source", "y").agg(F.sum("paths").alias("paths"), (F.max("dist") + 1).alias("dist"))
+        ahead = ahead.select("source", F.col("y").alias("node"), "dist", "paths").join(seen, ["source", "node"], "left_anti").cache()
+        if ahead.isEmpty():
+            break
+        steps.append(ahead)
+        seen = seen.union(ahead.select("source", "node"))
+    depend = steps[-1].select("source", "node", "paths", F.lit(0.0).alias("d"))
+    out = []
+    for level in reversed(steps[:-1]):  # dependencies gathered back, level by level
+        out.append(depend)
+        below = depend.select("source", F.col("node").alias("y"), (F.lit(1.0) + F.col("d")).alias("one"), F.col("paths").alias("below"))
+        part = level.join(both, F.col("node") == F.col("x")).join(below, ["source", "y"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("below") * F.col("one")).alias("d"))
+        depend = level.select("source", "node", "paths").join(part, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("d", F.lit(0.0)).alias("d")).cache()
+    total = out[0] if out else depend.where(F.lit(False))
+    for x in out[1:]:
+        total = total.union(x)
+    sums = total.groupBy("node").agg(F.sum("d").alias("d"))
+    return nodes.join(sums, "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * (n / max(used, 1) / 2)).alias("betweenness"))
+
+
+def report_sizes(edges: DataFrame, blanket: DataFrame) -> DataFrame:
+    """``node, n_parents, n_blanket`` for every node, 0 where there are none."""
+    nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
+    parents = edges.groupBy(F.col("child").alias("node")).agg(F.count_distinct("parent").alias("n_parents"))
+    members = blanket.groupBy("node").agg(F.count_distinct("member").alias("n_blanket"))
+    return nodes.join(parents, "node", "left").join(members, "node", "left").na.fill(0, ["n_parents", "n_blanket"])
 
 
 def parameter_counts(edges: DataFrame, cards: DataFrame) -> DataFrame:

@@ -13,17 +13,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import normal, uniform
+from ..plans.kept import kept
+from . import binned, features, kernel
 from . import cpt as tables
 from .gaussian import Linear
 
 
+@dataclass
+class Kernel:
+    """A kernel density: one row of points."""
+
+    child: str
+    parents: list[str]
+    points: DataFrame
+    bandwidth: float
+    parent_bandwidth: float
+    least: float = 0.0
+    family = "kde"
+
+    def draw(self, rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+        return kernel.draw(rows, self.points, self.child, self.parents, F.lit(seed), *keys, bandwidth=self.bandwidth, parent_bandwidth=self.parent_bandwidth, least=self.least)
+
+    def log_prob(self, rows: DataFrame) -> DataFrame:
+        return kernel.log_prob(rows, self.points, self.child, self.parents, self.bandwidth, self.parent_bandwidth, self.least)
+
+    def size(self) -> dict:
+        return {"points": self.points.select(F.size("points")).first()[0]}
+
+
+@dataclass
+class Features:
+    """A Gaussian whose mean is linear in random features."""
+
+    child: str
+    parents: list[str]
+    model: features.RandomFeatures
+    family = "rff_gaussian"
+
+    def draw(self, rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+        noise = F.lit(self.model.std) * normal(F.lit(seed), *keys, F.lit(self.child))
+        return features.predict(rows, self.model, "_mean").withColumn(self.child, F.col("_mean") + noise).drop("_mean")
+
+    def log_prob(self, rows: DataFrame) -> DataFrame:
+        return features.predict(rows, self.model, "_mean").withColumn("log_prob", self.model.log_density("_mean")).drop("_mean")
+
+    def size(self) -> dict:
+        return {"features": len(self.model.phase), "std": self.model.std}
+
+
+@dataclass
+class Bins:
+    """Frequencies of bins by parents' values, and a density within bins."""
+
+    child: str
+    parents: list[str]
+    edges: list[float]
+    probs: DataFrame
+    within: str
+    family = "binned"
+
+    def _edges(self) -> Column:
+        return F.array(*[F.lit(float(e)) for e in self.edges])
+
+    def draw(self, rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+        at = binned.draw_bin(self.probs, rows, self.parents, uniform(F.lit(seed), *keys, F.lit(self.child), F.lit("bin")))
+        return at.withColumn(self.child, binned.draw_within(F.col("bin"), self._edges(), uniform(F.lit(seed), *keys, F.lit(self.child)), self.within)).drop("bin")
+
+    def log_prob(self, rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("bin", binned.bin_of(F.col(self.child).cast("double"), self._edges()))
+        joined = at.join(self.probs.withColumnRenamed("prob", "_p"), [*self.parents, "bin"], "left")
+        return joined.withColumn("log_prob", binned.log_density(F.col(self.child).cast("double"), self._edges(), F.col("_p"), self.within)).select(*rows.columns, "log_prob")
+
+    def size(self) -> dict:
+        return {"bins": len(self.edges) - 1, "cells": self.probs.count()}
+
+
 @dataclass
 class Network:
-    """Nodes in topological order with their parents, and a table or a regression for each."""
+    """Nodes in topological order with their parents, and a table, a regression or another family for each."""
 
     parents: dict[str, list[str]]
     tables: dict[str, DataFrame] = field(default_factory=dict)
     linear: dict[str, Linear] = field(default_factory=dict)
+    others: dict[str, Kernel | Features | Bins] = field(default_factory=dict)
 
     def order(self) -> list[str]:
         done: list[str] = []
@@ -57,6 +129,24 @@ class Network:
         return found - {of}
 
 
+def draw(net: Network, rows: DataFrame, v: str, seed: int, keys: list[str]) -> DataFrame:
+    """``rows`` with a draw of ``v`` given its parents' columns; ``keys`` tell the draws apart."""
+    if v in net.tables:
+        return tables.draw(rows, net.tables[v], v, net.parents[v], F.lit(seed), *keys)
+    if v in net.others:
+        return net.others[v].draw(rows, seed, keys)
+    return rows.withColumn(v, net.linear[v].mean() + F.lit(net.linear[v].std) * normal(F.lit(seed), *keys, F.lit(v)))
+
+
+def log_prob(net: Network, rows: DataFrame, v: str) -> DataFrame:
+    """``rows`` with ``log_prob`` of ``v`` given its parents."""
+    if v in net.tables:
+        return tables.log_prob(rows, net.tables[v], v, net.parents[v])
+    if v in net.others:
+        return net.others[v].log_prob(rows)
+    return rows.withColumn("log_prob", net.linear[v].log_density())
+
+
 def forward(net: Network, queries: DataFrame, n: int, evidence: list[str], do: list[str], seed: int = 0, targets: list[str] | None = None, weigh: bool = True) -> DataFrame:
     """``query_id, particle_id, variables..., log_w``. Clamped variables are columns ``ev_<name>`` and ``do_<name>`` of ``queries``."""
     both = set(evidence) & set(do)
@@ -70,16 +160,11 @@ def forward(net: Network, queries: DataFrame, n: int, evidence: list[str], do: l
             rows = rows.withColumn(v, F.col(f"do_{v}"))
         elif v in evidence:
             rows = rows.withColumn(v, F.col(f"ev_{v}"))
-            if weigh and v in net.tables:
-                rows = tables.log_prob(rows, net.tables[v], v, p)
-            elif weigh:
-                rows = rows.withColumn("log_prob", net.linear[v].log_density())
             if weigh:
+                rows = log_prob(net, rows, v)
                 rows = rows.withColumn("log_w", F.col("log_w") + F.col("log_prob")).drop("log_prob")
-        elif v in net.tables:
-            rows = tables.draw(rows, net.tables[v], v, p, F.lit(seed), "query_id", "particle_id")
         else:
-            rows = rows.withColumn(v, net.linear[v].mean() + F.lit(net.linear[v].std) * normal(F.lit(seed), "query_id", "particle_id", F.lit(v)))
+            rows = draw(net, rows, v, seed, ["query_id", "particle_id"])
     return rows
 
 
@@ -148,7 +233,58 @@ def rao_blackwell(net: Network, queries: DataFrame, n: int, evidence: list[str],
 def relative(a: DataFrame, b: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Differences of two posteriors' statistics: by query, or against the one row of ``b``."""
     ref = b.select("query_id", F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"))
-    return a.join(ref, "query_id").select("query_id", "mean", "ref_mean", (F.col("mean") - F.col("ref_mean")).alias("delta_mean"), (F.col("std") - F.col("ref_std")).alias("delta_std"), ((F.col("mean") - F.col("ref_mean")) / F.greatest(F.abs("ref_mean"), F.lit(eps))).alias("relative_mean"))
+    if len(ref.limit(2).collect()) == 1:
+        both = a.crossJoin(F.broadcast(ref.drop("query_id")))  # one row
+    else:
+        both = a.join(ref, "query_id")
+    return both.select("query_id", "mean", "ref_mean", (F.col("mean") - F.col("ref_mean")).alias("delta_mean"), (F.col("std") - F.col("ref_std")).alias("delta_std"), ((F.col("mean") - F.col("ref_mean")) / F.greatest(F.abs("ref_mean"), F.lit(eps))).alias("relative_mean"))
+
+
+def damp(weighted: DataFrame, rounds: int, damping: float, eps: float = 1e-12) -> tuple[DataFrame, float | None]:
+    """Weights clipped to ``eps``, renormalised and mixed with what they were, ``rounds`` times; and by how much the last round moved any."""
+    w, rows = Window.partitionBy("query_id"), weighted
+    for _ in range(rounds):
+        clipped = F.greatest("weight", F.lit(eps))
+        rows = rows.withColumn("_c", clipped).withColumn("_c", F.col("_c") / (F.sum("_c").over(w) + eps))
+        rows = rows.withColumn("_m", damping * F.col("_c") + (1 - damping) * F.col("weight")).withColumn("_m", F.col("_m") / (F.sum("_m").over(w) + eps))
+        rows = rows.withColumn("_d", F.abs(F.col("_m") - F.col("weight"))).withColumn("weight", F.col("_m")).drop("_c", "_m")
+    if not rounds:
+        return rows, None
+    return rows.drop("_d"), rows.agg(F.max("_d")).first()[0]
+
+
+def gibbs(net: Network, queries: DataFrame, n: int, evidence: list[str], do: list[str], seed: int = 0, burn_in: int = 10, every: int = 1, candidates: int = 8) -> DataFrame:
+    """``query_id, particle_id, variables...``: one chain for each query and draw, after ``burn_in`` + ``every`` sweeps.
+
+    Chains run side by side instead of one after another, so that a sweep is one plan over all of
+    them. A sweep visits each free variable: candidates from its own family are scored by that
+    family and by its children's, and one is chosen in proportion to the softmax of the scores by
+    a hashed draw. The state is written to the checkpoint folder after each sweep.
+    """
+    free = [v for v in net.order() if v not in {*evidence, *do}]
+    children = {v: [c for c, p in net.parents.items() if v in p and c not in do] for v in net.parents}
+    state = forward(net, queries, n, evidence, do, seed, weigh=False).drop("log_w")
+    columns = state.columns
+    for sweep in range(burn_in + max(every, 1)):
+        for v in free:
+            many = state.drop(v).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+            many = draw(net, many, v, seed + 1, ["query_id", "particle_id", F.lit(sweep), "_k"])
+            score = F.lit(0.0)
+            for i, c in enumerate([v, *children[v]]):
+                many = log_prob(net, many, c).withColumnRenamed("log_prob", f"_s{i}")
+                score = score + F.col(f"_s{i}")
+            items = F.sort_array(F.collect_list(F.struct("_k", score.alias("s"), F.col(v).alias("v"))))
+            rest = [F.first(c).alias(c) for c in columns if c not in ("query_id", "particle_id", v)]
+            met = many.groupBy("query_id", "particle_id").agg(items.alias("_i"), *rest)  # at most ``candidates`` rows each
+            top = F.array_max(F.transform("_i", lambda x: x["s"]))
+            weight = F.transform("_i", lambda x: F.when(F.isnan(x["s"] - top), 1.0).otherwise(F.exp(x["s"] - top)))
+            sums = F.aggregate(weight, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+            u = uniform(F.lit(seed + 2), "query_id", "particle_id", F.lit(sweep), F.lit(v), F.lit("choice"))
+            met = met.withColumn("_c", sums).withColumn("_u", u)
+            at = F.least(F.size(F.filter("_c", lambda c: c <= F.col("_u") * F.element_at("_c", -1))) + 1, F.size("_i"))
+            state = met.withColumn(v, F.element_at("_i", at)["v"]).select(*columns)
+        state = kept(state)
+    return state
 
 
 def histogram(values: DataFrame, column: str, bins: int = 30, weight: Column | None = None) -> DataFrame:

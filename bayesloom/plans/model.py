@@ -12,13 +12,21 @@ from __future__ import annotations
 import json
 from copy import deepcopy
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cpt, factor, gaussian, particles
+from ..operators import binned, cpt, factor, features, gaussian, kernel, particles
+from .handle import Handle
+from .kept import kept
 
 # Method names and their defaults.
-CPDS = {"categorical_table": {"alpha": 1.0, "smoothing": "total_mass", "prior": "global"}, "linear_gaussian": {"ridge": 1e-6}}
+CPDS = {
+    "categorical_table": {"alpha": 1.0, "smoothing": "total_mass", "prior": "global"},
+    "linear_gaussian": {"ridge": 1e-6},
+    "kde": {"bandwidth": 0.5, "parent_bandwidth": 0.5, "max_points": 2000, "least": 0.0},
+    "rff_gaussian": {"features": 64, "length_scale": 1.0, "ridge": 1e-3},
+    "binned": {"bins": 16, "kind": "uniform", "within": "uniform", "smoothing": 0.0},
+}
 INFERENCE = {
     "monte_carlo_marginalization": {"n_samples": 200},
     "likelihood_weighting": {"n_samples": 512},
@@ -27,12 +35,22 @@ INFERENCE = {
     "rao_blackwellized_marginalization": {"n_samples": 200},
     "categorical_exact": {},
     "gaussian_exact": {"n_samples": 200, "width": 4.0},
+    "lbp": {"n_samples": 200, "n_iters": 10, "damping": 0.5, "fallback": "importance_sampling", "tol": 1e-4},
     "variable_elimination": {},
 }
-SAMPLING = {"ancestral": {"n_samples": 200}}
+SAMPLING = {"ancestral": {"n_samples": 200}, "gibbs": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "candidates": 8}}
 UPDATES = ("merge", "replace", "ema", "replay_buffer")
 
 
+def _blend(old: DataFrame, new: DataFrame, family: list[str], alpha: float) -> DataFrame:
+    """A table between two, by cell; a cell that only one of them has counts as 0 in the other, and rows are normalised again."""
+    a, b = old.select(*family, F.col("n").alias("_n"), F.col("prob").alias("_a")), new.select(*family, F.col("n").alias("_m"), F.col("prob").alias("_b"))
+    zero = F.lit(0.0)
+    rows = a.join(b, family, "full").select(*family, (F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0))).alias("n"), ((1 - alpha) * F.coalesce("_a", zero) + alpha * F.coalesce("_b", zero)).alias("_p"))
+    total = F.sum("_p").over(Window.partitionBy(*family[:-1]) if family[:-1] else Window.partitionBy())
+    return rows.select(*family, "n", (F.col("_p") / total).alias("prob"))
+
+
 def _choose(known: dict, name: str, kind: str, **given: object) -> tuple[str, dict]:
     if name not in known:
         raise ValueError(f"unknown {kind} method {name!r}; there are {sorted(known)}")
@@ -50,7 +68,9 @@ class BeliefModel:
         self.inference, self.sampling = ("likelihood_weighting", deepcopy(INFERENCE["likelihood_weighting"])), ("ancestral", deepcopy(SAMPLING["ancestral"]))
         self.counts: dict[str, DataFrame] = {}
         self.stats: dict[str, dict] = {}
+        self.shift: dict[str, float] = {}
         self.buffer: DataFrame | None = None
+        self.batches = 0
         self.update_method: str | None = None
 
     # choosing methods
@@ -68,7 +88,12 @@ class BeliefModel:
         return self
 
     def set_inference_method(self, method: str, **settings: object) -> BeliefModel:
-        self.inference = _choose(INFERENCE, method, "inference", **settings)
+        name, conf = _choose(INFERENCE, method, "inference", **settings)
+        if name == "lbp" and not 0 <= conf["damping"] <= 1:
+            raise ValueError("damping must be in [0, 1]")
+        if name == "lbp" and conf["fallback"] not in ("importance_sampling", "monte_carlo_marginalization"):
+            raise ValueError(f"unknown fallback {conf['fallback']!r}")
+        self.inference = (name, conf)
         return self
 
     def set_sampling_method(self, method: str, **settings: object) -> BeliefModel:
@@ -87,31 +112,80 @@ class BeliefModel:
             raise RuntimeError("choose a learning method first")
         self._check(data)
         self._statistics(data)
+        self._fit_others(data)
         self._estimate()
         return self
 
+    def _of(self, *families: str) -> list[str]:
+        return [v for v, c in (self.cpds or {}).items() if c["cpd"] in families]
+
     def _statistics(self, data: DataFrame) -> None:
-        discrete = [v for v, c in self.cpds.items() if c["cpd"] == "categorical_table"]
-        self.counts = {v: data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n")) for v in discrete}
-        families = {v: self.net.parents[v] for v, c in self.cpds.items() if c["cpd"] == "linear_gaussian"}
-        if families:
-            columns = sorted({c for k, p in families.items() for c in [k, *p]})
+        """Counts of each table, kept in the checkpoint folder: later questions read tables, never the data again.
+
+        Each family leaves out the rows that have a null in it, and only those.
+        """
+        self.counts = {v: kept(data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n"))) for v in self._of("categorical_table")}
+        self.shift, self.stats = {}, {}
+        linear = self._of("linear_gaussian")
+        if linear:
+            columns = sorted({c for v in linear for c in [v, *self.net.parents[v]]})
             means = data.select(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
             self.shift = {c: means[c] or 0.0 for c in columns}
-            self.stats = gaussian.moments(data, columns, self.shift).first().asDict()
+            self.stats = self._moments(data)
+
+    def _moments(self, data: DataFrame) -> dict[str, dict]:
+        """Additive statistics of each regression, all from one scan."""
+        linear = self._of("linear_gaussian")
+        aggs = []
+        for k, v in enumerate(linear):
+            columns = [v, *self.net.parents[v]]
+            whole = F.lit(True)
+            for c in columns:
+                whole = whole & F.col(c).isNotNull()
+            x = {c: F.when(whole, F.col(c).cast("double") - F.lit(self.shift[c])) for c in columns}
+            aggs += [F.count_if(whole).alias(f"{k}|n"), *[F.sum(x[c]).alias(f"{k}|s_{c}") for c in columns]]
+            aggs += [F.sum(x[a] * x[b]).alias(f"{k}|q_{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]]
+        row = data.agg(*aggs).first().asDict()
+        return {v: {n.partition("|")[2]: x or 0 for n, x in row.items() if n.partition("|")[0] == str(k)} for k, v in enumerate(linear)}
+
+    def _fit_others(self, data: DataFrame) -> None:
+        """Families that are fitted to rows, not to additive statistics: their parameters are small rows and matrices."""
+        self.net.others = {}
+        for v in self._of("kde", "rff_gaussian", "binned"):
+            conf, p = self.cpds[v], self.net.parents[v]
+            if conf["cpd"] == "kde":
+                points = kept(kernel.fit(data, v, p, conf["max_points"], self.seed))
+                self.net.others[v] = particles.Kernel(v, p, points, conf["bandwidth"], conf["parent_bandwidth"], conf["least"])
+            elif conf["cpd"] == "rff_gaussian":
+                self.net.others[v] = particles.Features(v, p, features.fit(data, v, p, conf["features"], conf["length_scale"], conf["ridge"], self.seed))
+            else:
+                rows = data.dropna(subset=[v, *p])
+                edges = binned.bin_edges(rows, v, conf["bins"], conf["kind"]).first()["edges"]
+                if edges is None:
+                    raise ValueError(f"there are no values of {v} to put into bins")
+                at = rows.withColumn("_bin", binned.bin_of(F.col(v).cast("double"), F.array(*[F.lit(e) for e in edges])))
+                probs = kept(binned.frequencies(at, "_bin", conf["bins"], p, conf["smoothing"]))
+                self.net.others[v] = particles.Bins(v, p, edges, probs, conf["within"])
 
     def _estimate(self) -> None:
         self.net.tables, self.net.linear = {}, {}
         for v, conf in self.cpds.items():
             if conf["cpd"] == "categorical_table":
-                self.net.tables[v] = cpt.fit_cpt(self.counts[v], v, self.net.parents[v], conf["alpha"], conf["smoothing"], conf["prior"], weight="n")
-            else:
-                self.net.linear[v] = gaussian.solve(self.stats, v, self.net.parents[v], self.shift, conf["ridge"])
+                self.net.tables[v] = kept(cpt.fit_cpt(self.counts[v], v, self.net.parents[v], conf["alpha"], conf["smoothing"], conf["prior"], weight="n"))
+            elif conf["cpd"] == "linear_gaussian":
+                self.net.linear[v] = gaussian.solve(self.stats[v], v, self.net.parents[v], self.shift, conf["ridge"])
+
+    def _fitted(self) -> bool:
+        return bool(self.net.tables or self.net.linear or self.net.others)
 
     def update(self, data: DataFrame, update_method: str | None = None, alpha: float = 0.1, max_size: int = 2000, order: str | None = None) -> BeliefModel:
-        """New rows: ``merge`` adds their statistics, ``replace`` refits on them, ``ema`` decays the old ones,
-        ``replay_buffer`` refits on the last ``max_size`` rows by ``order``."""
-        if not (self.net.tables or self.net.linear):
+        """New rows: ``merge`` adds their statistics, ``replace`` refits on them, ``ema`` moves the parameters by ``alpha``
+        towards those of the new rows, ``replay_buffer`` refits on the newest ``max_size`` rows by
+        ``order``, or without it on those of the latest updates.
+
+        Families without additive statistics are refitted by ``replace`` and ``replay_buffer`` only.
+        """
+        if not self._fitted():
             raise RuntimeError("fit the model before updating it")
         self.update_method = update_method or self.update_method
         if self.update_method is None:
@@ -120,23 +194,32 @@ class BeliefModel:
             raise ValueError(f"unknown update method {self.update_method!r}; there are {sorted(UPDATES)}")
         self._check(data)
         if self.update_method == "replay_buffer":
+            self.batches += 1
+            data = data.withColumn("_batch", F.lit(self.batches))
             rows = data if self.buffer is None else self.buffer.unionByName(data)
-            key = F.col(order).desc() if order else F.xxhash64(*sorted(self.net.parents))
-            self.buffer = data = rows.orderBy(key).limit(max_size)
-        old_counts, old_stats = self.counts, self.stats
-        if self.stats and self.update_method in ("merge", "ema"):
-            self.stats = gaussian.moments(data, sorted(self.shift), self.shift).first().asDict()
-        new = BeliefModel(self.net.parents)
-        new.cpds = {v: c for v, c in self.cpds.items() if c["cpd"] == "categorical_table" or self.update_method in ("replace", "replay_buffer")}
-        new._statistics(data)
+            newest = [F.col(order).desc()] if order else [F.col("_batch").desc(), F.xxhash64(*sorted(self.net.parents))]
+            self.buffer = data = kept(rows.orderBy(*newest, *sorted(self.net.parents)).limit(max_size))
         if self.update_method in ("replace", "replay_buffer"):
-            self.counts, self.stats = new.counts, new.stats
-            self.shift = getattr(new, "shift", None)
-        else:
-            keep = (1 - alpha) if self.update_method == "ema" else 1.0
-            add = alpha if self.update_method == "ema" else 1.0
-            self.counts = {v: old_counts[v].withColumn("n", F.col("n") * keep).unionByName(c.withColumn("n", F.col("n") * add)).groupBy(*self.net.parents[v], v).agg(F.sum("n").alias("n")) for v, c in new.counts.items()}
-            self.stats = {k: keep * old_stats[k] + add * (x or 0) for k, x in self.stats.items()}
+            return self.fit(data)
+        if self.net.others:
+            raise ValueError(f"{self.update_method} needs additive statistics; {sorted(self.net.others)} have none")
+        new = BeliefModel(self.net.parents, self.seed)
+        new.cpds, new.shift = self.cpds, self.shift
+        if self.update_method == "ema":
+            new.fit(data)
+            for v, t in self.net.tables.items():
+                self.net.tables[v] = kept(_blend(t, new.net.tables[v], [*self.net.parents[v], v], alpha))
+            for v, f in self.net.linear.items():
+                g = new.net.linear[v]
+                mix = lambda a, b: (1 - alpha) * a + alpha * b
+                self.net.linear[v] = gaussian.Linear(v, f.parents, mix(f.intercept, g.intercept), [mix(a, b) for a, b in zip(f.coef, g.coef, strict=True)], mix(f.std, g.std))
+            return self
+        for v in self.counts:
+            fresh = data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n"))
+            self.counts[v] = kept(self.counts[v].unionByName(fresh).groupBy(*self.net.parents[v], v).agg(F.sum("n").alias("n")))
+        if self.stats:
+            more = self._moments(data)
+            self.stats = {v: {k: x + more[v][k] for k, x in own.items()} for v, own in self.stats.items()}
         self._estimate()
         return self
 
@@ -170,12 +253,14 @@ class BeliefModel:
             f = self.net.linear[target]
             rows = gaussian.density_grid(q.select("query_id", *[F.col(clamped[x]).alias(x) for x in p]), f.mean(), F.lit(f.std), n, float(conf["width"]))
             return rows.select("query_id", "value", F.col("density").alias("weight"), F.lit("density").alias("weight_kind"))
-        if name == "variable_elimination" or (name == "categorical_exact" and not self.net.linear):
+        if name == "variable_elimination" or (name == "categorical_exact" and not self.net.linear and not self.net.others):
             return self._eliminate(q, target, evidence, do)
         if name == "rao_blackwellized_marginalization" and target in self.net.tables:
             rows = particles.rao_blackwell(self.net, q, n, evidence, do, target, self.seed)
             return rows.select("query_id", F.col(target).alias("value"), F.col("prob").alias("weight"), F.lit("pmf").alias("weight_kind"))
-        if name == "importance_sampling":
+        if name == "lbp":
+            rows = self._damped(q, target, evidence, do, conf)
+        elif name == "importance_sampling":
             rows = particles.importance_sampling(self.net, q, n, evidence, do, target, self.seed, float(conf["fraction"]))
         else:
             weigh = name != "monte_carlo_marginalization" or mode != "compat"
@@ -184,9 +269,21 @@ class BeliefModel:
                 rows = particles.resample(rows, self.seed)
         return rows.select("query_id", F.col(target).alias("value"), "weight", F.lit("weight").alias("weight_kind"))
 
+    def _damped(self, q: DataFrame, target: str, evidence: list[str], do: list[str], conf: dict) -> DataFrame:
+        """Weights that are renormalised and damped until they settle; drawn anew by importance sampling if they do not."""
+        n = int(conf["n_samples"])
+        if conf["fallback"] == "importance_sampling":
+            rows = particles.importance_sampling(self.net, q, n, evidence, do, target, self.seed)
+        else:
+            rows = particles.with_weights(particles.forward(self.net, q, n, evidence, do, self.seed, [target]))
+        rows, moved = particles.damp(rows, int(conf["n_iters"]), float(conf["damping"]))
+        if moved is None or moved < float(conf["tol"]):
+            return rows
+        return particles.importance_sampling(self.net, q, n, evidence, do, target, self.seed + 1)
+
     def _eliminate(self, q: DataFrame, target: str, evidence: list[str], do: list[str]) -> DataFrame:
         """Evidence stays a variable until the end: one elimination answers every query of the signature."""
-        if self.net.linear:
+        if self.net.linear or self.net.others:
             raise RuntimeError("elimination needs tables for every variable")
         needed = self.net.ancestors({target, *evidence}, set(do))
         factors = [factor.Factor([*self.net.parents[v], v], t.select(*self.net.parents[v], v, F.col("prob").alias("p"))) for v, t in self.net.tables.items() if v in needed and v not in do]
@@ -203,34 +300,49 @@ class BeliefModel:
     def statistics(self, posterior: DataFrame) -> DataFrame:
         return particles.statistics(posterior, "value")
 
-    def infer_relative(self, queries: DataFrame, reference: DataFrame, target: str, evidence: list[str] = (), do: list[str] = (), ref_evidence: list[str] = (), ref_do: list[str] = ()) -> DataFrame:
-        """Differences of means and standard deviations to a reference query of the same id."""
+    def infer_relative(self, queries: DataFrame, reference: DataFrame | None, target: str, evidence: list[str] = (), do: list[str] = (), ref_evidence: list[str] = (), ref_do: list[str] = ()) -> DataFrame:
+        """Differences of means and standard deviations to a reference: of the same id, or its only query.
+
+        Without a reference the queries are compared to the posterior without evidence and interventions.
+        """
         a = self.statistics(self.infer_posterior(queries, target, evidence, do))
+        if reference is None:
+            reference, ref_evidence, ref_do = queries.sparkSession.range(1).select(F.col("id").alias("query_id")), (), ()
         b = self.statistics(self.infer_posterior(reference, target, ref_evidence, ref_do))
         return particles.relative(a, b)
 
     def sample(self, queries: DataFrame, evidence: list[str] = (), do: list[str] = (), targets: list[str] | None = None) -> DataFrame:
-        """Forward draws with evidence and interventions clamped, without weights."""
+        """Draws with evidence and interventions clamped, without weights: forward, or by Gibbs sweeps."""
         q = self._signature(queries, (targets or list(self.net.parents))[0], list(evidence), list(do))
-        rows = particles.forward(self.net, q, int(self.sampling[1]["n_samples"]), list(evidence), list(do), self.seed, targets, weigh=False)
+        name, conf = self.sampling
+        if name == "gibbs":
+            rows = particles.gibbs(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, int(conf["burn_in"]), int(conf["n_steps"]), int(conf["candidates"]))
+        else:
+            rows = particles.forward(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, targets, weigh=False)
         return rows.select("query_id", "particle_id", *(targets or self.net.order()))
 
     # parameters
-    def cpd(self, node: str) -> DataFrame | gaussian.Linear:
-        if node in self.net.tables:
-            return self.net.tables[node]
-        if node in self.net.linear:
-            return self.net.linear[node]
+    def cpd(self, node: str) -> DataFrame | gaussian.Linear | particles.Kernel | particles.Features | particles.Bins:
+        for fitted in (self.net.tables, self.net.linear, self.net.others):
+            if node in fitted:
+                return fitted[node]
         raise KeyError(f"no fitted CPD for {node!r}")
 
+    def handle(self, node: str) -> Handle:
+        """Draws, densities and conditional distributions of one fitted family."""
+        self.cpd(node)
+        return Handle(self.net, node, self.seed)
+
     def save(self, path: str) -> None:
         """Counts as Parquet, everything else as one JSON line in the same folder."""
-        if self.cpds is None or not (self.net.tables or self.net.linear):
+        if self.cpds is None or not self._fitted():
             raise RuntimeError("there is nothing to save before a fit")
+        if self.net.others:
+            raise ValueError(f"families without additive statistics are fitted again, not saved: {sorted(self.net.others)}")
         for v, c in self.counts.items():
             c.write.mode("overwrite").parquet(f"{path}/counts/{v}")
         spark = SparkSession.getActiveSession()
-        manifest = {"parents": self.net.parents, "seed": self.seed, "cpds": self.cpds, "inference": self.inference, "sampling": self.sampling, "stats": self.stats, "shift": getattr(self, "shift", None)}
+        manifest = {"parents": self.net.parents, "seed": self.seed, "cpds": self.cpds, "inference": self.inference, "sampling": self.sampling, "stats": self.stats, "shift": self.shift}
         spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod

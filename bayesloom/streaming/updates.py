@@ -23,6 +23,21 @@ def windowed(stream: DataFrame, time: str, late: str, window: str, keys: list[st
     return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select("w.start", "w.end", *keys, "n", "total")
 
 
+def sessions(stream: DataFrame, time: str, late: str, gap: str, keys: list[str], value: str) -> DataFrame:
+    """Counts and sums of sessions: rows of a key that follow one another in less than ``gap``."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    rows = stream.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return rows.select("w.start", "w.end", *keys, "n", "total")
+
+
+def matched_within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, late: str, within: str) -> DataFrame:
+    """Rows of two streams of one key whose times lie within ``within`` after the left one's; watermarks bound the state."""
+    a = left.withWatermark(left_time, late).alias("a")
+    b = right.withWatermark(right_time, late).alias("b")
+    near = (F.col(f"b.{right_time}") >= F.col(f"a.{left_time}")) & (F.col(f"b.{right_time}") <= F.col(f"a.{left_time}") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near)
+
+
 def merge_batches(stream: DataFrame, families: dict[str, list[str]], path: str, checkpoint: str) -> StreamingQuery:
     """Counts of each micro-batch as a table of its own (``batch=<id>``): written again, not twice, after a failure.
 

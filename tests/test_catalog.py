@@ -3,7 +3,7 @@
 import pytest
 from oracle import connection, rows
 
-from bayesloom import catalog
+from bayesloom import catalog, catalog_reports  # noqa: F401  the second adds its queries to the first
 
 SF = "/root/testdata/sf0.001"
 

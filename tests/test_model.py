@@ -130,3 +130,98 @@ def test_errors(spark):
         m.infer_posterior(q, "F", ["E"], ["E"])
     with pytest.raises(ValueError, match="missing"):
         m.fit(disease(spark).drop("E"))
+
+
+def continuous(spark, n=600):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=n)
+    y = 1.2 * x + 0.3 + 0.2 * rng.normal(size=n)
+    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+
+
+FAMILIES = [{"cpd": "linear_gaussian"}, {"cpd": "kde", "bandwidth": 0.2, "parent_bandwidth": 0.2}, {"cpd": "rff_gaussian", "features": 32}]
+
+
+@pytest.mark.parametrize("conf", FAMILIES, ids=lambda c: c["cpd"])
+def test_families_by_name(spark, conf):
+    """Draws and densities of y given x, and the posterior of y, of every family that takes a number as parent."""
+    m = BeliefModel({"x": [], "y": ["x"]})
+    m.set_learning_method("node_wise", {"x": {"cpd": "binned", "bins": 12} if conf["cpd"] != "linear_gaussian" else conf, "y": conf}).fit(continuous(spark))
+    h = m.handle("y")
+    rows = spark.createDataFrame([(0, -0.5), (1, 0.8)], "row_id long, x double")
+    got = {r.row_id: r for r in h.conditional_mean_std(rows, n=400).collect()}
+    for k, x in ((0, -0.5), (1, 0.8)):
+        assert got[k]["mean"] == pytest.approx(1.2 * x + 0.3, abs=0.15) and 0.1 < got[k]["std"] < 0.45
+    near, far = (h.log_prob(rows.withColumn("y", 1.2 * F.col("x") + 0.3 + off)).collect() for off in (0.0, 1.5))
+    assert all(a.log_prob > b.log_prob for a, b in zip(near, far, strict=True))
+    assert h.pdf(rows.withColumn("y", F.lit(0.3))).first()["pdf"] >= 0
+    assert h.sample(rows, 7).count() == 14
+    m.set_inference_method("likelihood_weighting", n_samples=300)
+    q = spark.createDataFrame([(1, 0.8)], "query_id long, x double")
+    assert m.statistics(m.infer_posterior(q, "y", ["x"])).first()["mean"] == pytest.approx(1.26, abs=0.15)
+    assert h.summary()["family"] == conf["cpd"] and h.conditional(rows).first()["conditional"]["kind"] in ("normal_params", "empirical_samples")
+    with pytest.raises(ValueError, match="missing"):
+        h.log_prob(rows)
+
+
+def test_handle_of_a_table(spark):
+    m = fitted(spark)
+    rows = spark.createDataFrame([(0, 0), (1, 1)], "row_id long, E int")
+    h = m.handle("D")
+    got = h.conditional(rows).collect()
+    probs = {(r.E, r.D): r.prob for r in m.cpd("D").collect()}
+    assert all(r.conditional["probs"] == pytest.approx([probs[r.E, 0], probs[r.E, 1]]) for r in got)
+    assert {r.row_id: r["mean"] for r in h.conditional_mean_std(rows).collect()} == pytest.approx({k: probs[k, 1] for k in (0, 1)})
+    assert {r.row_id: r.pdf for r in h.pdf(rows.withColumn("D", F.lit(1))).collect()} == pytest.approx({k: probs[k, 1] for k in (0, 1)})
+    with pytest.raises(KeyError):
+        m.handle("Z")
+
+
+def test_damped_weights_and_gibbs(spark):
+    m = fitted(spark)
+    q = spark.createDataFrame([(1, 1), (2, 0)], "query_id long, F int")
+    exact = {r.query_id: r.weight for r in m.set_inference_method("variable_elimination").infer_posterior(q, "E", ["F"]).where("value = 1").collect()}
+    m.set_inference_method("lbp", n_samples=2000)
+    damped = {r.query_id: r["mean"] for r in m.statistics(m.infer_posterior(q, "E", ["F"])).collect()}
+    assert all(damped[k] == pytest.approx(exact[k], abs=0.05) for k in exact)
+    with pytest.raises(ValueError, match="damping"):
+        m.set_inference_method("lbp", damping=1.5)
+    m.set_sampling_method("gibbs", n_samples=400, burn_in=2)
+    drawn = m.sample(q, ["F"]).groupBy("query_id").agg(F.avg("E").alias("e"), F.count("*").alias("n"), F.min("F").alias("lo"), F.max("F").alias("hi")).collect()
+    assert {r.query_id: r.n for r in drawn} == {1: 400, 2: 400}
+    assert all(r.lo == r.hi == (1 if r.query_id == 1 else 0) for r in drawn)
+    by_id = {r.query_id: r.e for r in drawn}
+    assert (by_id[1] > by_id[2]) == (exact[1] > exact[2])
+    again = m.sample(q.repartition(3), ["F"]).groupBy("query_id").agg(F.avg("E").alias("e")).collect()
+    assert {r.query_id: r.e for r in again} == by_id
+
+
+def test_relative_to_one_query_and_to_none(spark):
+    m = fitted(spark)
+    m.set_inference_method("categorical_exact")
+    q = spark.createDataFrame([(1, 1), (2, 0)], "query_id long, E int")
+    one = spark.createDataFrame([(7, 0)], "query_id long, E int")
+    got = {r.query_id: r for r in m.infer_relative(q, one, "D", ["E"], [], ["E"]).collect()}
+    assert set(got) == {1, 2} and got[2]["delta_mean"] == pytest.approx(0) and got[1]["delta_mean"] > 0
+    free = {r.query_id: r for r in m.infer_relative(q, None, "D", ["E"]).collect()}
+    assert set(free) == {1, 2} and free[1]["delta_mean"] > 0 > free[2]["delta_mean"]
+
+
+def test_ema_moves_parameters(spark):
+    m = fitted(spark)
+    before = {(r.E, r.D): r.prob for r in m.cpd("D").collect()}
+    new = spark.createDataFrame([(0, 1, 1), (1, 1, 1), (1, 0, 1)], "E int, D int, F int")
+    other = fitted(spark).fit(new)
+    want = {(r.E, r.D): r.prob for r in other.cpd("D").collect()}
+    m.update(new, "ema", alpha=0.25)
+    assert {(r.E, r.D): r.prob for r in m.cpd("D").collect()} == pytest.approx({k: 0.75 * before[k] + 0.25 * want[k] for k in before})
+
+
+def test_updates_keep_plans_small(spark):
+    m = fitted(spark)
+    sizes = []
+    for _ in range(4):
+        m.update(disease(spark), "merge")
+        sizes.append(len(m.counts["D"]._jdf.queryExecution().optimizedPlan().toString()))
+    assert len(set(sizes)) == 1
+    assert m.counts["D"].agg(F.sum("n")).first()[0] == 5 * disease(spark).count()

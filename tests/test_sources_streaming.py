@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from bayesloom.functions import scalars
+from bayesloom.functions import records
 from bayesloom.operators import summary
 from bayesloom.sources import tables
 from bayesloom.streaming import updates
@@ -70,9 +70,12 @@ def test_windows_and_late_rows(spark, tmp_path):
 
 
 def test_error_signature_and_partitions(spark):
-    said = ["State '1_1' not found in output for 'N6_d_g'", "step 123456"]
-    got = [r[0] for r in spark.createDataFrame([(m,) for m in said], "m string").select(scalars.error_signature(F.col("m"))).collect()]
-    assert got == ["state <state> not found in output for <var>", "step <num>"]
+    said = [("ValueError", "State '1_1' not found in pgmpy output for 'N6_d_g'"), ("ValueError", "Failed at step 123456"), (None, None), (None, "no node 'x7'\t at 0xAB1"), ("", " ")]
+    rows = spark.createDataFrame(said, "k string, m string")
+    got = [r[0] for r in rows.select(records.error_signature(F.col("k"), F.col("m"))).collect()]
+    assert got == ["valueerror: state <state> not found in pgmpy output for <var>", "valueerror: failed at step <num>", "unknown", "no node <var> at <hex>", "unknown"]
+    memory = [("RuntimeError", "CUDA out of memory. Tried to allocate"), ("MemoryError", None), (None, "cublas failed"), ("RuntimeError", "no room to zoom"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame(memory, "k string, m string").select(records.is_out_of_memory(F.col("k"), F.col("m"))).collect()] == [True, True, True, False, False]
     solved = {1: {1, 2, 3}, 2: {1, 2}, 3: {1}, 4: {2, 3}, 5: set(), 6: {1, 3}}
     df = spark.createDataFrame([(q, f"m{m}", m in s) for q, s in solved.items() for m in (1, 2, 3)], "q int, m string, ok boolean")
     rows = {r.solvers: (r.n, r.share) for r in summary.partitions(df, "q", "m", "ok").collect()}
