@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .personal import BASE, find_spans, fit
 from .search import exact_top_k, nearest_neighbours
+from .sql import ORACLE
 from .tokencount import token_counts
 from .toxicity import toxicity
 
@@ -84,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
