@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import BASE, LS, N1, _pmfs, base, cpt_sql, edges, priced, query, r6, table
 from .functions import divergence, records, scalars
 from .operators import cpt, gaussian, graph, particles, workload
+from .sources import tables
 
 _U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
 _E = "e(parent, child) AS (VALUES " + ", ".join(f"('{p}', '{c}')" for c, ps in N1.items() for p in ps) + ")"
@@ -95,3 +96,16 @@ def bin_geometry(spark, d):
 def pmf_comparison(spark, d):
     a, b = F.col("a"), F.col("b")
     return _pmfs(spark, d).select(F.round(divergence.kl(a, b), 6).alias("kl"), F.round(divergence.wasserstein(a, b), 6).alias("w1"), F.abs(records.mode_of(a) - records.mode_of(b)).alias("mode_error"))
+
+
+@query("s16_clean_arcs", "SELECT DISTINCT c_nationkey AS parent, s_nationkey AS child FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_nationkey <> s_nationkey AND c_nationkey < 20 AND s_nationkey < 20")
+def clean_arcs(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    arcs = c.join(s, F.col("s_suppkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("parent"), F.col("s_nationkey").alias("child"))
+    return tables.clean_arcs(arcs, table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("node")))
+
+
+@query("s19_latest_bundles", "SELECT o_orderstatus AS mode, o_orderpriority AS generator, path, modified FROM (SELECT *, 'run_' || o_orderkey AS path, o_orderdate AS modified, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderdate DESC, 'run_' || o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def latest_bundles(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("generator"), F.concat(F.lit("run_"), "o_orderkey").alias("path"), F.col("o_orderdate").alias("modified"))
+    return tables.latest_bundle(o, ["mode", "generator"])

@@ -48,11 +48,81 @@ def write_table(df: DataFrame, path: str, sort: bool = False) -> None:
 
 def choose_data_file(files: DataFrame, seed: int, path: str = "path", modified: str = "modified") -> DataFrame:
     """Of ``data_<strategy>_n<N>_seed<S>`` files: the largest of the seed, else the newest of all; one row."""
-    named = files.withColumn("n", F.regexp_extract(path, r"data_\w+?_n(\d+)_seed\d+", 1).try_cast("long")).withColumn("s", F.regexp_extract(path, r"_seed(\d+)", 1).try_cast("long"))
+    named = files.withColumn("n", F.regexp_extract(path, r"data_[^/]+?_n(\d+)_seed\d+", 1).try_cast("long")).withColumn("s", F.regexp_extract(path, r"_seed(\d+)", 1).try_cast("long"))
     own = F.coalesce(F.col("s") == seed, F.lit(False))
     return named.orderBy(own.desc(), F.when(own, F.col("n")).desc_nulls_last(), F.when(own, F.col(path)).desc_nulls_last(), F.col(modified).desc()).limit(1).select(path)
 
 
+def from_arrays(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A table from one list for each column, all of one length; a list of lists becomes an array column."""
+    if len({len(v) for v in columns.values()}) > 1:
+        raise ValueError(f"columns differ in length: { {c: len(v) for c, v in columns.items()} }")
+    return spark.createDataFrame(list(zip(*columns.values(), strict=True)), list(columns))
+
+
+def write_first(df: DataFrame, path: str, order: tuple[str, ...] = ("parquet", "csv", "json")) -> str:
+    """The path (``path`` with the format as suffix) of the first format of ``order`` that can hold the table, e.g. not CSV for arrays."""
+    why = []
+    for suffix in order:
+        try:
+            write_table(df, f"{path}.{suffix}")
+            return f"{path}.{suffix}"
+        except Exception as e:  # the next format may do
+            why.append(f"{suffix}: {type(e).__name__}")
+    raise ValueError(f"no format holds the table: {'; '.join(why)}")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report table, sorted by all its columns, as ``<path>.csv`` and as a markdown table in ``<path>.md``."""
+    write_table(df, f"{path}.csv", sort=True)
+    names = df.columns
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(names) + " |"), (1, "|" + "---|" * len(names))], "at int, value string")
+    body = df.orderBy(*names).select(F.lit(2).alias("at"), *names).coalesce(1).select("at", row.alias("value"))
+    head.coalesce(1).union(body).coalesce(1).select("value").write.mode("overwrite").text(f"{path}.md")
+
+
+def clean_arcs(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``parent, child``: distinct arcs between known nodes (``node``), without self-loops."""
+    rows = arcs.where("parent <> child").select("parent", "child").distinct()
+    for end in ("parent", "child"):
+        rows = rows.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    return rows.select("parent", "child")
+
+
+def network_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``id, name, category, type, nodes, arcs, parameters`` of a JSON object of networks by id."""
+    entry = "struct<name:string,category:string,type:string,stats:struct<nodes:long,arcs:long,parameters:long>>"
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("id", "n"))
+    return rows.select("id", "n.name", "n.category", "n.type", "n.stats.*")
+
+
+def latest_bundle(bundles: DataFrame, keys: list[str], modified: str = "modified") -> DataFrame:
+    """The bundle of each of ``keys`` (mode, generator) that was changed last; of those at once, the last by path."""
+    rows = bundles.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in bundles.columns if c not in keys]), F.struct(modified, "path")).alias("b"))
+    return rows.select(*keys, "b.*")
+
+
+def spec_tables(spark: SparkSession, spec: dict[str, dict]) -> tuple[dict[str, list[str]], dict[str, DataFrame]]:
+    """Parents and tables of a network given as ``{node: {states, parents, rows}}``, rows by the parents' states in order.
+
+    Rows are normalised; a row for each combination of the parents' states is needed, or ``default``.
+    """
+    from itertools import product
+
+    out = {}
+    for node, given in spec.items():
+        parents, data = given.get("parents", []), []
+        for combo in product(*[spec[p]["states"] for p in parents]):
+            probs = given["rows"].get(combo, given.get("default"))
+            if probs is None or len(probs) != len(given["states"]):
+                raise ValueError(f"{node}: no row of {len(given['states'])} for {combo}")
+            data += [(*combo, s, p / sum(probs)) for s, p in zip(given["states"], probs, strict=True)]
+        out[node] = spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in [*parents, node]) + ", prob double")
+    return {n: list(g.get("parents", [])) for n, g in spec.items()}, out
+
+
 BLOCK = re.compile(r"(variable|probability)\s+([^{]*)\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
 
 

@@ -85,3 +85,38 @@ def test_error_signature_and_partitions(spark):
 def test_pareto_keeps_equal_rows(spark):
     df = spark.createDataFrame([("g", 1, 5.0), ("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 4.0), ("g", 0, 9.0)], "k string, x int, y double")
     assert sorted((r.x, r.y) for r in summary.pareto(df, ["k"], "x", "y").collect()) == [(0, 9.0), (1, 5.0), (1, 5.0), (3, 4.0)]
+
+
+def test_arrays_reports_and_fallback(spark, tmp_path):
+    df = tables.from_arrays(spark, {"a": [2, 1], "b": [[1.0, 2.0], [3.0]]})
+    assert df.count() == 2
+    with pytest.raises(ValueError, match="length"):
+        tables.from_arrays(spark, {"a": [1], "b": [1, 2]})
+    assert tables.write_first(df, str(tmp_path / "t"), order=("csv", "parquet")).endswith(".parquet")
+    tables.write_report(df.select("a", F.lit(None).cast("string").alias("c")), str(tmp_path / "r"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r.md")).collect()]
+    assert lines == ["| a | c |", "|---|---|", "| 1 |  |", "| 2 |  |"]
+
+
+def test_network_catalog_and_spec(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"asia": {"name": "Asia", "category": "small", "type": "discrete", "stats": {"nodes": 8, "arcs": 8, "parameters": 18}}, "x": {"name": "X"}}')
+    got = {r.id: r for r in tables.network_catalog(spark, str(tmp_path / "n.json")).collect()}
+    assert got["asia"].parameters == 18 and got["x"].nodes is None
+    spec = {"A": {"states": ["a", "b"], "rows": {(): [3, 1]}}, "B": {"states": ["u", "v"], "parents": ["A"], "rows": {("a",): [1, 1]}, "default": [1, 3]}}
+    parents, made = tables.spec_tables(spark, spec)
+    assert parents == {"A": [], "B": ["A"]}
+    assert {(r.A, r.B): r.prob for r in made["B"].collect()} == {("a", "u"): 0.5, ("a", "v"): 0.5, ("b", "u"): 0.25, ("b", "v"): 0.75}
+    with pytest.raises(ValueError, match="no row"):
+        tables.spec_tables(spark, {"A": {"states": ["a"], "rows": {}}})
+
+
+def test_streams_meet_within_a_time(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    left, right = (x.where(f"event_id % 2 = {k}").select("user_id", F.col("ts").alias(n), F.col("event_id").alias(f"e{k}")) for k, n, x in ((0, "t0", stream), (1, "t1", stream)))
+    q = updates.matched_within(left, right, "user_id", "t0", "t1", "1 day", "1 hour").select("e0", "e1").writeStream.format("memory").queryName("met").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    a, b = e.where("event_id % 2 = 0").alias("a"), e.where("event_id % 2 = 1").alias("b")
+    want = a.join(b, F.expr("a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 hour")).select("a.event_id", "b.event_id")
+    assert sorted(map(tuple, spark.table("met").collect())) == sorted(map(tuple, want.collect()))
