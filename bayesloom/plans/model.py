@@ -15,7 +15,7 @@ from copy import deepcopy
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import binned, cpt, factor, features, gaussian, kernel, particles
+from ..operators import binned, cpt, factor, features, gaussian, kernel, neural, particles
 from .handle import Handle
 from .kept import kept
 
@@ -26,6 +26,10 @@ CPDS = {
     "kde": {"bandwidth": 0.5, "parent_bandwidth": 0.5, "max_points": 2000, "least": 0.0},
     "rff_gaussian": {"features": 64, "length_scale": 1.0, "ridge": 1e-3},
     "binned": {"bins": 16, "kind": "uniform", "within": "uniform", "smoothing": 0.0},
+    "gaussian_nn": {"hidden": 16, "steps": 60, "rate": 0.05},
+    "mdn": {"components": 3, "hidden": 16, "steps": 60, "rate": 0.05},
+    "softmax_nn": {"most": 64, "hidden": 16, "steps": 60, "rate": 0.05},
+    "categorical_embedded_softmax": {"most": 64, "hidden": 16, "steps": 60, "rate": 0.05},
 }
 INFERENCE = {
     "monte_carlo_marginalization": {"n_samples": 200},
@@ -39,7 +43,7 @@ INFERENCE = {
     "variable_elimination": {},
 }
 SAMPLING = {"ancestral": {"n_samples": 200}, "gibbs": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "candidates": 8}}
-UPDATES = ("merge", "replace", "ema", "replay_buffer")
+UPDATES = ("merge", "replace", "ema", "replay_buffer", "online_sgd")
 
 
 def _blend(old: DataFrame, new: DataFrame, family: list[str], alpha: float) -> DataFrame:
@@ -151,6 +155,13 @@ class BeliefModel:
     def _fit_others(self, data: DataFrame) -> None:
         """Families that are fitted to rows, not to additive statistics: their parameters are small rows and matrices."""
         self.net.others = {}
+        for v in self._of("gaussian_nn", "mdn"):
+            conf = self.cpds[v]
+            self.net.others[v] = neural.Mixture.fit(data, v, self.net.parents[v], conf.get("components", 1), conf["hidden"], conf["steps"], conf["rate"], self.seed)
+        for v in self._of("softmax_nn", "categorical_embedded_softmax"):
+            conf = self.cpds[v]
+            embed = True if conf["cpd"] == "categorical_embedded_softmax" else None
+            self.net.others[v] = neural.Classes.fit(data, v, self.net.parents[v], conf["most"], conf["hidden"], conf["steps"], conf["rate"], self.seed, embed)
         for v in self._of("kde", "rff_gaussian", "binned"):
             conf, p = self.cpds[v], self.net.parents[v]
             if conf["cpd"] == "kde":
@@ -178,12 +189,13 @@ class BeliefModel:
     def _fitted(self) -> bool:
         return bool(self.net.tables or self.net.linear or self.net.others)
 
-    def update(self, data: DataFrame, update_method: str | None = None, alpha: float = 0.1, max_size: int = 2000, order: str | None = None) -> BeliefModel:
+    def update(self, data: DataFrame, update_method: str | None = None, alpha: float = 0.1, max_size: int = 2000, order: str | None = None, steps: int = 1) -> BeliefModel:
         """New rows: ``merge`` adds their statistics, ``replace`` refits on them, ``ema`` moves the parameters by ``alpha``
         towards those of the new rows, ``replay_buffer`` refits on the newest ``max_size`` rows by
         ``order``, or without it on those of the latest updates.
 
-        Families without additive statistics are refitted by ``replace`` and ``replay_buffer`` only.
+        ``online_sgd`` takes ``steps`` more gradient steps on them, with the optimiser's state as it was left.
+        Other families without additive statistics are refitted by ``replace`` and ``replay_buffer`` only.
         """
         if not self._fitted():
             raise RuntimeError("fit the model before updating it")
@@ -201,6 +213,12 @@ class BeliefModel:
             self.buffer = data = kept(rows.orderBy(*newest, *sorted(self.net.parents)).limit(max_size))
         if self.update_method in ("replace", "replay_buffer"):
             return self.fit(data)
+        if self.update_method == "online_sgd":
+            fixed = sorted(set(self.net.parents) - set(self._of("gaussian_nn", "mdn", "softmax_nn", "categorical_embedded_softmax")))
+            if fixed:
+                raise ValueError(f"online_sgd needs families with gradients; {fixed} have none")
+            self.net.others = {v: m.more(data, steps, self.cpds[v]["rate"]) for v, m in self.net.others.items()}
+            return self
         if self.net.others:
             raise ValueError(f"{self.update_method} needs additive statistics; {sorted(self.net.others)} have none")
         new = BeliefModel(self.net.parents, self.seed)

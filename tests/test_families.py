@@ -80,3 +80,55 @@ def test_random_features(spark):
     again = features.fit(df.repartition(5), "y", ["a"], features=100, length_scale=0.5)
     assert again.std == pytest.approx(model.std, rel=1e-4)
     assert features.fit(df.limit(0), "y", ["a"]).std == 1.0
+
+
+def test_gradients_equal_differences():
+    """Gradients of both losses against differences of the loss."""
+    from bayesloom.operators import neural
+
+    rng = np.random.default_rng(0)
+    for loss, outs, y in ((neural.mixture_loss, 6, rng.normal(size=9)), (neural.class_loss, 4, rng.integers(0, 4, 9).astype(float))):
+        net = neural.Net(["a", "b"], outs, 5, np.zeros(2), np.ones(2), rng.normal(size=3 * 5 + 6 * outs))
+        x = rng.normal(size=(9, 2))
+        z, h, out = net.forward(x)
+        g = net.backward(z, h, loss(out, y)[1])
+        for k in range(0, len(g), 7):
+            w = net.weights.copy()
+            net.weights[k] += 1e-6
+            up = loss(net.forward(x)[2], y)[0]
+            net.weights = w.copy()
+            net.weights[k] -= 1e-6
+            down = loss(net.forward(x)[2], y)[0]
+            net.weights = w
+            assert g[k] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-5)
+
+
+def test_neural_families(spark):
+    from bayesloom.plans.model import BeliefModel
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=800)
+    y = np.sin(1.5 * x) + 0.1 * rng.normal(size=800)
+    c = np.where(x + 0.2 * rng.normal(size=800) > 0, "hi", "lo")
+    df = spark.createDataFrame([(float(a), float(b), str(k), str(k) if rng.random() < 0.9 else "lo") for a, b, k in zip(x, y, c, strict=True)], "x double, y double, c string, e string").coalesce(2)
+    m = BeliefModel({"x": [], "y": ["x"], "c": ["x"], "e": ["c"]})
+    nn = {"hidden": 12, "steps": 40, "rate": 0.1}
+    m.set_learning_method("node_wise", {"x": {"cpd": "gaussian_nn", **nn, "steps": 15}, "y": {"cpd": "mdn", "components": 2, **nn}, "c": {"cpd": "softmax_nn", **nn}, "e": {"cpd": "categorical_embedded_softmax", **nn}}).fit(df)
+    rows = spark.createDataFrame([(0, -1.0), (1, 1.0)], "row_id long, x double")
+    got = {r.row_id: r["mean"] for r in m.handle("y").conditional_mean_std(rows, n=200).collect()}
+    assert got[0] == pytest.approx(np.sin(-1.5), abs=0.3) and got[1] == pytest.approx(np.sin(1.5), abs=0.3)
+    p = {r.row_id: r.pdf for r in m.handle("c").pdf(rows.withColumn("c", F.lit("hi"))).collect()}
+    assert p[0] < 0.1 and p[1] > 0.9
+    q = spark.createDataFrame([(0, "lo"), (1, "hi")], "row_id long, c string")
+    p = {r.row_id: r.pdf for r in m.handle("e").pdf(q.withColumn("e", F.lit("hi"))).collect()}
+    assert p[0] < 0.1 and p[1] > 0.75
+    drawn = m.handle("c").sample(rows, 50).groupBy("row_id", "c").count().collect()
+    assert sum(r["count"] for r in drawn) == 100
+    before = m.cpd("y").net
+    m.update(df, "online_sgd", steps=1)
+    assert m.cpd("y").net.steps == before.steps + 1 and not np.allclose(m.cpd("y").net.weights, before.weights)
+    with pytest.raises(ValueError, match="outside its classes|RAISE"):
+        try:
+            m.handle("c").log_prob(rows.withColumn("c", F.lit("other"))).collect()
+        except Exception as e:
+            raise ValueError(str(e)) from None
