@@ -99,7 +99,7 @@ class Search:
     """Local search on bins: each step shifts tokens from one bin to a fuller one, so that the sum of squared fills grows.
 
     A step moves a piece, or exchanges one piece for a smaller one, two for one, or one for two,
-    between two underfull bins; of all steps out of a bin the one of the largest growth is taken. Bins
+    between two underfull bins; pairs are tried where single pieces give no step. Bins
     are tried from the emptiest on, until none can shift anything or the fewest possible are left.
     """
 
@@ -129,41 +129,51 @@ class Search:
         self.sum, self.at = self.size[self.first] + self.size[self.second], self.where[self.first]
         self.fresh = np.ones(len(self.fill), bool)
 
-    def _best(self, gives: int, sizes: np.ndarray, bins: np.ndarray, a: int) -> tuple[int, int]:
+    def _best(self, gives: int, sizes: np.ndarray | int, bins: np.ndarray, a: int) -> tuple[int, int]:
         """Of giving ``gives`` tokens of bin ``a`` for one of ``sizes`` in ``bins``: the largest growth of half the squared fills, and its place."""
         gain = gives - sizes
-        grown = np.where((gain > 0) & (gain <= self.room[bins]), gain * (self.fill[bins] - self.fill[a] + gain), 0)
-        k = int(grown.argmax()) if len(grown) else -1
-        return (int(grown[k]), k) if k >= 0 else (0, -1)
+        fits = np.flatnonzero((gain > 0) & (gain <= self.room[bins]))
+        if not len(fits):
+            return 0, -1
+        gain = gain[fits] if isinstance(gain, np.ndarray) else gain
+        grown = gain * (self.fill[bins[fits]] - self.fill[a] + gain)
+        k = int(grown.argmax())
+        return int(grown[k]), int(fits[k])
 
     def step(self, a: int) -> bool:
-        """The step out of bin ``a`` by which the squared fills grow most, if there is one."""
+        """A step out of bin ``a``: of the first kind that has any, the one by which the squared fills grow most."""
         self.room = np.where((self.fill >= self.fill[a]) & (self.fill > 0), self.capacity - self.fill, 0)
         self.room[a] = 0
-        if not self.room.any():
+        open_ = np.flatnonzero(self.room)
+        if not len(open_):
             return False
         own = self._distinct(a)
-        open_ = np.flatnonzero(self.room)
         near = np.flatnonzero(self.room[self.where] > 0)  # pieces of bins that can take something
-        alive = np.flatnonzero(self.fresh[self.at] & (self.room[self.at] > 0))
-        sizes, bins, sums, at = self.size[near], self.where[near], self.sum[alive], self.at[alive]
+        sizes, bins = self.size[near], self.where[near]
         most, best = 0, None
         for i in own:
             n = int(self.size[i])
-            grown, k = self._best(n, np.zeros(len(open_), np.int64), open_, a)
+            grown, k = self._best(n, 0, open_, a)
             if grown > most:
                 most, best = grown, ("move", [i], [], int(open_[k]))
             grown, k = self._best(n, sizes, bins, a)
             if grown > most:
                 most, best = grown, ("one_for_one", [i], [int(near[k])], int(bins[k]))
-            grown, k = self._best(n, sums, at, a)
-            if grown > most:
-                most, best = grown, ("one_for_two", [i], [int(self.first[alive[k]]), int(self.second[alive[k]])], int(at[k]))
+        if best is not None:
+            return self._take(a, best)
         for k, i in enumerate(own):
             for j in own[k + 1 :]:
                 grown, n = self._best(int(self.size[i] + self.size[j]), sizes, bins, a)
                 if grown > most:
                     most, best = grown, ("two_for_one", [i, j], [int(near[n])], int(bins[n]))
+        if best is not None:
+            return self._take(a, best)
+        alive = np.flatnonzero(self.fresh[self.at] & (self.room[self.at] > 0))
+        sums, at = self.sum[alive], self.at[alive]
+        for i in own:
+            grown, k = self._best(int(self.size[i]), sums, at, a)
+            if grown > most:
+                most, best = grown, ("one_for_two", [i], [int(self.first[alive[k]]), int(self.second[alive[k]])], int(at[k]))
         return self._take(a, best)
 
     def _take(self, a: int, best: tuple | None) -> bool:
