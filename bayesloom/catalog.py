@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import divergence, draws, records, scalars
 from .operators import binned, cpt, factor, gaussian, graph, particles, summary
 from .plans.kept import kept
+from .streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,11 +38,11 @@ def r6(c: str, alias: str | None = None):
     return F.round(F.col(c), 6).alias(alias or c)
 
 
-def base(spark: SparkSession, d: str) -> DataFrame:
+def base(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """The discrete network's rows: line items with their order and customer."""
     li, o, c = (table(spark, d, t) for t in ("lineitem", "orders", "customer"))
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    return rows.select("c_mktsegment", "o_orderpriority", "o_orderstatus", "l_returnflag", "l_linestatus")
+    return rows.select("c_mktsegment", "o_orderpriority", "o_orderstatus", "l_returnflag", "l_linestatus", *more)
 
 
 BASE = "base AS (SELECT c_mktsegment, o_orderpriority, o_orderstatus, l_returnflag, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
@@ -117,10 +118,14 @@ def categorical_log_prob(spark, d):
     return scored.groupBy(*LS, "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("log_prob"), 4).alias("log_prob"))
 
 
-@query("z24_held_out_nll", f"WITH {BASE}, t AS ({cpt_sql('l_linestatus', LS)}) SELECT round(avg(-ln(greatest(prob, 1e-12))), 6) AS nll FROM base JOIN t USING (o_orderstatus, l_returnflag, l_linestatus)")
+_HELD = BASE.replace("SELECT c_mktsegment", "SELECT l_orderkey % 5 = 0 AS held, c_mktsegment").replace("base AS", "every AS") + ", base AS (SELECT * FROM every WHERE NOT held), test AS (SELECT * FROM every WHERE held)"
+
+
+@query("z24_held_out_nll", f"WITH {_HELD}, t AS ({cpt_sql('l_linestatus', LS)}) SELECT round(avg(-ln(greatest(prob, 1e-12))), 6) AS nll FROM test JOIN t USING (o_orderstatus, l_returnflag, l_linestatus)")
 def held_out_nll(spark, d):
-    rows = base(spark, d)
-    return cpt.log_prob(rows, cpt.fit_cpt(rows, "l_linestatus", LS), "l_linestatus", LS).agg(F.round(F.avg(-F.col("log_prob")), 6).alias("nll"))
+    """Fitted to four fifths of the orders, scored on the fifth."""
+    rows, held = base(spark, d, "l_orderkey"), F.col("l_orderkey") % 5 == 0
+    return cpt.log_prob(rows.where(held), cpt.fit_cpt(rows.where(~held), "l_linestatus", LS), "l_linestatus", LS).agg(F.round(F.avg(-F.col("log_prob")), 6).alias("nll"))
 
 
 # exact elimination: P(c_mktsegment | l_linestatus = F)
@@ -340,7 +345,8 @@ def divergences(spark, d):
 @query("v11_regression_errors", "WITH t AS (SELECT l_extendedprice / 1000 AS y, l_quantity * 0.75 AS p FROM lineitem) SELECT round(avg((y - p) ** 2), 4) AS mse, round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 5) AS r2 FROM t")
 def regression_errors(spark, d):
     y, p = F.col("price"), F.col("qty") * 0.75
-    return priced(spark, d).agg(F.round(F.avg((y - p) ** 2), 4).alias("mse"), F.round(F.avg(F.abs(y - p)), 4).alias("mae"), F.round(1 - F.sum((y - p) ** 2) / (F.var_pop(y) * F.count("*")), 5).alias("r2"))
+    errors = divergence.regression_errors(y, p)
+    return priced(spark, d).agg(*[F.round(errors[n], k).alias(n) for n, k in (("mse", 4), ("mae", 4), ("r2", 5))])
 
 
 # report tables
@@ -355,7 +361,7 @@ def robust_summary(spark, d):
 
 @query("a03_mean_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
 def mean_summary(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return summary.mean_summary(table(spark, d, "events"), ["event_type"], "value").select("event_type", "n", r6("mean"), r6("std"))
 
 
 _ATT = "att AS (SELECT event_id // 8 AS query_id, event_type AS method, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value > 40 END AS ok, value FROM events)"
@@ -408,14 +414,14 @@ def runs_and_chunks(spark, d):
 @query("x06_pivot", "SELECT event_type, count(*) FILTER (value <= 20) AS low, count(*) FILTER (value > 20 AND value <= 60) AS mid, count(*) FILTER (value > 60) AS top FROM events GROUP BY event_type")
 def pivot(spark, d):
     level = F.expr("CASE WHEN value <= 20 THEN 'low' WHEN value <= 60 THEN 'mid' ELSE 'top' END")
-    return table(spark, d, "events").withColumn("level", level).groupBy("event_type").pivot("level", ["low", "mid", "top"]).count().na.fill(0)
+    return summary.outcome_pivot(table(spark, d, "events").withColumn("level", level), ["event_type"], "level", ["low", "mid", "top"])
 
 
 @query("x05_jaccard", "WITH s AS (SELECT l_orderkey AS o, list(DISTINCT l_linenumber) AS x FROM lineitem GROUP BY 1) SELECT a.o AS a, b.o AS b, round(1 - len(list_intersect(a.x, b.x)) * 1.0 / len(list_distinct(list_concat(a.x, b.x))), 6) AS dist FROM s a JOIN s b ON b.o = a.o + 1")
 def jaccard(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set("l_linenumber").alias("x"))
     b = s.select((F.col("o") - 1).alias("o"), F.col("o").alias("b"), F.col("x").alias("y"))
-    return s.join(b, "o").select(F.col("o").alias("a"), "b", F.round(1 - F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("dist"))
+    return s.join(b, "o").select(F.col("o").alias("a"), "b", F.round(summary.jaccard_distance(F.col("x"), F.col("y")), 6).alias("dist"))
 
 
 # graphs: the network's edges, and a larger graph of keys
@@ -474,14 +480,14 @@ def incremental_counts(spark, d):
 
 @query("u08_tumbling_windows", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark, d):
-    return table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
+    rows = updates.windowed(table(spark, d, "events"), "ts", "1 day", "1 hour", ["event_type"], "value")
+    return rows.select("event_type", F.col("start").alias("hour"), "n", F.round("total", 4).alias("total"))
 
 
 @query("w07_last_rows", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20")
 def last_rows(spark, d):
     """A replay buffer: the last 20 rows of each group."""
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("event_id")))
-    return table(spark, d, "events").select("event_type", "event_id", r.alias("r")).where("r <= 20").drop("r")
+    return summary.newest(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id", 20)
 
 
 @query("a14_error_counters", f"WITH {_MSG}, m AS (SELECT event_type, {_SIG} AS signature FROM msgs) SELECT event_type, signature, count(*) AS n FROM m GROUP BY GROUPING SETS ((event_type), (signature), (event_type, signature), ())")
@@ -525,5 +531,4 @@ def binned_log_density(spark, d):
 @query("p22_j11_nearest_support", "SELECT event_id, (CASE WHEN value <= 15 THEN 10 WHEN value <= 35 THEN 20 ELSE 50 END)::INT AS nearest FROM events")
 def nearest_support(spark, d):
     values = F.array(F.lit(10), F.lit(20), F.lit(50))
-    best = F.array_min(F.transform(values, lambda v: F.struct(F.abs(F.col("value") - v).alias("gap"), v.alias("v"))))
-    return table(spark, d, "events").select("event_id", best["v"].alias("nearest"))
+    return table(spark, d, "events").select("event_id", scalars.nearest_in(F.col("value"), values).alias("nearest"))

@@ -69,3 +69,10 @@ def wasserstein_on(p: Column, q: Column, support: Column) -> Column:
 def moment_errors(mean: Column, std: Column, true_mean: Column, true_std: Column) -> tuple[Column, Column]:
     """Absolute errors of a mean and a standard deviation."""
     return F.abs(mean - true_mean), F.abs(std - true_std)
+
+
+def regression_errors(truth: Column, predicted: Column) -> dict[str, Column]:
+    """Aggregates ``mse, mae, r2``; without variation of the truth ``r2`` is 1 for no error and else 0."""
+    rest, spread = F.sum((truth - predicted) ** 2), F.var_pop(truth) * F.count(truth)
+    flat = F.when(rest == 0, 1.0).otherwise(0.0)
+    return {"mse": F.avg((truth - predicted) ** 2), "mae": F.avg(F.abs(truth - predicted)), "r2": F.when(spread == 0, flat).otherwise(1 - rest / spread)}

@@ -62,3 +62,8 @@ def stable_seed(seed: int, key: Column) -> Column:
     h = F.sha2(key, 256)
     swapped = F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
     return F.pmod(F.conv(swapped, 16, 10).cast("long") + F.lit(seed), F.lit(1 << 32))
+
+
+def nearest_in(x: Column, support: Column) -> Column:
+    """The value of an array that lies nearest, the smaller of two equally near ones."""
+    return F.array_min(F.transform(support, lambda v: F.struct(F.abs(x - v).alias("gap"), v.alias("v"))))["v"]

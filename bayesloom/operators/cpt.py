@@ -53,9 +53,8 @@ def fit_all(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     sets = [[*p, c] for c, p in families.items()]
     columns = list(dict.fromkeys(c for s in sets for c in s))
     keys = ", ".join(f"`{c}`" for c in columns)
-    df.select(*columns).createOrReplaceTempView("_families")
     groups = ", ".join("(" + ", ".join(f"`{c}`" for c in s) + ")" for s in sets)
-    rows = df.sparkSession.sql(f"SELECT {keys}, grouping_id() AS g, count(*) AS n FROM _families GROUP BY GROUPING SETS ({groups})")
+    rows = df.sparkSession.sql(f"SELECT {keys}, grouping_id() AS g, count(*) AS n FROM {{df}} GROUP BY GROUPING SETS ({groups})", df=df.select(*columns))
     out = None
     for child, parents in families.items():
         own = {*parents, child}

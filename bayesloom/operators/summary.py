@@ -81,3 +81,24 @@ def chunks(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     runs = df.withColumn("run", F.sum(new.cast("int")).over(w))
     at = F.row_number().over(Window.partitionBy("run").orderBy(*order)) - 1
     return runs.withColumn("chunk", F.floor(at / size).cast("int"))
+
+
+def mean_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``n, mean, std`` (population) per group; nulls count in ``n`` alone."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def newest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each group by ``order``: a replay buffer."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    return df.withColumn("_r", place).where(F.col("_r") <= n).drop("_r")
+
+
+def jaccard_distance(a: Column, b: Column) -> Column:
+    """One less the share that two arrays' sets have in common of what they have in all; 0 for two empty ones."""
+    return F.coalesce(1 - F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def outcome_pivot(df: DataFrame, keys: list[str], column: str, values: list[str]) -> DataFrame:
+    """Counts of the named values of ``column`` as columns, 0 where there are none."""
+    return df.groupBy(*keys).pivot(column, values).count().na.fill(0, values)
