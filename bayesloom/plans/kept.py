@@ -13,3 +13,8 @@ def kept(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return df.checkpoint(eager=True)
+
+
+def compact(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A kept table of up to ``most`` rows as one partition, so that work on it needs no shuffle; larger ones as they are."""
+    return df.coalesce(1) if df.count() <= most else df

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binned, cpt, factor, features, gaussian, kernel, neural, particles
 from .handle import Handle
-from .kept import kept
+from .kept import compact, kept
 
 # Method names and their defaults.
 CPDS = {
@@ -128,7 +128,7 @@ class BeliefModel:
 
         Each family leaves out the rows that have a null in it, and only those.
         """
-        self.counts = {v: kept(data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n"))) for v in self._of("categorical_table")}
+        self.counts = {v: compact(kept(data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n")))) for v in self._of("categorical_table")}
         self.shift, self.stats = {}, {}
         linear = self._of("linear_gaussian")
         if linear:
@@ -182,7 +182,7 @@ class BeliefModel:
         self.net.tables, self.net.linear = {}, {}
         for v, conf in self.cpds.items():
             if conf["cpd"] == "categorical_table":
-                self.net.tables[v] = kept(cpt.fit_cpt(self.counts[v], v, self.net.parents[v], conf["alpha"], conf["smoothing"], conf["prior"], weight="n"))
+                self.net.tables[v] = compact(kept(cpt.fit_cpt(self.counts[v], v, self.net.parents[v], conf["alpha"], conf["smoothing"], conf["prior"], weight="n")))
             elif conf["cpd"] == "linear_gaussian":
                 self.net.linear[v] = gaussian.solve(self.stats[v], v, self.net.parents[v], self.shift, conf["ridge"])
 
@@ -234,7 +234,7 @@ class BeliefModel:
             return self
         for v in self.counts:
             fresh = data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n"))
-            self.counts[v] = kept(self.counts[v].unionByName(fresh).groupBy(*self.net.parents[v], v).agg(F.sum("n").alias("n")))
+            self.counts[v] = compact(kept(self.counts[v].unionByName(fresh).groupBy(*self.net.parents[v], v).agg(F.sum("n").alias("n"))))
         if self.stats:
             more = self._moments(data)
             self.stats = {v: {k: x + more[v][k] for k, x in own.items()} for v, own in self.stats.items()}
