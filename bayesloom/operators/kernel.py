@@ -9,15 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import normal, uniform
+from ..functions.draws import fast_uniform, normal, uniform
 from ..functions.scalars import normal_log_density
 
 
 def fit(df: DataFrame, child: str, parents: list[str] = (), max_points: int = 2000, seed: int = 0) -> DataFrame:
-    """One row with ``points``: at most ``max_points`` complete rows, chosen by hash, as structs of doubles."""
+    """One row with ``points``: at most ``max_points`` complete rows as structs of doubles, each row alike likely.
+
+    Rows are ordered by hashed exponential draws. Of ``n`` equal rows only the first ``max_points`` of
+    their order statistics are drawn, from the spacings between them, so that copies count in
+    proportion and the choice depends on the values alone.
+    """
     columns = [child, *parents]
-    rows = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(c) for c in columns])
-    few = rows.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(max_points)
+    rows = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(c) for c in columns]).groupBy(*columns).agg(F.count("*").alias("_n"))
+    ranks = F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(max_points)).cast("int"))
+    u = lambda i: fast_uniform(F.lit(seed), *[F.col(c) for c in columns], i)
+    gaps = F.transform(ranks, lambda i: -F.ln(u(i)) / (F.col("_n") - i + 1))
+    sums = F.aggregate(gaps, F.array().cast("array<double>"), lambda acc, g: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + g)))
+    few = rows.select(*columns, F.explode(sums).alias("_at")).orderBy("_at", *columns).limit(max_points)
     return few.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("points"))
 
 

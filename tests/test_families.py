@@ -132,3 +132,11 @@ def test_neural_families(spark):
             m.handle("c").log_prob(rows.withColumn("c", F.lit("other"))).collect()
         except Exception as e:
             raise ValueError(str(e)) from None
+
+
+def test_kernel_points_are_drawn_in_proportion(spark):
+    """Half of all rows are copies of one value: about half of the points are it, in any partitioning."""
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(-1.0)).otherwise(F.col("id").cast("double")).alias("x"))
+    points = [p.x for p in kernel.fit(df, "x", max_points=300).first().points]
+    assert len(points) == 300 and 110 < points.count(-1.0) < 190
+    assert [p.x for p in kernel.fit(df.repartition(5), "x", max_points=300).first().points] == points
