@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..plans.kept import kept
 
 
 def support(df: DataFrame, column: str, declared: int | None = None) -> DataFrame:
@@ -65,6 +66,24 @@ def fit_all(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     return out
 
 
+def count_families(df: DataFrame, families: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """``parents..., child, n`` for each family, all from one scan by grouping sets, whose result is kept.
+
+    Each family leaves out the rows that have a null in it, and only those.
+    """
+    if not families:
+        return {}
+    sets = [[*p, c] for c, p in families.items()]
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    rows = kept(df.select(*columns).groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().alias("_g"), F.count("*").alias("n")))
+    out = {}
+    for child, parents in families.items():
+        own = {*parents, child}
+        gid = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in own)
+        out[child] = rows.where(F.col("_g") == gid).select(*parents, child, "n").dropna(subset=[*parents, child])
+    return out
+
+
 def lookup(queries: DataFrame, cpt: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """Exact posterior of the child given all its parents: the matching rows of the table for each query."""
     return queries.join(cpt.select(*parents, child, "prob"), parents) if parents else queries.crossJoin(cpt.select(child, "prob"))

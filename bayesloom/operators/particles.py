@@ -7,6 +7,7 @@ pruned, which changes no weight.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,8 @@ from ..functions.draws import normal, uniform
 from ..plans.kept import kept
 from . import binned, features, kernel
 from . import cpt as tables
-from .gaussian import Linear
+from .conditional import Conditional
+from .gaussian import Linear, density_grid
 
 
 @dataclass
@@ -54,6 +56,9 @@ class Features:
         noise = F.lit(self.model.std) * normal(F.lit(seed), *keys, F.lit(self.child))
         return features.predict(rows, self.model, "_mean").withColumn(self.child, F.col("_mean") + noise).drop("_mean")
 
+    def with_params(self, rows: DataFrame) -> DataFrame:
+        return features.predict(rows, self.model, "_mean").withColumn("_std", F.lit(float(self.model.std)))
+
     def log_prob(self, rows: DataFrame) -> DataFrame:
         return features.predict(rows, self.model, "_mean").withColumn("log_prob", self.model.log_density("_mean")).drop("_mean")
 
@@ -95,7 +100,7 @@ class Network:
     parents: dict[str, list[str]]
     tables: dict[str, DataFrame] = field(default_factory=dict)
     linear: dict[str, Linear] = field(default_factory=dict)
-    others: dict[str, Kernel | Features | Bins] = field(default_factory=dict)
+    others: dict[str, Kernel | Features | Bins | Conditional] = field(default_factory=dict)
 
     def order(self) -> list[str]:
         done: list[str] = []
@@ -147,6 +152,18 @@ def log_prob(net: Network, rows: DataFrame, v: str) -> DataFrame:
     return rows.withColumn("log_prob", net.linear[v].log_density())
 
 
+def is_gaussian(net: Network, v: str) -> bool:
+    """Whether ``v`` is normal given its parents, so that its mean and spread come without draws."""
+    return v in net.linear or isinstance(net.others.get(v), Conditional | Features)
+
+
+def with_params(net: Network, rows: DataFrame, v: str) -> DataFrame:
+    """``rows`` with ``_mean`` and ``_std`` of a normal variable given its parents."""
+    if v in net.linear:
+        return rows.withColumn("_mean", net.linear[v].mean()).withColumn("_std", F.lit(float(net.linear[v].std)))
+    return net.others[v].with_params(rows)
+
+
 def forward(net: Network, queries: DataFrame, n: int, evidence: list[str], do: list[str], seed: int = 0, targets: list[str] | None = None, weigh: bool = True) -> DataFrame:
     """``query_id, particle_id, variables..., log_w``. Clamped variables are columns ``ev_<name>`` and ``do_<name>`` of ``queries``."""
     both = set(evidence) & set(do)
@@ -206,15 +223,63 @@ def importance_sampling(net: Network, queries: DataFrame, n: int, evidence: list
     return first.join(weak, "query_id", "left_anti").unionByName(again)
 
 
+def _copies(weighted: DataFrame, u: Column) -> DataFrame:
+    """``weighted`` with ``_k``, how often systematic resampling with the query's offset ``u`` takes each particle, and the query's ``_n``."""
+    w = Window.partitionBy("query_id")
+    rows = weighted.withColumn("_n", F.count("*").over(w)).withColumn("_hi", F.sum("weight").over(w.orderBy("particle_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.coalesce(F.lag("_hi").over(w.orderBy("particle_id")), F.lit(0.0))
+    total = F.max("_hi").over(w)
+    upto = lambda c: F.greatest(F.ceil(c / F.col("_t") * F.col("_n") - u), F.lit(0))
+    rows = rows.withColumn("_t", total).withColumn("_lo", before)
+    return rows.withColumn("_k", (F.least(upto(F.col("_hi")), F.col("_n")) - F.least(upto(F.col("_lo")), F.col("_n"))).cast("int")).drop("_hi", "_lo", "_t")
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """As many rows as ``_k`` says, with ``particle_id`` counted anew within each query."""
+    rows = rows.where("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    w = Window.partitionBy("query_id").orderBy("particle_id", "_i")
+    return rows.withColumn("_new", F.row_number().over(w) - 1).drop("particle_id", "_k", "_i").withColumnRenamed("_new", "particle_id")
+
+
 def resample(weighted: DataFrame, seed: int = 0) -> DataFrame:
     """Systematic resampling per query: as many particles as before, each of weight 1/n."""
-    w = Window.partitionBy("query_id")
-    ordered = w.orderBy("particle_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count("*").over(w)
-    rows = weighted.withColumn("_n", n).withColumn("_hi", F.sum("weight").over(ordered) * n).withColumn("_u", uniform(F.lit(seed), "query_id", F.lit("resample")))
-    copies = F.greatest(F.ceil(F.col("_hi") - F.col("_u")) - F.greatest(F.ceil(F.col("_hi") - F.col("weight") * F.col("_n") - F.col("_u")), F.lit(0)), F.lit(0)).cast("int")
-    rows = rows.withColumn("_k", copies).where("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    return rows.withColumn("particle_id", F.row_number().over(w.orderBy("particle_id", "_i")) - 1).withColumn("weight", 1 / F.col("_n")).withColumn("log_w", F.lit(0.0)).drop("_n", "_hi", "_u", "_k", "_i")
+    rows = _copied(_copies(weighted, uniform(F.lit(seed), "query_id", F.lit("resample"))))
+    return rows.withColumn("weight", 1 / F.col("_n")).withColumn("log_w", F.lit(0.0)).drop("_n")
+
+
+def sequential(net: Network, queries: DataFrame, n: int, evidence: list[str], do: list[str], seed: int = 0, targets: list[str] | None = None, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Particles that are resampled along the way, and a log of it: sequential Monte Carlo over the topological order.
+
+    After each evidence variable the effective size of each query is found; the particles of those queries where it is
+    under ``threshold`` (up to 1 a fraction of ``n``, at least one particle; above, a number) are resampled
+    systematically and weigh alike from there on, those of all other queries go on with their weights. Variables that
+    come later are drawn for each copy by itself. A query whose particles all have no weight is not resampled.
+
+    The log is ``query_id, step, node, ess, resampled``. Everything is one plan, cut once at its end.
+    """
+    least = max(1.0, threshold * n) if threshold <= 1 else float(threshold)
+    needed = net.ancestors({*(targets or net.parents), *evidence}, set(do))
+    order = [v for v in net.order() if v in needed]
+    rows = queries.withColumn("particle_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("log_w", F.lit(0.0))
+    rows = rows.withColumn("_log", F.array().cast("array<struct<step:int,node:string,ess:double,resampled:boolean>>"))
+    for v in order:
+        if v in do:
+            rows = rows.withColumn(v, F.col(f"do_{v}"))
+        elif v not in evidence:
+            rows = draw(net, rows, v, seed, ["query_id", "particle_id"])
+        else:
+            rows = log_prob(net, rows.withColumn(v, F.col(f"ev_{v}")), v)
+            rows = with_weights(rows.withColumn("log_w", F.col("log_w") + F.col("log_prob")).drop("log_prob"))
+            rows = rows.withColumn("_ess", 1 / F.sum(F.col("weight") ** 2).over(Window.partitionBy("query_id")))
+            rows = _copies(rows, uniform(F.lit(seed), "query_id", F.lit(v), F.lit("resample")))
+            weak = F.col("_ess") < least
+            entry = F.struct(F.lit(order.index(v)).alias("step"), F.lit(v).alias("node"), F.col("_ess").alias("ess"), weak.alias("resampled"))
+            rows = rows.withColumn("_log", F.concat("_log", F.array(entry)))
+            rows = rows.withColumn("_k", F.when(weak, F.col("_k")).otherwise(1)).withColumn("log_w", F.when(weak, 0.0).otherwise(F.col("log_w")))
+            rows = _copied(rows.drop("weight", "_n", "_ess"))
+    done = kept(with_weights(rows))
+    first = done.where("particle_id = 0").select("query_id", F.explode("_log").alias("l"))
+    return done.drop("_log"), first.select("query_id", "l.*")
 
 
 def rao_blackwell(net: Network, queries: DataFrame, n: int, evidence: list[str], do: list[str], target: str, seed: int = 0) -> DataFrame:
@@ -230,6 +295,27 @@ def rao_blackwell(net: Network, queries: DataFrame, n: int, evidence: list[str],
     return mixed.groupBy("query_id", target).agg(F.sum(F.col("weight") * F.col("prob")).alias("prob"))
 
 
+def rao_blackwell_density(net: Network, queries: DataFrame, n: int, evidence: list[str], do: list[str], target: str, points: int = 200, width: float = 4.0, seed: int = 0, chunk: int = 64) -> DataFrame:
+    """``query_id, point, value, density``: a normal target's mixture over weighted draws of what stands above it.
+
+    The target itself is not drawn. Each query's grid spans its mixture's mean plus and minus ``width`` standard
+    deviations. Particles of equal parameters are one component; components go into arrays of about ``chunk``,
+    each of which adds one term to each point's sum, so that there is no row for each component and point.
+    """
+    above = net.parents[target]
+    drawn = with_weights(forward(net, queries, n, evidence, do, seed, above)) if above else queries.withColumn("particle_id", F.lit(0)).withColumn("weight", F.lit(1.0))
+    normals = with_params(net, drawn.drop(target), target).groupBy("query_id", "_mean", "_std").agg(F.sum("weight").alias("w"), F.min("particle_id").alias("_first"))
+    part = F.struct("w", F.col("_mean").alias("m"), F.col("_std").alias("s"))
+    chunks = normals.groupBy("query_id", F.floor(F.col("_first") / chunk).alias("_chunk")).agg(F.sort_array(F.collect_list(part)).alias("_parts"))  # at most ``chunk`` in each
+    added = lambda f: F.sum(F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x["w"] * f(x)))
+    spans = chunks.groupBy("query_id").agg(added(lambda x: x["m"]).alias("_m"), added(lambda x: x["s"] * x["s"] + x["m"] * x["m"]).alias("_q"), added(lambda x: F.lit(1.0)).alias("_w"))
+    spans = spans.select("query_id", (F.col("_m") / F.col("_w")).alias("_centre"), F.sqrt(F.greatest(F.col("_q") / F.col("_w") - (F.col("_m") / F.col("_w")) ** 2, F.lit(0.0))).alias("_spread"))
+    grid = density_grid(spans, F.col("_centre"), F.col("_spread"), points, width).select("query_id", "point", "value")
+    z = lambda x: (F.col("value") - x["m"]) / x["s"]
+    term = F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x["w"] * F.exp(-0.5 * z(x) * z(x)) / (x["s"] * math.sqrt(2 * math.pi)))
+    return chunks.join(grid, "query_id").groupBy("query_id", "point", "value").agg(F.sum(term).alias("density"))
+
+
 def relative(a: DataFrame, b: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Differences of two posteriors' statistics: by query, or against the one row of ``b``."""
     ref = b.select("query_id", F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"))

@@ -15,7 +15,7 @@ from copy import deepcopy
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import binned, cpt, factor, features, gaussian, kernel, neural, particles
+from ..operators import binned, conditional, cpt, factor, features, gaussian, kernel, neural, particles
 from .handle import Handle
 from .kept import compact, kept
 
@@ -23,6 +23,7 @@ from .kept import compact, kept
 CPDS = {
     "categorical_table": {"alpha": 1.0, "smoothing": "total_mass", "prior": "global"},
     "linear_gaussian": {"ridge": 1e-6},
+    "conditional_gaussian": {"ridge": 0.0, "least_rows": None, "discrete": None},
     "kde": {"bandwidth": 0.5, "parent_bandwidth": 0.5, "max_points": 2000, "least": 0.0},
     "rff_gaussian": {"features": 64, "length_scale": 1.0, "ridge": 1e-3},
     "binned": {"bins": 16, "kind": "uniform", "within": "uniform", "smoothing": 0.0},
@@ -35,8 +36,8 @@ INFERENCE = {
     "monte_carlo_marginalization": {"n_samples": 200},
     "likelihood_weighting": {"n_samples": 512},
     "importance_sampling": {"n_samples": 200, "fraction": 0.1},
-    "resampled_importance_sampling": {"n_samples": 200},
-    "rao_blackwellized_marginalization": {"n_samples": 200},
+    "resampled_importance_sampling": {"n_samples": 200, "ess_threshold": 0.5, "resample": True},
+    "rao_blackwellized_marginalization": {"n_samples": 200, "n_particles": None, "width": 4.0, "fallback": "likelihood_weighting"},
     "categorical_exact": {},
     "gaussian_exact": {"n_samples": 200, "width": 4.0},
     "lbp": {"n_samples": 200, "n_iters": 10, "damping": 0.5, "fallback": "importance_sampling", "tol": 1e-4},
@@ -73,6 +74,8 @@ class BeliefModel:
         self.counts: dict[str, DataFrame] = {}
         self.stats: dict[str, dict] = {}
         self.shift: dict[str, float] = {}
+        self.mixed: dict[str, DataFrame] = {}
+        self.resampled: DataFrame | None = None
         self.buffer: DataFrame | None = None
         self.batches = 0
         self.update_method: str | None = None
@@ -95,6 +98,8 @@ class BeliefModel:
         name, conf = _choose(INFERENCE, method, "inference", **settings)
         if name == "lbp" and not 0 <= conf["damping"] <= 1:
             raise ValueError("damping must be in [0, 1]")
+        if name == "rao_blackwellized_marginalization" and conf["fallback"] not in ("likelihood_weighting", "none"):
+            raise ValueError(f"unknown fallback {conf['fallback']!r}")
         if name == "lbp" and conf["fallback"] not in ("importance_sampling", "monte_carlo_marginalization"):
             raise ValueError(f"unknown fallback {conf['fallback']!r}")
         self.inference = (name, conf)
@@ -128,14 +133,30 @@ class BeliefModel:
 
         Each family leaves out the rows that have a null in it, and only those.
         """
-        self.counts = {v: compact(kept(data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n")))) for v in self._of("categorical_table")}
+        self.counts = self._counts(data)
         self.shift, self.stats = {}, {}
-        linear = self._of("linear_gaussian")
-        if linear:
-            columns = sorted({c for v in linear for c in [v, *self.net.parents[v]]})
+        linear, mixed = self._of("linear_gaussian"), self._of("conditional_gaussian")
+        columns = sorted({c for v in [*linear, *mixed] for c in [v, *self.net.parents[v]] if c not in (self._discrete(v) if v in mixed else [])})
+        if columns:
             means = data.select(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
             self.shift = {c: means[c] or 0.0 for c in columns}
+        if linear:
             self.stats = self._moments(data)
+        self.mixed = {v: kept(self._mixed(data, v)) for v in mixed}
+
+    def _counts(self, data: DataFrame) -> dict[str, DataFrame]:
+        """Counts of all tables from one scan."""
+        return cpt.count_families(data, {v: self.net.parents[v] for v in self._of("categorical_table")})
+
+    def _discrete(self, v: str) -> list[str]:
+        """The discrete parents of a conditional Gaussian: those named, or those whose family has values."""
+        named = self.cpds[v].get("discrete")
+        valued = self._of("categorical_table", "softmax_nn", "categorical_embedded_softmax")
+        return [p for p in self.net.parents[v] if (p in named if named is not None else p in valued)]
+
+    def _mixed(self, data: DataFrame, v: str) -> DataFrame:
+        discrete = self._discrete(v)
+        return conditional.statistics(data, v, discrete, [p for p in self.net.parents[v] if p not in discrete], self.shift)
 
     def _moments(self, data: DataFrame) -> dict[str, dict]:
         """Additive statistics of each regression, all from one scan."""
@@ -185,6 +206,11 @@ class BeliefModel:
                 self.net.tables[v] = compact(kept(cpt.fit_cpt(self.counts[v], v, self.net.parents[v], conf["alpha"], conf["smoothing"], conf["prior"], weight="n")))
             elif conf["cpd"] == "linear_gaussian":
                 self.net.linear[v] = gaussian.solve(self.stats[v], v, self.net.parents[v], self.shift, conf["ridge"])
+            elif conf["cpd"] == "conditional_gaussian":
+                discrete = self._discrete(v)
+                rest = [p for p in self.net.parents[v] if p not in discrete]
+                table = kept(conditional.solved(self.mixed[v], v, discrete, rest, self.shift, conf["ridge"], least_rows=conf["least_rows"]))
+                self.net.others[v] = conditional.Conditional(v, self.net.parents[v], discrete, compact(table))
 
     def _fitted(self) -> bool:
         return bool(self.net.tables or self.net.linear or self.net.others)
@@ -219,8 +245,9 @@ class BeliefModel:
                 raise ValueError(f"online_sgd needs families with gradients; {fixed} have none")
             self.net.others = {v: m.more(data, steps, self.cpds[v]["rate"]) for v, m in self.net.others.items()}
             return self
-        if self.net.others:
-            raise ValueError(f"{self.update_method} needs additive statistics; {sorted(self.net.others)} have none")
+        without = set(self.net.others) - set(self.mixed if self.update_method == "merge" else [])
+        if without:
+            raise ValueError(f"{self.update_method} needs additive statistics; {sorted(without)} have none")
         new = BeliefModel(self.net.parents, self.seed)
         new.cpds, new.shift = self.cpds, self.shift
         if self.update_method == "ema":
@@ -232,9 +259,9 @@ class BeliefModel:
                 mix = lambda a, b: (1 - alpha) * a + alpha * b
                 self.net.linear[v] = gaussian.Linear(v, f.parents, mix(f.intercept, g.intercept), [mix(a, b) for a, b in zip(f.coef, g.coef, strict=True)], mix(f.std, g.std))
             return self
-        for v in self.counts:
-            fresh = data.dropna(subset=[*self.net.parents[v], v]).groupBy(*self.net.parents[v], v).agg(F.count("*").alias("n"))
+        for v, fresh in self._counts(data).items():
             self.counts[v] = compact(kept(self.counts[v].unionByName(fresh).groupBy(*self.net.parents[v], v).agg(F.sum("n").alias("n"))))
+        self.mixed = {v: kept(conditional.merged(own, self._mixed(data, v), self._discrete(v))) for v, own in self.mixed.items()}
         if self.stats:
             more = self._moments(data)
             self.stats = {v: {k: x + more[v][k] for k, x in own.items()} for v, own in self.stats.items()}
@@ -267,15 +294,23 @@ class BeliefModel:
         if name == "categorical_exact" and exact and target in self.net.tables:
             rows = cpt.lookup(q.select("query_id", *[F.col(clamped[x]).alias(x) for x in p]), self.net.tables[target], target, p)
             return rows.select("query_id", F.col(target).alias("value"), F.col("prob").alias("weight"), F.lit("pmf").alias("weight_kind"))
-        if name == "gaussian_exact" and exact and target in self.net.linear:
-            f = self.net.linear[target]
-            rows = gaussian.density_grid(q.select("query_id", *[F.col(clamped[x]).alias(x) for x in p]), f.mean(), F.lit(f.std), n, float(conf["width"]))
+        if name == "gaussian_exact" and exact and particles.is_gaussian(self.net, target):
+            given = particles.with_params(self.net, q.select("query_id", *[F.col(clamped[x]).alias(x) for x in p]), target)
+            rows = gaussian.density_grid(given, F.col("_mean"), F.col("_std"), n, float(conf["width"]))
             return rows.select("query_id", "value", F.col("density").alias("weight"), F.lit("density").alias("weight_kind"))
         if name == "variable_elimination" or (name == "categorical_exact" and not self.net.linear and not self.net.others):
             return self._eliminate(q, target, evidence, do)
         if name == "rao_blackwellized_marginalization" and target in self.net.tables:
             rows = particles.rao_blackwell(self.net, q, n, evidence, do, target, self.seed)
             return rows.select("query_id", F.col(target).alias("value"), F.col("prob").alias("weight"), F.lit("pmf").alias("weight_kind"))
+        if name == "rao_blackwellized_marginalization" and not below and particles.is_gaussian(self.net, target):
+            rows = particles.rao_blackwell_density(self.net, q, int(conf["n_particles"] or n), evidence, do, target, n, float(conf["width"]), self.seed)
+            return rows.select("query_id", "value", F.col("density").alias("weight"), F.lit("density").alias("weight_kind"))
+        if name == "rao_blackwellized_marginalization" and conf["fallback"] == "none":
+            raise RuntimeError(f"{target!r} cannot be marginalised with what is given, and there is no fallback")
+        if name == "resampled_importance_sampling" and conf["resample"]:
+            rows, self.resampled = particles.sequential(self.net, q, n, evidence, do, self.seed, [target], float(conf["ess_threshold"]))
+            return rows.select("query_id", F.col(target).alias("value"), "weight", F.lit("weight").alias("weight_kind"))
         if name == "lbp":
             rows = self._damped(q, target, evidence, do, conf)
         elif name == "importance_sampling":
@@ -283,8 +318,6 @@ class BeliefModel:
         else:
             weigh = name != "monte_carlo_marginalization" or mode != "compat"
             rows = particles.with_weights(particles.forward(self.net, q, n, evidence, do, self.seed, [target], weigh=weigh))
-            if name == "resampled_importance_sampling":
-                rows = particles.resample(rows, self.seed)
         return rows.select("query_id", F.col(target).alias("value"), "weight", F.lit("weight").alias("weight_kind"))
 
     def _damped(self, q: DataFrame, target: str, evidence: list[str], do: list[str], conf: dict) -> DataFrame:

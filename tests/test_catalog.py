@@ -3,7 +3,7 @@
 import pytest
 from oracle import connection, rows
 
-from bayesloom import catalog, catalog_reports, catalog_workloads  # noqa: F401  the others add their queries to the first
+from bayesloom import catalog, catalog_models, catalog_reports, catalog_workloads  # noqa: F401  the others add their queries to the first
 
 SF = "/root/testdata/sf0.001"
 
