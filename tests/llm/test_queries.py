@@ -20,8 +20,12 @@ def pandas_table(sf, name):
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, sf, name):
-    got = queries.queries()[name](spark, sf).toPandas()
-    want = connection(sf).execute(queries.oracle_sql()[name]).fetchdf()
+    import pandas as pd
+
+    frame = queries.queries()[name](spark, sf)
+    got = pd.DataFrame([tuple(r) for r in frame.collect()], columns=frame.columns, dtype=object)
+    answer = connection(sf).execute(queries.oracle_sql()[name])
+    want = pd.DataFrame(answer.fetchall(), columns=[c[0] for c in answer.description], dtype=object)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
