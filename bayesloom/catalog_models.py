@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .catalog import _U, query, r6, table
-from .operators import particles
+from .catalog import _JOINT, _U, N1, base, query, r6, table
+from .operators import ordered, particles
+from .plans.batch import AnswerCache, batches, infer_batch, normalised, signatures
+from .plans.kept import scratch
 from .plans.model import BeliefModel
 
 # a mixed network over line items: two tables, a normal root, a regression by configuration and one below it
@@ -137,3 +141,84 @@ def rao_blackwell_gaussian(spark, d):
     model = mixed_model(spark, d, method="rao_blackwellized_marginalization", n_samples=21, n_particles=200)
     rows = model.infer_posterior(table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id")), "price")
     return rows.select("query_id", F.round("value", 5).alias("value"), F.round("weight", 6).alias("density"))
+
+
+# queries of mixed signatures
+_MIXED_ASK = f"""{_JOINT},
+k AS (SELECT c_custkey AS query_id, c_custkey % 3 AS kind, ['F', 'O', 'P'][c_custkey % 3 + 1] AS os, ['A', 'N', 'R'][c_custkey // 3 % 3 + 1] AS rf, c_mktsegment AS seg FROM customer),
+m1 AS (SELECT o_orderstatus, l_linestatus AS value, sum(p) AS p FROM j GROUP BY ALL),
+m2 AS (SELECT l_returnflag, c_mktsegment, o_orderstatus AS value, sum(p) AS p FROM j GROUP BY ALL),
+m3 AS (SELECT e.l_returnflag AS value, e.o_orderstatus, e.prob AS p FROM e),
+ans AS (
+  SELECT query_id, 'l_linestatus' AS target, value, p / sum(p) OVER (PARTITION BY query_id) AS weight FROM k JOIN m1 ON m1.o_orderstatus = k.os WHERE kind = 0
+  UNION ALL SELECT query_id, 'o_orderstatus', value, p / sum(p) OVER (PARTITION BY query_id) FROM k JOIN m2 ON m2.l_returnflag = k.rf AND m2.c_mktsegment = k.seg WHERE kind = 1
+  UNION ALL SELECT query_id, 'l_returnflag', value, p / sum(p) OVER (PARTITION BY query_id) FROM k JOIN m3 ON m3.o_orderstatus = k.os WHERE kind = 2)"""
+
+
+def mixed_questions(spark, d):
+    """A question for each customer, of one of three signatures: with one or two pieces of evidence, or an intervention."""
+    k = F.col("c_custkey")
+    os, rf = F.element_at(F.array(*map(F.lit, "FOP")), (k % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, "ANR")), (F.floor(k / 3) % 3 + 1).cast("int"))
+    target = F.when(k % 3 == 0, "l_linestatus").when(k % 3 == 1, "o_orderstatus").otherwise("l_returnflag")
+    evidence = F.when(k % 3 == 0, F.create_map(F.lit("o_orderstatus"), os)).when(k % 3 == 1, F.create_map(F.lit("l_returnflag"), rf, F.lit("c_mktsegment"), F.col("c_mktsegment")))
+    do = F.when(k % 3 == 2, F.create_map(F.lit("o_orderstatus"), os))
+    return table(spark, d, "customer").select(k.alias("query_id"), target.alias("target"), evidence.alias("evidence"), do.alias("do"))
+
+
+def order_model(spark, d) -> BeliefModel:
+    """The discrete network of line items, orders and customers, answered by elimination."""
+    cpds = {v: {"cpd": "categorical_table"} for v in N1}
+    return BeliefModel(N1).set_learning_method(nodes_cpds=cpds).set_inference_method("variable_elimination").fit(base(spark, d))
+
+
+@query("q01_q27_mixed_signature_batch", f"{_MIXED_ASK} SELECT query_id, target, value, round(weight, 6) AS prob FROM ans")
+def mixed_signature_batch(spark, d):
+    """One batch of questions of three signatures, answered under their ids by a plan for each signature."""
+    return infer_batch(order_model(spark, d), mixed_questions(spark, d)).select("query_id", "target", "value", r6("weight", "prob"))
+
+
+@query("q02_signatures", "SELECT CASE c_custkey % 3 WHEN 0 THEN 'l_linestatus|o_orderstatus|' WHEN 1 THEN 'o_orderstatus|c_mktsegment,l_returnflag|' ELSE 'l_returnflag||o_orderstatus' END AS signature, count(*) AS n FROM customer GROUP BY 1")
+def compiled_signatures(spark, d):
+    return signatures(normalised(mixed_questions(spark, d))).select("signature", "n")
+
+
+@query(
+    "z11_batch_chunks",
+    "WITH k AS (SELECT c_custkey AS query_id, c_nationkey // 5 AS kind FROM customer), e AS (SELECT *, coalesce((kind <> lag(kind) OVER (ORDER BY query_id))::INT, 1) AS new FROM k), r AS (SELECT *, sum(new) OVER (ORDER BY query_id) AS run FROM e) SELECT query_id, run::BIGINT AS run, ((row_number() OVER (PARTITION BY run ORDER BY query_id) - 1) // 2)::INT AS chunk FROM r",
+)
+def batch_chunks(spark, d):
+    """Consecutive questions of one signature in chunks of two."""
+    names = F.element_at(F.array(*map(F.lit, [v for v in sorted(N1)])), (F.floor(F.col("c_nationkey") / 5) + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), names.alias("target"))
+    return batches(rows, 2).select("query_id", "run", "chunk")
+
+
+@query("q28_answer_cache", f"{_MIXED_ASK}, per AS (SELECT kind, count(DISTINCT CASE kind WHEN 1 THEN rf || seg ELSE os END) AS questions FROM k GROUP BY kind) SELECT target, value, count(*) AS n, round(sum(weight), 4) AS total, (SELECT sum(questions) FROM per)::BIGINT AS asked_first, 0::BIGINT AS asked_again FROM ans GROUP BY target, value")
+def answer_cache(spark, d):
+    """The same questions twice, numbers of questions answered each time, and the second call's answers."""
+    model = order_model(spark, d)
+    cache = AnswerCache(model, f"{scratch(spark)}/answers-{uuid.uuid4().hex}")
+    cache.ask(mixed_questions(spark, d))
+    first = cache.answered
+    rows = cache.ask(mixed_questions(spark, d))
+    return rows.groupBy("target", "value").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total")).select("*", F.lit(first).cast("long").alias("asked_first"), F.lit(cache.answered).cast("long").alias("asked_again"))
+
+
+# joins along an order
+@query(
+    "j12_as_of_join",
+    "WITH l AS (SELECT * FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type <> 'purchase' GROUP BY ALL) SELECT l.event_id, coalesce(r.event_id, -1) AS before_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts",
+)
+def as_of_join(spark, d):
+    """For each purchase the user's latest other event that is not later."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    found = ordered.as_of(e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id"), "user_id", "ts")
+    return found.select("event_id", F.coalesce("matched.event_id", F.lit(-1)).alias("before_id"))
+
+
+@query("j12_interval_join", "SELECT s_suppkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 40 * (1 + s_suppkey % 97) GROUP BY s_suppkey")
+def interval_join(spark, d):
+    """Customers whose balance lies in a span from the balance of a supplier of their nation; spans of very different lengths."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 40 * (1 + F.col("s_suppkey") % 97)).alias("hi"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return ordered.within(c, s, "c_acctbal", "lo", "hi", "nation").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def robust(df: DataFrame, keys: list[str], value: str, nonnegative: bool = False) -> DataFrame:
     """Count, interquartile mean, range, quartiles and clipped band of finite values per group (nulls are a group)."""
@@ -76,11 +78,7 @@ def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def chunks(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """``df`` with ``run`` (consecutive equal keys) and ``chunk`` of at most ``size`` rows; a null key is a run of its own."""
-    w = Window.orderBy(*order)
-    new = F.coalesce((F.col(key) != F.lag(key).over(w)), F.lit(True)) | F.col(key).isNull()
-    runs = df.withColumn("run", F.sum(new.cast("int")).over(w))
-    at = F.row_number().over(Window.partitionBy("run").orderBy(*order)) - 1
-    return runs.withColumn("chunk", F.floor(at / size).cast("int"))
+    return ordered.runs(df, key, order, size)
 
 
 def mean_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there from now on; lost executors lose nothing."""
-    spark = df.sparkSession
+    scratch(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for kept tables: that of ``spark.checkpoint.dir``, or one below the warehouse where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def compact(df: DataFrame, most: int = 100_000) -> DataFrame:

@@ -9,7 +9,9 @@ does so too; the default routes such queries to a method that uses it.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from copy import deepcopy
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,6 +81,8 @@ class BeliefModel:
         self.buffer: DataFrame | None = None
         self.batches = 0
         self.update_method: str | None = None
+        self.types: dict[str, str] = {}
+        self._mark: str | None = None
 
     # choosing methods
     def set_learning_method(self, method: str = "node_wise", nodes_cpds: dict[str, dict] | None = None) -> BeliefModel:
@@ -120,6 +124,7 @@ class BeliefModel:
         if self.cpds is None:
             raise RuntimeError("choose a learning method first")
         self._check(data)
+        self.types = {v: data.schema[v].dataType.simpleString() for v in self.net.parents}
         self._statistics(data)
         self._fit_others(data)
         self._estimate()
@@ -200,6 +205,7 @@ class BeliefModel:
                 self.net.others[v] = particles.Bins(v, p, edges, probs, conf["within"])
 
     def _estimate(self) -> None:
+        self._mark = None
         self.net.tables, self.net.linear = {}, {}
         for v, conf in self.cpds.items():
             if conf["cpd"] == "categorical_table":
@@ -212,6 +218,25 @@ class BeliefModel:
                 table = kept(conditional.solved(self.mixed[v], v, discrete, rest, self.shift, conf["ridge"], least_rows=conf["least_rows"]))
                 self.net.others[v] = conditional.Conditional(v, self.net.parents[v], discrete, compact(table))
 
+    def value_type(self, v: str) -> str:
+        """The type of a variable's values: as in the data, or as in its table; else double."""
+        if v in self.net.tables:
+            return self.net.tables[v].schema[v].dataType.simpleString()
+        return self.types.get(v, "double")
+
+    def fingerprint(self) -> str:
+        """A digest of structure and parameters: equal for equal models, also after loading; new for families that only rows can fit."""
+        if self._mark is None:
+            said = [sorted(self.net.parents.items()), sorted((v, list(f)) for v, f in self.net.linear.items())]
+            tables = dict(self.net.tables) | {v: m.table for v, m in self.net.others.items() if isinstance(m, conditional.Conditional)}
+            for v, t in sorted(tables.items()):
+                columns = sorted(set(t.columns) - {"n"})
+                row = t.select(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)"))).first()
+                said.append([v, columns, str(row[0])])
+            said.append([uuid.uuid4().hex for v in self.net.others if v not in tables])
+            self._mark = hashlib.sha256(json.dumps(said, sort_keys=True, default=str).encode()).hexdigest()
+        return self._mark
+
     def _fitted(self) -> bool:
         return bool(self.net.tables or self.net.linear or self.net.others)
 
@@ -244,6 +269,7 @@ class BeliefModel:
             if fixed:
                 raise ValueError(f"online_sgd needs families with gradients; {fixed} have none")
             self.net.others = {v: m.more(data, steps, self.cpds[v]["rate"]) for v, m in self.net.others.items()}
+            self._mark = None
             return self
         without = set(self.net.others) - set(self.mixed if self.update_method == "merge" else [])
         if without:
@@ -251,6 +277,7 @@ class BeliefModel:
         new = BeliefModel(self.net.parents, self.seed)
         new.cpds, new.shift = self.cpds, self.shift
         if self.update_method == "ema":
+            self._mark = None
             new.fit(data)
             for v, t in self.net.tables.items():
                 self.net.tables[v] = kept(_blend(t, new.net.tables[v], [*self.net.parents[v], v], alpha))
@@ -372,6 +399,12 @@ class BeliefModel:
             rows = particles.forward(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, targets, weigh=False)
         return rows.select("query_id", "particle_id", *(targets or self.net.order()))
 
+    def generate(self, spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
+        """``n`` rows drawn from the model, a column for each variable, and ``row_id``: every row depends on its number alone."""
+        ids = spark.range(0, n, 1, partitions).select(F.col("id").alias("query_id")) if partitions else spark.range(n).select(F.col("id").alias("query_id"))
+        rows = particles.forward(self.net, ids, 1, [], [], self.seed, weigh=False)
+        return rows.select(F.col("query_id").alias("row_id"), *self.net.order())
+
     # parameters
     def cpd(self, node: str) -> DataFrame | gaussian.Linear | particles.Kernel | particles.Features | particles.Bins:
         for fitted in (self.net.tables, self.net.linear, self.net.others):
