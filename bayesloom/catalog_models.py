@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import _JOINT, _U, N1, base, query, r6, table
-from .operators import ordered, particles
+from .operators import kernel, ordered, particles
 from .plans.batch import AnswerCache, batches, infer_batch, normalised, signatures
 from .plans.kept import scratch
 from .plans.model import BeliefModel
@@ -222,3 +222,63 @@ def interval_join(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 40 * (1 + F.col("s_suppkey") % 97)).alias("hi"))
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
     return ordered.within(c, s, "c_acctbal", "lo", "hi", "nation").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+# samples that merge, and chains
+_POINTS = (
+    "g AS (SELECT l_orderkey AS o, l_linenumber AS l, l_quantity::DOUBLE AS qty, l_linenumber::DOUBLE AS line, count(*) AS n FROM lineitem GROUP BY ALL), "
+    "e AS (SELECT *, unnest(range(1, n + 1)) AS i FROM g), "
+    "u AS (SELECT *, -ln((('0x' || substr(md5('0|' || o || '|' || l || '|' || qty || '|' || line || '|' || i), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / (n - i + 1) AS gap FROM e), "
+    "k AS (SELECT qty, line, sum(gap) OVER (PARTITION BY o, l, qty ORDER BY i) AS order_key FROM u)"
+)
+
+
+@query("c10_u05_mergeable_points", f"WITH {_POINTS} SELECT qty, line, round(order_key, 9) AS order_key FROM k ORDER BY k.order_key, line, qty LIMIT 400")
+def mergeable_points(spark, d):
+    """Kernel points of three parts of the table, merged: the sample of the whole table."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("qty"), F.col("l_linenumber").cast("double").alias("line"))
+    parts = [kernel.sample(rows.where(F.col("l_orderkey") % 3 == i), ["qty", "line"], 400, 0, ["l_orderkey", "l_linenumber"]) for i in range(3)]
+    merged = kernel.merge(kernel.merge(parts[0], parts[2], 400), parts[1], 400)
+    return merged.select("qty", "line", F.round("order_key", 9).alias("order_key"))
+
+
+_STEP, _LEAPS, _MOVES = 0.4, 3, 2
+
+
+def _hmc_sql() -> str:
+    """Leapfrog steps of both free variables, written out move by move."""
+    k = "'0|' || query_id || '|' || particle_id || '|"
+    logp = "(-0.5 * (((x - xm) / xs) ** 2 + 2 * ln(xs) + ln(2 * pi())) - 0.5 * (((y - (yi + yk * x)) / ys) ** 2 + 2 * ln(ys) + ln(2 * pi())) - 0.5 * (((z - (zi + zk * y)) / zs) ** 2 + 2 * ln(zs) + ln(2 * pi())))"
+    gx, gy = "(-(x - xm) / (xs * xs) + (y - (yi + yk * x)) / (ys * ys) * yk)", "(-(y - (yi + yk * x)) / (ys * ys) + (z - (zi + zk * y)) / (zs * zs) * zk)"
+    ctes = [
+        f"{_MIX}, f AS (SELECT avg(qty) AS xm, stddev_pop(qty) AS xs, regr_intercept(price, qty) AS yi, regr_slope(price, qty) AS yk, sqrt((regr_syy(price, qty) - regr_sxy(price, qty) ** 2 / regr_sxx(price, qty)) / (count(*) - 1)) AS ys, regr_intercept(revenue, price) AS zi, regr_slope(revenue, price) AS zk, sqrt((regr_syy(revenue, price) - regr_sxy(revenue, price) ** 2 / regr_sxx(revenue, price)) / (count(*) - 1)) AS zs FROM t)",
+        "c0 AS (SELECT n_nationkey AS query_id, 20.0 + n_nationkey AS z, unnest(range(0, 20)) AS particle_id FROM nation)",
+        f"c1 AS (SELECT *, xm + xs * {_normal(k + 'qty' + chr(39))} AS x FROM c0, f)",
+        f"c2 AS (SELECT *, yi + yk * x + ys * {_normal(k + 'price' + chr(39))} AS y FROM c1)",
+        f"s0 AS (SELECT *, {logp} AS lp FROM c2)",
+    ]
+    for m in range(_MOVES):
+        at = f"m{m}"
+        ctes.append(f"{at}a AS (SELECT *, x AS x0, y AS y0, {_normal(k + str(m) + '|qty|momentum' + chr(39))} AS px, {_normal(k + str(m) + '|price|momentum' + chr(39))} AS py FROM s{m})")
+        ctes.append(f"{at}b AS (SELECT * REPLACE (px + {_STEP / 2} * {gx} AS px, py + {_STEP / 2} * {gy} AS py), lp - (px * px + py * py) / 2 AS before FROM {at}a)")
+        last = f"{at}b"
+        for i in range(_LEAPS):
+            share = _STEP if i < _LEAPS - 1 else _STEP / 2
+            ctes.append(f"{at}q{i} AS (SELECT * REPLACE (x + {_STEP} * px AS x, y + {_STEP} * py AS y) FROM {last})")
+            ctes.append(f"{at}p{i} AS (SELECT * REPLACE (px + {share} * {gx} AS px, py + {share} * {gy} AS py) FROM {at}q{i})")
+            last = f"{at}p{i}"
+        ctes.append(f"{at}n AS (SELECT *, {logp} AS new FROM {last})")
+        ctes.append(f"{at}t AS (SELECT *, {_U.format(key=k + str(m) + '|accept' + chr(39))} < exp(least(new - (px * px + py * py) / 2 - before, 0)) AS takes FROM {at}n)")
+        ctes.append(f"s{m + 1} AS (SELECT * EXCLUDE (x0, y0, px, py, before, new, takes) REPLACE (CASE WHEN takes THEN x ELSE x0 END AS x, CASE WHEN takes THEN y ELSE y0 END AS y, CASE WHEN takes THEN new ELSE lp END AS lp) FROM {at}t)")
+    return f"WITH {', '.join(ctes)} SELECT query_id, particle_id, round(x, 5) AS qty, round(y, 5) AS price FROM s{_MOVES}"
+
+
+@query("m03_hamiltonian_chains", _hmc_sql())
+def hamiltonian_chains(spark, d):
+    """Quantity and price of an item whose revenue is seen: a chain for each nation's question and draw."""
+    net = {"qty": [], "price": ["qty"], "revenue": ["price"]}
+    model = BeliefModel(net).set_learning_method(nodes_cpds={v: {"cpd": "linear_gaussian", "ridge": 0.0} for v in net}).fit(mixed_rows(spark, d).select(*net))
+    model.set_sampling_method("hmc", n_samples=20, burn_in=_MOVES - 1, n_steps=1, step_size=_STEP, n_leapfrog=_LEAPS)
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), (20.0 + F.col("n_nationkey")).alias("revenue"))
+    rows = model.sample(q, evidence=["revenue"], targets=["qty", "price"])
+    return rows.select("query_id", "particle_id", F.round("qty", 5).alias("qty"), F.round("price", 5).alias("price"))

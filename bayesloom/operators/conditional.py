@@ -82,13 +82,17 @@ class Conditional:
     def __post_init__(self) -> None:
         self.continuous = [p for p in self.parents if p not in self.discrete]
 
-    def with_params(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``_mean`` and ``_std`` of the child; the pooled regression where there is none for the configuration."""
+    def with_regression(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with a struct of intercept, coefficients and spread; the pooled one where there is none for the configuration."""
         part = F.struct("intercept", "coef", "std")
         own = self.table.where("NOT pooled").select(*self.discrete, part.alias("_own"))
         pooled = self.table.where("pooled").select(part.alias("_pooled"))  # one row
         both = (rows.join(own, self.discrete, "left") if self.discrete else rows.withColumn("_own", F.lit(None).cast(own.schema["_own"].dataType))).crossJoin(F.broadcast(pooled))
-        took = both.withColumn("_r", F.coalesce("_own", "_pooled"))
+        return both.select(*rows.columns, F.coalesce("_own", "_pooled").alias(name))
+
+    def with_params(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``_mean`` and ``_std`` of the child."""
+        took = self.with_regression(rows, "_r")
         mean: Column = F.col("_r.intercept")
         for i, p in enumerate(self.continuous):
             mean = mean + F.get(F.col("_r.coef"), F.lit(i)) * F.col(p).cast("double")

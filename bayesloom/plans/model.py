@@ -17,7 +17,7 @@ from copy import deepcopy
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import binned, conditional, cpt, factor, features, gaussian, kernel, neural, particles
+from ..operators import binned, conditional, cpt, factor, features, gaussian, hmc, kernel, neural, particles
 from .handle import Handle
 from .kept import compact, kept
 
@@ -45,7 +45,7 @@ INFERENCE = {
     "lbp": {"n_samples": 200, "n_iters": 10, "damping": 0.5, "fallback": "importance_sampling", "tol": 1e-4},
     "variable_elimination": {},
 }
-SAMPLING = {"ancestral": {"n_samples": 200}, "gibbs": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "candidates": 8}}
+SAMPLING = {"ancestral": {"n_samples": 200}, "gibbs": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "candidates": 8}, "hmc": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "step_size": 0.05, "n_leapfrog": 8, "scales": None}}
 UPDATES = ("merge", "replace", "ema", "replay_buffer", "online_sgd")
 
 
@@ -78,6 +78,8 @@ class BeliefModel:
         self.shift: dict[str, float] = {}
         self.mixed: dict[str, DataFrame] = {}
         self.resampled: DataFrame | None = None
+        self.points: dict[str, DataFrame] = {}
+        self.merges = 0
         self.buffer: DataFrame | None = None
         self.batches = 0
         self.update_method: str | None = None
@@ -180,7 +182,7 @@ class BeliefModel:
 
     def _fit_others(self, data: DataFrame) -> None:
         """Families that are fitted to rows, not to additive statistics: their parameters are small rows and matrices."""
-        self.net.others = {}
+        self.net.others, self.points, self.merges = {}, {}, 0
         for v in self._of("gaussian_nn", "mdn"):
             conf = self.cpds[v]
             self.net.others[v] = neural.Mixture.fit(data, v, self.net.parents[v], conf.get("components", 1), conf["hidden"], conf["steps"], conf["rate"], self.seed)
@@ -191,8 +193,8 @@ class BeliefModel:
         for v in self._of("kde", "rff_gaussian", "binned"):
             conf, p = self.cpds[v], self.net.parents[v]
             if conf["cpd"] == "kde":
-                points = kept(kernel.fit(data, v, p, conf["max_points"], self.seed))
-                self.net.others[v] = particles.Kernel(v, p, points, conf["bandwidth"], conf["parent_bandwidth"], conf["least"])
+                self.points[v] = kept(self._points(data, v))
+                self._kernel(v)
             elif conf["cpd"] == "rff_gaussian":
                 self.net.others[v] = particles.Features(v, p, features.fit(data, v, p, conf["features"], conf["length_scale"], conf["ridge"], self.seed))
             else:
@@ -204,6 +206,15 @@ class BeliefModel:
                 probs = kept(binned.frequencies(at, "_bin", conf["bins"], p, conf["smoothing"]))
                 self.net.others[v] = particles.Bins(v, p, edges, probs, conf["within"])
 
+    def _points(self, data: DataFrame, v: str) -> DataFrame:
+        """A kernel family's sample of one batch, labelled with the batch's number: samples of several batches merge."""
+        rows = data.withColumn("_label", F.lit(self.merges))
+        return kernel.sample(rows, [v, *self.net.parents[v]], self.cpds[v]["max_points"], self.seed, ["_label"])
+
+    def _kernel(self, v: str) -> None:
+        conf, p = self.cpds[v], self.net.parents[v]
+        self.net.others[v] = particles.Kernel(v, p, kept(kernel.as_points(self.points[v], v, p)), conf["bandwidth"], conf["parent_bandwidth"], conf["least"])
+
     def _estimate(self) -> None:
         self._mark = None
         self.net.tables, self.net.linear = {}, {}
@@ -271,7 +282,7 @@ class BeliefModel:
             self.net.others = {v: m.more(data, steps, self.cpds[v]["rate"]) for v, m in self.net.others.items()}
             self._mark = None
             return self
-        without = set(self.net.others) - set(self.mixed if self.update_method == "merge" else [])
+        without = set(self.net.others) - ({*self.mixed, *self.points} if self.update_method == "merge" else set())
         if without:
             raise ValueError(f"{self.update_method} needs additive statistics; {sorted(without)} have none")
         new = BeliefModel(self.net.parents, self.seed)
@@ -288,6 +299,10 @@ class BeliefModel:
             return self
         for v, fresh in self._counts(data).items():
             self.counts[v] = compact(kept(self.counts[v].unionByName(fresh).groupBy(*self.net.parents[v], v).agg(F.sum("n").alias("n"))))
+        self.merges += 1
+        for v, own in self.points.items():
+            self.points[v] = kept(kernel.merge(own, self._points(data, v), self.cpds[v]["max_points"]))
+            self._kernel(v)
         self.mixed = {v: kept(conditional.merged(own, self._mixed(data, v), self._discrete(v))) for v, own in self.mixed.items()}
         if self.stats:
             more = self._moments(data)
@@ -395,6 +410,8 @@ class BeliefModel:
         name, conf = self.sampling
         if name == "gibbs":
             rows = particles.gibbs(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, int(conf["burn_in"]), int(conf["n_steps"]), int(conf["candidates"]))
+        elif name == "hmc":
+            rows = hmc.sample(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, int(conf["burn_in"]), int(conf["n_steps"]), float(conf["step_size"]), int(conf["n_leapfrog"]), conf["scales"])
         else:
             rows = particles.forward(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, targets, weigh=False)
         return rows.select("query_id", "particle_id", *(targets or self.net.order()))

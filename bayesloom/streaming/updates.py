@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import kernel
+
 
 def family_counts(stream: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     """``node, cells, n``: running counts of every family in one aggregation (update or complete mode).
@@ -59,6 +61,25 @@ def merged(counts: DataFrame, decay: float = 0.0) -> DataFrame:
     return counts.crossJoin(F.broadcast(newest)).groupBy("node", "cells").agg(F.sum(F.col("n") * F.pow(F.lit(1 - decay), age)).alias("n"))
 
 
+def sample_batches(stream: DataFrame, columns: list[str], path: str, checkpoint: str, max_points: int = 2000, seed: int = 0, identity: list[str] = ()) -> StreamingQuery:
+    """The sample of each micro-batch as a table of its own (``batch=<id>``), written again after a failure.
+
+    Without ``identity`` a batch's rows are labelled with its id, so that the samples of batches merge.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        named, by = (batch, list(identity)) if identity else (batch.withColumn("_label", F.lit(batch_id)), ["_label"])
+        kernel.sample(named, columns, max_points, seed, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sampled(samples: DataFrame, max_points: int = 2000) -> DataFrame:
+    """The sample of all batches' rows, from the tables of ``sample_batches``."""
+    rows = samples.drop("batch")
+    return rows.orderBy(*rows.columns).limit(max_points)
+
+
 def deduplicated(stream: DataFrame, time: str, late: str, keys: list[str]) -> DataFrame:
     """The first row of each key within the watermark."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
