@@ -431,37 +431,62 @@ def edges(spark, d):
     return spark.range(1).select(F.explode(e).alias("e")).select("e.*")
 
 
+def lineage(spark, d):
+    """A graph over the whole tables: regions, nations, customers, orders and their priorities; orders have two parents."""
+    n, c, o = (table(spark, d, t) for t in ("nation", "customer", "orders"))
+
+    def arcs(df, a, x, b, y):
+        return df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("parent"), F.concat(F.lit(b), F.col(y).cast("string")).alias("child"))
+
+    return arcs(n, "R", "n_regionkey", "N", "n_nationkey").union(arcs(c, "N", "c_nationkey", "C", "c_custkey")).union(arcs(o, "C", "o_custkey", "O", "o_orderkey")).union(arcs(o, "P", "o_orderpriority", "O", "o_orderkey"))
+
+
+_LINEAGE = "e AS (SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders UNION ALL SELECT 'P' || o_orderpriority, 'O' || o_orderkey FROM orders)"
+
+
+def trade(spark, d):
+    """A graph of few nodes from all line items: regions, their nations, and from each nation an edge to the one it buys most from."""
+    o, li, c, s, n = (table(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier", "nation"))
+    bought = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    most = bought.where("c_nationkey <> s_nationkey").groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("k"))
+    best = most.groupBy("c_nationkey").agg(F.min(F.struct((-F.col("k")).alias("k"), F.col("s_nationkey").alias("to"))).alias("b"))
+    name = lambda a, x: F.concat(F.lit(a), F.col(x).cast("string"))
+    return n.select(name("R", "n_regionkey").alias("parent"), name("N", "n_nationkey").alias("child")).union(best.select(name("N", "c_nationkey"), name("N", "b.to")))
+
+
+_TRADE = "k AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS k FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL), e AS (SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION ALL SELECT 'N' || a, 'N' || b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY k DESC, b) AS r FROM k) WHERE r = 1), u AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e)"
+
 _E = "e(parent, child) AS (VALUES " + ", ".join(f"('{p}', '{c}')" for c, ps in N1.items() for p in ps) + ")"
 
 
-@query("g03_markov_blanket", f"WITH {_E} SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT x.parent, y.parent FROM e x JOIN e y USING (child) WHERE x.parent <> y.parent")
+@query("g03_markov_blanket", f"WITH {_LINEAGE} SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT x.parent, y.parent FROM e x JOIN e y USING (child) WHERE x.parent <> y.parent")
 def markov_blanket(spark, d):
-    return graph.markov_blanket(edges(spark, d))
+    return graph.markov_blanket(lineage(spark, d))
 
 
-@query("g04_moral_graph", f"WITH {_E} SELECT least(parent, child) AS a, greatest(parent, child) AS b FROM e UNION SELECT x.parent, y.parent FROM e x JOIN e y USING (child) WHERE x.parent < y.parent")
+@query("g04_moral_graph", f"WITH {_LINEAGE} SELECT least(parent, child) AS a, greatest(parent, child) AS b FROM e UNION SELECT x.parent, y.parent FROM e x JOIN e y USING (child) WHERE x.parent < y.parent")
 def moral_graph(spark, d):
-    return graph.moral(edges(spark, d))
+    return graph.moral(lineage(spark, d))
 
 
-@query("g10_ancestors", f"WITH RECURSIVE {_E}, r AS (SELECT parent AS ancestor, child AS descendant FROM e UNION SELECT r.ancestor, e.child FROM r JOIN e ON e.parent = r.descendant) SELECT * FROM r")
+@query("g10_ancestors", f"WITH RECURSIVE {_LINEAGE}, r AS (SELECT parent AS ancestor, child AS descendant FROM e UNION SELECT r.ancestor, e.child FROM r JOIN e ON e.parent = r.descendant) SELECT * FROM r")
 def ancestors(spark, d):
-    return graph.reachable(edges(spark, d))
+    return graph.reachable(lineage(spark, d))
 
 
-@query("g06_bfs_distances", f"WITH RECURSIVE {_E}, u AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e), r AS (SELECT DISTINCT x AS source, x AS node, 0 AS dist FROM u UNION SELECT r.source, u.y, r.dist + 1 FROM r JOIN u ON u.x = r.node WHERE r.dist < 4) SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL")
+@query("g06_bfs_distances", f"WITH RECURSIVE {_TRADE}, r AS (SELECT DISTINCT x AS source, x AS node, 0 AS dist FROM u UNION SELECT r.source, u.y, r.dist + 1 FROM r JOIN u ON u.x = r.node WHERE r.dist < 12) SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL")
 def bfs_distances(spark, d):
-    return graph.distances(edges(spark, d))
+    return graph.distances(trade(spark, d))
 
 
-@query("g07_eccentricity", f"WITH RECURSIVE {_E}, u AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e), r AS (SELECT DISTINCT x AS source, x AS node, 0 AS dist FROM u UNION SELECT r.source, u.y, r.dist + 1 FROM r JOIN u ON u.x = r.node WHERE r.dist < 4), s AS (SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL) SELECT source AS node, max(dist) AS eccentricity FROM s GROUP BY source")
+@query("g07_eccentricity", f"WITH RECURSIVE {_TRADE}, r AS (SELECT DISTINCT x AS source, x AS node, 0 AS dist FROM u UNION SELECT r.source, u.y, r.dist + 1 FROM r JOIN u ON u.x = r.node WHERE r.dist < 12), s AS (SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL) SELECT source AS node, max(dist) AS eccentricity FROM s GROUP BY source")
 def eccentricity(spark, d):
-    return graph.distances(edges(spark, d)).groupBy(F.col("source").alias("node")).agg(F.max("dist").alias("eccentricity"))
+    return graph.distances(trade(spark, d)).groupBy(F.col("source").alias("node")).agg(F.max("dist").alias("eccentricity"))
 
 
-@query("g01_topological_levels", f"WITH RECURSIVE {_E}, r AS (SELECT DISTINCT parent AS node, 0 AS level FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, r.level + 1 FROM r JOIN e ON e.parent = r.node) SELECT node, max(level) AS level FROM r GROUP BY node")
+@query("g01_topological_levels", f"WITH RECURSIVE {_LINEAGE}, r AS (SELECT DISTINCT parent AS node, 0 AS level FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, r.level + 1 FROM r JOIN e ON e.parent = r.node) SELECT node, max(level) AS level FROM r GROUP BY node")
 def topological_levels(spark, d):
-    return graph.levels(edges(spark, d))
+    return graph.levels(lineage(spark, d))
 
 
 @query("g13_parameter_counts", f"WITH {BASE}, {_E}, c(node, card) AS (" + " UNION ALL ".join(f"SELECT '{c}', count(DISTINCT {c}) FROM base" for c in N1) + ") SELECT node, ((card - 1) * coalesce((SELECT product(p.card) FROM e JOIN c p ON p.node = e.parent WHERE e.child = c.node), 1))::BIGINT AS parameters FROM c")

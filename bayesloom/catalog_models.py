@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import _JOINT, _U, N1, base, query, r6, table
-from .operators import kernel, ordered, particles
+from .operators import kernel, ordered, particles, sketches, workload
 from .plans.batch import AnswerCache, batches, infer_batch, normalised, signatures
 from .plans.kept import scratch
 from .plans.model import BeliefModel
+from .streaming import quantiles
 
 # a mixed network over line items: two tables, a normal root, a regression by configuration and one below it
 MIXED = {"l_returnflag": [], "l_linestatus": ["l_returnflag"], "qty": [], "price": ["l_returnflag", "l_linestatus", "qty"], "revenue": ["price"]}
@@ -282,3 +283,42 @@ def hamiltonian_chains(spark, d):
     q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), (20.0 + F.col("n_nationkey")).alias("revenue"))
     rows = model.sample(q, evidence=["revenue"], targets=["qty", "price"])
     return rows.select("query_id", "particle_id", F.round("qty", 5).alias("qty"), F.round("price", 5).alias("price"))
+
+
+@query("q19_kernel_evidence", f"{_HEAD}, {_drawn('SELECT n_nationkey AS query_id, 20.0 + n_nationkey AS seen FROM nation', 200)}, d AS (SELECT r.*, mu + sd * " + _normal("'0|' || r.query_id || '|' || r.particle_id || '|price'") + " AS price FROM p4 r), w AS (SELECT *, exp(-0.5 * ((price - seen) / 2.0) ** 2) AS w FROM d) SELECT query_id, round(sum(w * qty) / sum(w), 5) AS mean FROM w GROUP BY query_id")
+def kernel_evidence(spark, d):
+    """Quantity where the price is about what is seen: free draws of the fitted network, weighed by a kernel around the evidence."""
+    model = mixed_model(spark, d)
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), (20.0 + F.col("n_nationkey")).alias("seen"))
+    rows = particles.forward(model.net, q, 200, [], [], targets=["price"], weigh=False)
+    weighted = particles.with_weights(workload.kernel_weighted(rows, {"price": "seen"}, {"price": 2.0}))
+    return particles.statistics(weighted, "qty").select("query_id", F.round("mean", 5).alias("mean"))
+
+
+# sketches and markers: close to the exact figures, which the SQL has
+@query(
+    "a23_distinct_from_sketches",
+    "SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY event_type UNION ALL SELECT 'all', count(DISTINCT user_id), true FROM events UNION ALL SELECT 'purchase and click', (SELECT count(*) FROM (SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'click')), true",
+)
+def distinct_from_sketches(spark, d):
+    """Users of each kind of event, of all, and of two kinds, from sketches by day that were stored, against exact counts."""
+    events = table(spark, d, "events")
+    path = f"{scratch(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.daily(events, F.to_date("ts"), ["event_type"], "user_id").write.parquet(path)
+    kept_ones = spark.read.parquet(path)
+    kinds = sketches.distinct(kept_ones, ["event_type"]).select("event_type", F.col("estimate").cast("double").alias("estimate"))
+    whole = sketches.distinct(kept_ones).select(F.lit("all").alias("event_type"), F.col("estimate").cast("double"))
+    both = sketches.overlap(kept_ones, F.col("event_type") == "purchase", F.col("event_type") == "click").select(F.lit("purchase and click").alias("event_type"), F.col("both").cast("double"))
+    users = events.select("user_id", "event_type").distinct()
+    two = users.where("event_type IN ('purchase', 'click')").groupBy("user_id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") == 2).alias("exact"))
+    exact = users.groupBy("event_type").agg(F.count("*").alias("exact")).unionByName(users.agg(F.count_distinct("user_id").alias("exact")).withColumn("event_type", F.lit("all"))).unionByName(two.withColumn("event_type", F.lit("purchase and click")))
+    return exact.join(kinds.union(whole).union(both), "event_type").select("event_type", "exact", sketches.is_near(F.col("estimate"), F.col("exact")).alias("near"))
+
+
+@query("a15_streaming_median", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, true AS near FROM events GROUP BY event_type")
+def streaming_median(spark, d):
+    """Median of each kind of event by five markers a task and key; near means within two hundredths in rank."""
+    events = table(spark, d, "events")
+    found = quantiles.table_quantiles(events, "event_type", "value", 0.5)
+    ranks = events.join(found.select("event_type", "quantile"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("rank"))
+    return found.join(ranks, "event_type").select("event_type", "n", "least", "most", (F.abs(F.col("rank") - 0.5) <= 0.02).alias("near"))

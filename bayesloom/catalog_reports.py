@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import edges, query, r6, table
+from .catalog import _LINEAGE, _TRADE, lineage, query, r6, table, trade
 from .functions import divergence, draws, records
 from .operators import binned, graph, kernel, report, summary
 from .streaming import updates
@@ -221,19 +221,19 @@ def draws_from_moments(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(10 + 2 * draws.normal(5, "c_custkey"), 6).alias("draw"))
 
 
-# graphs: nations bought from by customers' nations, and the network's edges
-def trade(spark, d):
-    o, li, c, s = (table(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier"))
-    rows = c.where("c_nationkey < 12").join(o.where("o_orderkey % 40 = 1"), F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.where("c_nationkey < s_nationkey AND s_nationkey % 5 = c_nationkey % 5").select(F.col("c_nationkey").alias("parent"), F.col("s_nationkey").alias("child")).distinct()
+# graphs over the whole tables
+_MARKETS = "e AS (SELECT 'M' || c_nationkey || c_mktsegment AS parent, 'C' || c_custkey AS child FROM customer), u AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e)"
 
 
-_TRADE = "e AS (SELECT DISTINCT c_nationkey AS parent, s_nationkey AS child FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < 12 AND o_orderkey % 40 = 1 AND c_nationkey < s_nationkey AND s_nationkey % 5 = c_nationkey % 5), u AS (SELECT parent AS x, child AS y FROM e UNION SELECT child, parent FROM e)"
+def markets(spark, d):
+    """Customers tied to the market segment of their nation: a component for each."""
+    c = table(spark, d, "customer")
+    return c.select(F.concat(F.lit("M"), F.col("c_nationkey").cast("string"), "c_mktsegment").alias("parent"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("child"))
 
 
-@query("g05_connected_components", f"WITH RECURSIVE {_TRADE}, r AS (SELECT DISTINCT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
+@query("g05_connected_components", f"WITH RECURSIVE {_MARKETS}, r AS (SELECT DISTINCT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def connected_components(spark, d):
-    return graph.connected_components(trade(spark, d))
+    return graph.connected_components(markets(spark, d))
 
 
 @query("g08_articulation_points", f"WITH RECURSIVE {_TRADE}, n AS (SELECT DISTINCT x AS node FROM u), r AS (SELECT a.node AS cut, b.node, b.node AS seen FROM n a, n b WHERE a.node <> b.node UNION SELECT r.cut, r.node, u.y FROM r JOIN u ON u.x = r.seen WHERE u.y <> r.cut), l AS (SELECT cut, node, min(seen) AS label FROM r GROUP BY ALL) SELECT l.cut AS node FROM l JOIN u ON u.x = l.cut AND u.y = l.node GROUP BY l.cut HAVING count(DISTINCT label) > 1")
@@ -241,14 +241,14 @@ def articulation_points(spark, d):
     return graph.articulation_points(trade(spark, d))
 
 
-@query("g09_betweenness", f"WITH RECURSIVE {_TRADE}, n AS (SELECT DISTINCT x AS node FROM u), p AS (SELECT node AS s, node AS t, [node] AS way FROM n UNION ALL SELECT p.s, u.y, list_append(p.way, u.y) FROM p JOIN u ON u.x = p.t WHERE NOT list_contains(p.way, u.y) AND len(p.way) < 8), m AS (SELECT *, min(len(way)) OVER (PARTITION BY s, t) AS k, count(*) OVER (PARTITION BY s, t, len(way)) AS c FROM p), w AS (SELECT s, t, c, unnest(way) AS v FROM m WHERE len(way) = k AND s <> t) SELECT n.node, round(coalesce(sum(1.0 / c) FILTER (v <> s AND v <> t), 0) / 2, 6) AS betweenness FROM n LEFT JOIN w ON w.v = n.node GROUP BY n.node")
+@query("g09_betweenness", f"WITH RECURSIVE {_TRADE}, n AS (SELECT DISTINCT x AS node FROM u), p AS (SELECT node AS s, node AS t, [node] AS way FROM n UNION ALL SELECT p.s, u.y, list_append(p.way, u.y) FROM p JOIN u ON u.x = p.t WHERE NOT list_contains(p.way, u.y) AND len(p.way) < 10), m AS (SELECT *, min(len(way)) OVER (PARTITION BY s, t) AS k, count(*) OVER (PARTITION BY s, t, len(way)) AS c FROM p), w AS (SELECT s, t, c, unnest(way) AS v FROM m WHERE len(way) = k AND s <> t) SELECT n.node, round(coalesce(sum(1.0 / c) FILTER (v <> s AND v <> t), 0) / 2, 6) AS betweenness FROM n LEFT JOIN w ON w.v = n.node GROUP BY n.node")
 def betweenness(spark, d):
     return graph.betweenness(trade(spark, d)).select("node", r6("betweenness"))
 
 
-@query("g11_graph_sizes", f"WITH {_TRADE}, m AS (SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT a.parent, b.parent FROM e a JOIN e b USING (child) WHERE a.parent <> b.parent) SELECT node, (SELECT count(*) FROM e WHERE child = m.node) AS n_parents, count(*) AS n_blanket FROM m GROUP BY node")
+@query("g11_graph_sizes", f"WITH {_LINEAGE}, m AS (SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT a.parent, b.parent FROM e a JOIN e b USING (child) WHERE a.parent <> b.parent), p AS (SELECT child AS node, count(DISTINCT parent) AS n FROM e GROUP BY child), b AS (SELECT node, count(*) AS n FROM m GROUP BY node) SELECT node, coalesce(p.n, 0) AS n_parents, b.n AS n_blanket FROM b LEFT JOIN p USING (node)")
 def graph_sizes(spark, d):
-    e = trade(spark, d)
+    e = lineage(spark, d)
     return graph.report_sizes(e, graph.markov_blanket(e))
 
 

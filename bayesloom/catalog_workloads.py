@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import BASE, LS, N1, _pmfs, base, cpt_sql, edges, priced, query, r6, table
+from .catalog import _LINEAGE, BASE, LS, N1, _pmfs, base, cpt_sql, edges, lineage, priced, query, r6, table
 from .functions import divergence, records, scalars
 from .operators import cpt, gaussian, graph, particles, workload
+from .plans.kept import kept
 from .sources import tables
 
 _U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
@@ -38,11 +39,14 @@ def query_grid(spark, d):
     return workload.query_grid(rows, ["empty", "on_manifold", "off_manifold"], ["prediction", "diagnosis"], 3)
 
 
-@query("k04_target_candidates", f"WITH {_E}, m AS (SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT a.parent, b.parent FROM e a JOIN e b USING (child) WHERE a.parent <> b.parent), s AS (SELECT node, count(*) AS n FROM m GROUP BY node) SELECT node, n AS n_blanket, rank() OVER (ORDER BY n DESC) AS place FROM s")
+@query("k04_target_candidates", f"WITH {_LINEAGE}, m AS (SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT a.parent, b.parent FROM e a JOIN e b USING (child) WHERE a.parent <> b.parent), s AS (SELECT node, count(*) AS n FROM m GROUP BY node), h AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) - count(*) + 1 AS place FROM s GROUP BY n) SELECT node, n AS n_blanket, place::BIGINT AS place FROM s JOIN h USING (n)")
 def target_candidates(spark, d):
-    e = edges(spark, d)
-    sizes = graph.report_sizes(e, graph.markov_blanket(e))
-    return sizes.select("node", "n_blanket", F.rank().over(Window.orderBy(F.desc("n_blanket"))).cast("long").alias("place"))  # one row for each node
+    """Nodes by the size of what shields them; equal sizes share a place. Places come from counts of sizes, not from one sorted task."""
+    e = lineage(spark, d)
+    sizes = kept(graph.report_sizes(e, graph.markov_blanket(e)).select("node", "n_blanket"))
+    by = sizes.groupBy("n_blanket").agg(F.count("*").alias("c"))
+    places = by.select("n_blanket", (F.sum("c").over(Window.orderBy(F.desc("n_blanket"))) - F.col("c") + 1).alias("place"))  # a row for each size
+    return sizes.join(places, "n_blanket").select("node", "n_blanket", "place")
 
 
 @query("p18_state_codes", "WITH s AS (SELECT o_orderpriority AS p, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)) SELECT o_orderkey, code::INT AS code FROM orders JOIN s ON p = o_orderpriority")
@@ -67,14 +71,6 @@ def pmf_on_support(spark, d):
     return workload.pmf_on_support(scored, ["query_id"], "x").select("query_id", "x", r6("prob"))
 
 
-@query("q19_kernel_evidence", f"WITH p AS (SELECT k AS particle_id, 0.0 + sqrt(-2 * ln({_U.format(chr(39) + '2|' + chr(39) + ' || k || ' + chr(39) + '|x|a' + chr(39))} + 0.5 / 4294967296.0)) * cos(2 * pi() * {_U.format(chr(39) + '2|' + chr(39) + ' || k || ' + chr(39) + '|x|b' + chr(39))}) AS x FROM range(400) r(k)), w AS (SELECT x, exp(-0.5 * ((x - 0.5) / 0.2) ** 2) AS w FROM p) SELECT round(sum(w * x) / sum(w), 6) AS mean FROM w")
-def kernel_evidence(spark, d):
-    from .functions import draws
-
-    rows = spark.range(400).select(F.lit(1).alias("query_id"), F.col("id").alias("particle_id"), F.lit(0.5).alias("ev_x")).withColumn("x", draws.normal(2, "particle_id", F.lit("x")))
-    weighted = particles.with_weights(workload.kernel_weighted(rows, {"x": "ev_x"}, {"x": 0.2}))
-    return particles.statistics(weighted, "x").select(r6("mean"))
-
 
 @query("z23_interventional_slope", "SELECT round(regr_slope(l_extendedprice * (1 - l_discount) / 1000, l_extendedprice / 1000), 4) AS slope FROM lineitem")
 def interventional_slope(spark, d):

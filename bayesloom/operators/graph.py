@@ -1,10 +1,12 @@
-"""Graph analytics over edge tables (``parent``, ``child``), by joins and recursive queries."""
+"""Graph analytics over edge tables (``parent``, ``child``): rounds of joins, each round kept in the checkpoint folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.kept import kept
+
 
 def markov_blanket(edges: DataFrame) -> DataFrame:
     """``node, member``: parents, children, and the children's other parents."""
@@ -24,13 +26,12 @@ def moral(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame) -> DataFrame:
     """``ancestor, descendant`` of a directed graph: the transitive closure, path doubling until nothing is new."""
-    closed = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct().cache()
+    closed = kept(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
     n = closed.count()
     while True:
         right = closed.select(F.col("ancestor").alias("m"), F.col("descendant").alias("d"))
-        grown = closed.union(closed.join(right, F.col("descendant") == F.col("m")).select("ancestor", F.col("d").alias("descendant"))).distinct().cache()
+        grown = kept(closed.union(closed.join(right, F.col("descendant") == F.col("m")).select("ancestor", F.col("d").alias("descendant"))).distinct())
         more = grown.count()
-        closed.unpersist()
         if more == n:
             return grown
         closed, n = grown, more
@@ -42,13 +43,12 @@ def _undirected(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``source, node, dist``: hops between nodes of the undirected graph, up to ``most``, or as far as there are any."""
-    both = _undirected(edges).cache()
+    both = kept(_undirected(edges))
     found = both.select(F.col("x").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("dist"))
-    edge, k, held = found, 0, [both]
+    edge, k = found, 0
     while most is None or k < most:
         k += 1
-        edge = edge.join(both, F.col("node") == F.col("x")).select("source", F.col("y").alias("node")).distinct().join(found.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(k)).cache()
-        held.append(edge)
+        edge = kept(edge.join(both, F.col("node") == F.col("x")).select("source", F.col("y").alias("node")).distinct().join(found.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(k)))
         if edge.isEmpty():
             break
         found = found.unionByName(edge)
@@ -57,15 +57,16 @@ def distances(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """``node, level``: the longest path from a root; the order of levels is topological. A cycle is an error."""
+    edges = kept(edges.select("parent", "child").distinct())
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
     count = nodes.count()
-    at = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
+    at = kept(nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
     found, k = at, 0
     if count and at.isEmpty():
         raise ValueError("the graph has a cycle")
     while True:
         k += 1
-        at = at.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("level", F.lit(k)).cache()
+        at = kept(at.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("level", F.lit(k)))
         if at.isEmpty():
             break
         if k >= count:
@@ -78,50 +79,101 @@ def levels(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node that can be reached without regard to direction, spread until nothing changes."""
-    both = _undirected(edges).cache()
-    labels = both.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")).cache()
-    while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("component", "near").alias("component")).cache()
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old")
-        if changed.isEmpty():
-            return new
-        labels = new
-
-
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """``node``: nodes without which their component falls apart.
+    """``node, component``: the smallest node that can be reached without regard to direction.
 
-    Every node is taken away in a copy of the graph of its own (a key column), and all copies' components are found at once.
+    Stars in turn: every node ties its larger neighbours to the least node around it, then its smaller ones, until all
+    components are stars. The number of rounds grows with the logarithm of the graph's size, not with its diameter.
     """
-    both = _undirected(edges).cache()
+    both = kept(_undirected(edges))
     nodes = both.select(F.col("x").alias("node")).distinct()
-    copies = nodes.select(F.col("node").alias("cut")).crossJoin(both).where("x <> cut and y <> cut").cache()  # a network's nodes by its edges
-    labels = nodes.select(F.col("node").alias("cut")).crossJoin(nodes).where("node <> cut").withColumn("label", F.col("node")).cache()
+    pairs = both.where("x > y")
+    state = None
     while True:
-        near = copies.join(labels.select("cut", F.col("node").alias("y"), "label"), ["cut", "y"]).groupBy("cut", F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, ["cut", "node"], "left").select("cut", "node", F.least("label", F.coalesce("near", "label")).alias("label")).cache()
-        if new.join(labels.withColumnRenamed("label", "old"), ["cut", "node"]).where("label <> old").isEmpty():
+        around = pairs.union(pairs.select("y", "x"))
+        least = around.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        large = around.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        lower = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(lower, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
+        pairs = kept(small.union(lower.select("x", F.col("m").alias("y"))).distinct())
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
+        if now == state:
             break
-        labels = new
-    left = both.select(F.col("x").alias("cut"), F.col("y").alias("node")).join(labels, ["cut", "node"])
-    return left.groupBy("cut").agg(F.count_distinct("label").alias("parts")).where("parts > 1").select(F.col("cut").alias("node"))
+        state = now
+    return nodes.join(pairs.select(F.col("x").alias("node"), "y"), "node", "left").select("node", F.coalesce("y", "node").alias("component"))
+
+
+def _spanning_trees(both: DataFrame) -> tuple[DataFrame, int]:
+    """``node, up, level`` of a breadth-first tree for each component, from its smallest node; and the number of levels."""
+    roots = connected_components(both.select(F.col("x").alias("parent"), F.col("y").alias("child"))).where("node = component")
+    front = kept(roots.select("node", F.lit(None).cast(both.schema["x"].dataType).alias("up"), F.lit(0).alias("level")))
+    tree, k = front, 0
+    while True:
+        k += 1
+        reached = front.join(both, F.col("node") == F.col("x")).select(F.col("y").alias("node"), F.col("x").alias("up")).groupBy("node").agg(F.min("up").alias("up"))
+        front = kept(reached.join(tree.select("node"), "node", "left_anti").withColumn("level", F.lit(k)))
+        if front.isEmpty():
+            return kept(tree), k
+        tree = tree.unionByName(front)
+
+
+def biconnected(edges: DataFrame) -> DataFrame:
+    """``node, up, block``: each edge of a spanning tree, and the two-connected block it belongs to.
+
+    Tarjan and Vishkin's reduction: nodes are numbered in preorder of a breadth-first tree, every subtree learns the
+    least and greatest number that its edges reach, and tree edges that lie on a common cycle are components of a graph
+    over tree edges. Rounds follow the tree's depth; rows are linear in the edges.
+    """
+    both = kept(_undirected(edges).where("x <> y"))
+    tree, depth = _spanning_trees(both)
+    sizes = tree.where(F.lit(False)).select("node", F.lit(0).cast("long").alias("size"))
+    for k in range(depth - 1, -1, -1):  # subtrees, from the leaves
+        own = tree.where(F.col("level") == k).select("node")
+        below = tree.where(F.col("level") == k + 1).join(sizes, "node").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("s"))
+        sizes = kept(sizes.unionByName(own.join(below, "node", "left").select("node", (F.coalesce("s", F.lit(0)) + 1).alias("size"))))
+    sized = tree.join(sizes, "node")
+    before = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept(sized.where("level = 0").select("node", "up", "level", "size", F.lit(0).cast("long").alias("pre")))
+    shifts = sized.where("level > 0").withColumn("shift", F.coalesce(F.sum("size").over(before), F.lit(0)) + 1)
+    for k in range(1, depth):  # numbers within each tree, from its root
+        own = shifts.where(F.col("level") == k).join(placed.select(F.col("node").alias("up"), F.col("pre").alias("_p")), "up")
+        placed = kept(placed.unionByName(own.select("node", "up", "level", "size", (F.col("_p") + F.col("shift")).alias("pre"))))
+    number = placed.select(F.col("node").alias("y"), F.col("pre").alias("yp"), F.col("size").alias("ys"), F.col("up").alias("yup"))
+    across = both.join(placed.select(F.col("node").alias("x"), F.col("pre").alias("xp"), F.col("size").alias("xs"), F.col("up").alias("xup")), "x").join(number, "y")
+    across = kept(across.where("NOT coalesce(xup = y, false) AND NOT coalesce(yup = x, false)"))  # edges outside the trees
+    reach = placed.join(across.groupBy(F.col("x").alias("node")).agg(F.min("yp").alias("a"), F.max("yp").alias("b")), "node", "left")
+    reach = kept(reach.select("node", "up", "level", "size", "pre", F.least("pre", "a").alias("low"), F.greatest("pre", "b").alias("high")))
+    spans = reach.where(F.lit(False)).select("node", "low", "high")
+    for k in range(depth - 1, -1, -1):
+        own = reach.where(F.col("level") == k).select("node", "low", "high")
+        below = reach.where(F.col("level") == k + 1).select("node", "up").join(spans, "node").groupBy(F.col("up").alias("node")).agg(F.min("low").alias("a"), F.max("high").alias("b"))
+        spans = kept(spans.unionByName(own.join(below, "node", "left").select("node", F.least("low", "a").alias("low"), F.greatest("high", "b").alias("high"))))
+    side = across.where("xp + xs <= yp").select(F.col("x").alias("parent"), F.col("y").alias("child"))
+    above = placed.select(F.col("node").alias("up"), F.col("pre").alias("up_pre"), F.col("size").alias("up_size"), F.col("level").alias("up_level"))
+    chain = placed.select("node", "up").join(spans, "node").join(above, "up").where("up_level > 0 AND (low < up_pre OR high >= up_pre + up_size)")
+    joined = connected_components(side.union(chain.select(F.col("up").alias("parent"), F.col("node").alias("child"))))
+    return placed.where("up IS NOT NULL").join(joined, "node", "left").select("node", "up", F.coalesce("component", "node").alias("block"))
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """``node``: nodes without which their component falls apart, those of more than one two-connected block."""
+    blocks = kept(biconnected(edges))
+    ends = blocks.select("node", "block").union(blocks.select("up", "block"))
+    return ends.groupBy("node").agg(F.count_distinct("block").alias("blocks")).where("blocks > 1").select("node")
 
 
 def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 0) -> DataFrame:
     """``node, betweenness``: shortest paths through a node, from all sources or ``sources`` of them chosen by hash and scaled up; halved, as edges have no direction."""
-    both = _undirected(edges).cache()
-    nodes = both.select(F.col("x").alias("node")).distinct().cache()
+    both = kept(_undirected(edges))
+    nodes = kept(both.select(F.col("x").alias("node")).distinct())
     n = nodes.count()
     starts = nodes if sources is None else nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sources)
     used = starts.count()
-    front = starts.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")).cache()
+    front = kept(starts.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")))
     steps = [front]
     seen = front.select("source", "node")
     while True:  # paths counted level by level
         ahead = steps[-1].join(both, F.col("node") == F.col("x")).groupBy("source", "y").agg(F.sum("paths").alias("paths"), (F.max("dist") + 1).alias("dist"))
-        ahead = ahead.select("source", F.col("y").alias("node"), "dist", "paths").join(seen, ["source", "node"], "left_anti").cache()
+        ahead = kept(ahead.select("source", F.col("y").alias("node"), "dist", "paths").join(seen, ["source", "node"], "left_anti"))
         if ahead.isEmpty():
             break
         steps.append(ahead)
@@ -132,7 +184,7 @@ def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 0) ->
         out.append(depend)
         below = depend.select("source", F.col("node").alias("y"), (F.lit(1.0) + F.col("d")).alias("one"), F.col("paths").alias("below"))
         part = level.join(both, F.col("node") == F.col("x")).join(below, ["source", "y"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("below") * F.col("one")).alias("d"))
-        depend = level.select("source", "node", "paths").join(part, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("d", F.lit(0.0)).alias("d")).cache()
+        depend = kept(level.select("source", "node", "paths").join(part, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("d", F.lit(0.0)).alias("d")))
     total = out[0] if out else depend.where(F.lit(False))
     for x in out[1:]:
         total = total.union(x)

@@ -309,7 +309,7 @@ def test_gradients_of_families_equal_differences(spark, mixed, model):
 
 
 def test_chains_with_conditional_nodes_and_free_values(spark, model):
-    model.set_sampling_method("hmc", n_samples=300, burn_in=6, step_size=0.2, n_leapfrog=5)
+    model.set_sampling_method("hmc", n_samples=300, burn_in=6, step_size=0.1, n_leapfrog=5)
     q = spark.createDataFrame([(1, "a", 0, 2.0)], "query_id long, c string, d int, y double")
     got = [r.x for r in model.sample(q, evidence=["c", "d", "y"], targets=["x"]).collect()]
     r = model.cpd("y").table.where("c = 'a' AND d = 0").first()
