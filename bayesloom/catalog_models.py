@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import _JOINT, _U, N1, base, query, r6, table
-from .operators import kernel, ordered, particles, sketches, workload
+from .operators import kernel, ordered, particles, selection, sketches, workload
 from .plans.batch import AnswerCache, batches, infer_batch, normalised, signatures
 from .plans.kept import scratch
 from .plans.model import BeliefModel
@@ -322,3 +322,39 @@ def streaming_median(spark, d):
     found = quantiles.table_quantiles(events, "event_type", "value", 0.5)
     ranks = events.join(found.select("event_type", "quantile"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("rank"))
     return found.join(ranks, "event_type").select("event_type", "n", "least", "most", (F.abs(F.col("rank") - 0.5) <= 0.02).alias("near"))
+
+
+@query("c33_q22_process_node", "SELECT l_returnflag, count(*) AS n, true AS better, true AS covered FROM lineitem GROUP BY l_returnflag")
+def process_node(spark, d):
+    """Revenue given price by a Gaussian process, predicted for every row: better than the mean, and nine tenths within two spreads."""
+    rows = mixed_rows(spark, d)
+    net = {"price": [], "revenue": ["price"]}
+    model = BeliefModel(net).set_learning_method(nodes_cpds={"price": {"cpd": "linear_gaussian"}, "revenue": {"cpd": "gaussian_process", "max_points": 120, "kernel": "matern52"}}).fit(rows.select(*net))
+    said = particles.with_params(model.net, rows, "revenue")
+    off = F.col("revenue") - F.col("_mean")
+    by = said.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg(off * off).alias("_e"), F.var_pop("revenue").alias("_v"), F.avg((F.abs(off) <= 2 * F.col("_std")).cast("double")).alias("_c"))
+    return by.select("l_returnflag", "n", (F.col("_e") < F.col("_v")).alias("better"), (F.col("_c") >= 0.9).alias("covered"))
+
+
+_BUDGET = "b AS (SELECT n_regionkey AS problem, c_mktsegment AS category, count(*) // 40 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"
+
+
+@query(
+    "k03_exact_allocation",
+    f"WITH {_BUDGET}, c AS (SELECT DISTINCT n_regionkey AS problem, c_mktsegment AS category, n_name AS candidate FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY problem, category ORDER BY {_U.format(key=chr(39) + '0|' + chr(39) + ' || problem || ' + chr(39) + '|' + chr(39) + ' || category || ' + chr(39) + '|' + chr(39) + ' || candidate')}, candidate) - 1 AS r, count(*) OVER (PARTITION BY problem, category) AS k FROM c), i AS (SELECT problem, category, n, unnest(range(n)) AS item FROM b) SELECT i.problem, i.category, i.item, r.candidate FROM i JOIN r ON r.problem = i.problem AND r.category = i.category AND i.item % r.k = r.r",
+)
+def exact_allocation(spark, d):
+    """Targets of each region and market segment: its nations in a hashed order, as often as its customers ask for."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("problem"), F.col("c_mktsegment").alias("category"), F.col("n_name").alias("candidate"))
+    budgets = c.groupBy("problem", "category").agg(F.floor(F.count("*") / 40).alias("n"))
+    return selection.allocate_exact(budgets, c, "problem", "category", "candidate").select("problem", "category", "item", "candidate")
+
+
+@query("k02_diverse_selection")
+def diverse_selection(spark, d):
+    """Eight suppliers of each nation whose parts overlap least, chosen from all line items."""
+    li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    parts = li.groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("parts"))
+    rows = s.join(parts, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.col("s_nationkey").alias("problem"), F.col("s_suppkey").alias("candidate"), F.coalesce("parts", F.array().cast("array<long>")).alias("context"))
+    take = table(spark, d, "nation").select(F.col("n_nationkey").alias("problem"), F.lit(8).alias("take"))
+    return selection.diverse(rows, "problem", "candidate", "context", take).select("problem", "candidate", "place", "filled")

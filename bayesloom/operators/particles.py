@@ -19,6 +19,7 @@ from . import binned, features, kernel
 from . import cpt as tables
 from .conditional import Conditional
 from .gaussian import Linear, density_grid
+from .process import Process
 
 
 @dataclass
@@ -100,7 +101,7 @@ class Network:
     parents: dict[str, list[str]]
     tables: dict[str, DataFrame] = field(default_factory=dict)
     linear: dict[str, Linear] = field(default_factory=dict)
-    others: dict[str, Kernel | Features | Bins | Conditional] = field(default_factory=dict)
+    others: dict[str, Kernel | Features | Bins | Conditional | Process] = field(default_factory=dict)
 
     def order(self) -> list[str]:
         done: list[str] = []
@@ -154,7 +155,7 @@ def log_prob(net: Network, rows: DataFrame, v: str) -> DataFrame:
 
 def is_gaussian(net: Network, v: str) -> bool:
     """Whether ``v`` is normal given its parents, so that its mean and spread come without draws."""
-    return v in net.linear or isinstance(net.others.get(v), Conditional | Features)
+    return v in net.linear or isinstance(net.others.get(v), Conditional | Features | Process)
 
 
 def with_params(net: Network, rows: DataFrame, v: str) -> DataFrame:

@@ -17,7 +17,7 @@ from copy import deepcopy
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import binned, conditional, cpt, factor, features, gaussian, hmc, kernel, neural, particles
+from ..operators import binned, conditional, cpt, factor, features, gaussian, hmc, kernel, neural, particles, process
 from .handle import Handle
 from .kept import compact, kept
 
@@ -26,6 +26,7 @@ CPDS = {
     "categorical_table": {"alpha": 1.0, "smoothing": "total_mass", "prior": "global"},
     "linear_gaussian": {"ridge": 1e-6},
     "conditional_gaussian": {"ridge": 0.0, "least_rows": None, "discrete": None},
+    "gaussian_process": {"kernel": "rbf", "max_points": 200, "steps": 40, "rate": 0.1},
     "kde": {"bandwidth": 0.5, "parent_bandwidth": 0.5, "max_points": 2000, "least": 0.0},
     "rff_gaussian": {"features": 64, "length_scale": 1.0, "ridge": 1e-3},
     "binned": {"bins": 16, "kind": "uniform", "within": "uniform", "smoothing": 0.0},
@@ -190,6 +191,13 @@ class BeliefModel:
             conf = self.cpds[v]
             embed = True if conf["cpd"] == "categorical_embedded_softmax" else None
             self.net.others[v] = neural.Classes.fit(data, v, self.net.parents[v], conf["most"], conf["hidden"], conf["steps"], conf["rate"], self.seed, embed)
+        alike: dict[str, list[str]] = {}
+        for v in self._of("gaussian_process"):
+            alike.setdefault(json.dumps(self.cpds[v], sort_keys=True), []).append(v)
+        for nodes in alike.values():  # nodes of the same settings are fitted side by side
+            conf = self.cpds[nodes[0]]
+            table = kept(process.fit_nodes(data, {v: self.net.parents[v] for v in nodes}, conf["kernel"], conf["max_points"], conf["steps"], conf["rate"], self.seed))
+            self.net.others |= {v: process.Process(v, self.net.parents[v], table) for v in nodes}
         for v in self._of("kde", "rff_gaussian", "binned"):
             conf, p = self.cpds[v], self.net.parents[v]
             if conf["cpd"] == "kde":
