@@ -10,7 +10,7 @@ kinds, and each kind's share of true spans. Its posteriors are the soft labels t
 votes, the shape of the span and the words around it, which accepts or rejects every candidate.
 
 Only counts of (kind, votes), of which there is a fixed number, and the classifier's sample (at
-most ``SAMPLE`` candidates, the lowest by hash) reach the driver.
+most ``SAMPLE`` distinct candidates with their counts) reach the driver.
 
 Cases: null or empty text has no spans; repeated rows are each answered; without candidates
 only base spans are returned; an empty table gives no rows. Positions are code points, ends
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released
+from .common import cut, released, uniform
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "access_key", "secret", "masked_email", "ssn", "iban", "address", "birth_date", "person", "number")
@@ -189,23 +190,35 @@ def _votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     )
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``spans`` cover, as stretches in order that do not overlap; empty spans cover nothing."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        elif s < e:
+            out.append((s, e))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
     """Spans that the wide patterns propose outside the base spans, each with its votes; of overlapping ones the first kind's stands."""
     out: list[Candidate] = []
-    taken = [(s, e) for s, e, _ in base]
+    taken = _union([(s, e) for s, e, _ in base])
     for kind, pattern in WIDER.items():
         if kind in NEEDED and not NEEDED[kind].search(text):
             continue
         new = []
         for m in pattern.finditer(text):
             start, end = m.span(1) if pattern.groups else m.span()
-            if any(s < end and start < e for s, e in taken):
+            at = bisect_left(taken, (end,)) - 1  # the last taken stretch that begins before the end
+            if at >= 0 and start < taken[at][1]:
                 continue
             votes = _votes(text, start, end, kind)
             if kind not in CUED or 1 in votes[1:3]:
                 new.append((start, end))
                 out.append(Candidate(start, end, kind, votes))
-        taken += new
+        taken = _union(taken + new) if new else taken
     return out
 
 
@@ -269,8 +282,8 @@ class Model(NamedTuple):
         return self.weights[-1] + self.weights[features(text, c)].sum() > 0
 
 
-def train(rows: list[tuple[str, tuple[int, ...], list[int]]], counts: dict[Pattern, float], steps: int = 100) -> Model:
-    """The span classifier, fitted to the posteriors that EM gives to the counted vote patterns of all candidates."""
+def train(rows: list[tuple[str, tuple[int, ...], list[int]]], counts: dict[Pattern, float], steps: int = 100, weights: list[float] | None = None) -> Model:
+    """The span classifier, fitted to the posteriors that EM gives to the counted vote patterns of all candidates. A row counts ``weights`` times."""
     if not counts:
         return Model(np.zeros(PLACES + 1), {}, np.zeros((2, len(LABELERS), 3)))
     shares, rates, post = em(counts)
@@ -279,9 +292,10 @@ def train(rows: list[tuple[str, tuple[int, ...], list[int]]], counts: dict[Patte
     for i, (_, _, at) in enumerate(rows):
         x[i, at] = 1
     y, w, ridge = np.array([post[k, v] for k, v, _ in rows]), np.zeros(PLACES + 1), np.full(PLACES + 1, 0.1)
+    m = np.ones(len(rows)) if weights is None else np.array(weights, dtype=float)
     for _ in range(steps):  # Newton steps on the ridge-penalised likelihood
         p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (m * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (m * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -289,7 +303,11 @@ def train(rows: list[tuple[str, tuple[int, ...], list[int]]], counts: dict[Patte
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Labelers weighed by the candidates of all documents, and the classifier trained on at most ``sample`` of them."""
+    """Labelers weighed by the candidates of all documents, and the classifier trained on at most ``sample`` distinct ones.
+
+    Equal candidates (kind, votes, features) are one row that counts as often as they occur; of more than ``sample`` distinct
+    ones, they are drawn by hash in proportion to how often they occur. All together weigh as the candidates do, ``sample`` at most.
+    """
 
     @released
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +318,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = cut(docs.select("text").mapInArrow(task, "kind string, votes array<int>, at array<int>"))
     counts = {(r["kind"], tuple(r["votes"])): r["n"] for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}
-    few = found.orderBy(F.xxhash64("kind", "votes", "at"), "kind", "votes", "at").limit(sample).collect()
-    return train([(r["kind"], tuple(r["votes"]), r["at"]) for r in few], counts)
+    alike = found.groupBy("kind", "votes", "at").agg(F.count("*").alias("n"))
+    first = -F.ln(uniform("kind", "votes", "at")) / F.col("n")
+    few = alike.orderBy(first, "kind", "votes", "at").limit(sample).collect()
+    mass = sum(r["n"] for r in few)
+    share = min(sum(counts.values()), sample) / mass if mass else 0.0
+    return train([(r["kind"], tuple(r["votes"]), r["at"]) for r in few], counts, weights=[r["n"] * share for r in few])
 
 
 def accepted(text: str, base: list[tuple[int, int, str]], model: Model) -> list[tuple[int, int, str]]:

@@ -331,11 +331,13 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = BROADCAST_GRAMS) -> Model | None:
     """Evidence by the models of all training texts, and the weights that fit texts scored by models of the other half."""
     grams = cut(gram_counts(docs, labels))
-    if not all(grams.agg(*[F.sum(f"n{k}") for k in range(4)]).first()):
+    cells = [n or 0 for n in grams.agg(*[F.sum(f"n{k}") for k in range(4)]).first()]
+    if not (cells[0] + cells[2] and cells[1] + cells[3]):
         return None
+    apart = all(cells)  # else a half lacks a class, and texts are scored by the models of both halves
     evidence = cut(gram_evidence(grams))
     sample = cut(_sample(docs, labels, per_class))
-    got = pa.concat_tables([with_features(sample.where(F.col("fold") == fold), evidence, f"half{1 - fold}", most).select("y", *FEATURES).toArrow() for fold in (0, 1)])
+    got = pa.concat_tables([with_features(sample.where(F.col("fold") == fold), evidence, f"half{1 - fold}" if apart else "whole", most).select("y", *FEATURES).toArrow() for fold in (0, 1)])
     x, y = np.column_stack([got.column(c).to_numpy() for c in FEATURES]), got.column("y").to_numpy()
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], y))  # sums do not depend on the order in which rows came
     all_rows, few_rows = (dict(d.groupBy("y").count().collect()) for d in (docs.select("doc_id").join(training(labels), "doc_id"), sample))
