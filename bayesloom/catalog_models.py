@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import _JOINT, _U, N1, base, query, r6, table
-from .operators import kernel, ordered, particles, selection, sketches, workload
+from .operators import binned, kernel, ordered, particles, selection, sketches, workload
 from .plans.batch import AnswerCache, batches, infer_batch, normalised, signatures
 from .plans.kept import scratch
 from .plans.model import BeliefModel
@@ -358,3 +358,26 @@ def diverse_selection(spark, d):
     rows = s.join(parts, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.col("s_nationkey").alias("problem"), F.col("s_suppkey").alias("candidate"), F.coalesce("parts", F.array().cast("array<long>")).alias("context"))
     take = table(spark, d, "nation").select(F.col("n_nationkey").alias("problem"), F.lit(8).alias("take"))
     return selection.diverse(rows, "problem", "candidate", "context", take).select("problem", "candidate", "place", "filled")
+
+
+_BINNED = "e AS (SELECT min(value) AS lo, (max(value) - min(value)) / 4 AS w FROM events), b AS (SELECT event_type, value, lo, w, greatest(least(floor((value - lo) / w), 3), 0) AS bin FROM events, e WHERE value IS NOT NULL), f AS (SELECT event_type, bin, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM b GROUP BY event_type, bin), d AS (SELECT b.*, ln(p) - 0.5 * (((value - (lo + (bin + 0.5) * w)) / (0.25 * w)) ** 2 + 2 * ln(0.25 * w) + ln(2 * pi())) AS lp FROM b JOIN f USING (event_type, bin))"
+
+
+@query("c24_c25_gaussian_within_bins", f"WITH {_BINNED} SELECT event_type, bin::INT AS bin, count(*) AS n, round(avg(lp), 5) AS log_prob FROM d GROUP BY ALL")
+def gaussian_within_bins(spark, d):
+    """Log density of every event's value, by its kind: the mass of a bin, and a gaussian inside it."""
+    rows = table(spark, d, "events").select("event_type", "value")
+    cpds = {"event_type": {"cpd": "categorical_table"}, "value": {"cpd": "binned", "bins": 4, "kind": "uniform", "within": "gaussian"}}
+    model = BeliefModel({"event_type": [], "value": ["event_type"]}).set_learning_method(nodes_cpds=cpds).fit(rows)
+    edges = F.array(*[F.lit(float(e)) for e in model.cpd("value").edges])
+    scored = model.handle("value").log_prob(rows.where("value IS NOT NULL")).withColumn("bin", binned.bin_of(F.col("value"), edges))
+    return scored.groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.round(F.avg("log_prob"), 5).alias("log_prob"))
+
+
+@query("s21_saved_and_loaded", f"{_HEAD}, {_drawn(_ASKED, 100)}, {_WEIGHED} SELECT query_id, rf AS l_returnflag, round(sum(e) / sum(sum(e)) OVER (PARTITION BY query_id), 6) AS prob FROM w GROUP BY query_id, rf")
+def saved_and_loaded(spark, d):
+    """Answers of a mixed model after it was saved and loaded."""
+    path = f"{scratch(spark)}/model-{uuid.uuid4().hex}"
+    mixed_model(spark, d, method="likelihood_weighting", n_samples=100).save(path)
+    rows = BeliefModel.load(spark, path).infer_posterior(asked(spark, d), "l_returnflag", evidence=["price"])
+    return particles.pmf(rows, "value").select("query_id", F.col("value").alias("l_returnflag"), r6("prob"))

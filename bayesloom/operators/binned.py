@@ -7,8 +7,13 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normal_log_density
+
 KINDS = ("uniform", "quantile", "gaussian")
-WITHIN = ("uniform", "triangular")
+WITHIN = ("uniform", "triangular", "gaussian")
+
+#: Standard deviation of the gaussian inside a bin, as a share of the bin's width.
+SCALE = 0.25
 
 
 def increasing(edges: Column, least: float = 1e-6) -> Column:
@@ -56,7 +61,10 @@ def frequencies(df: DataFrame, bin_: str, bins: int, parents: list[str] = (), sm
 
 
 def log_density(value: Column, edges: Column, prob: Column, within: str = "uniform", clip: bool = False) -> Column:
-    """Log density of a value whose bin has mass ``prob``; minus infinity outside the edges unless ``clip``."""
+    """Log density of a value whose bin has mass ``prob``; minus infinity outside the edges unless ``clip``.
+
+    A gaussian around the bin's centre reaches over the edges; with ``clip`` the value is taken at the nearest edge.
+    """
     if within not in WITHIN:
         raise ValueError(f"unknown density within bins {within!r}; there are {sorted(WITHIN)}")
     lo, hi = F.element_at(edges, 1), F.element_at(edges, -1)
@@ -64,6 +72,8 @@ def log_density(value: Column, edges: Column, prob: Column, within: str = "unifo
     at = bin_of(x, edges)
     left, right = F.element_at(edges, at + 1), F.element_at(edges, at + 2)
     width = right - left
+    if within == "gaussian":
+        return F.ln(prob) + normal_log_density(x, (left + right) / 2, width * SCALE)
     if within == "uniform":
         inside = -F.ln(width)
     else:
@@ -72,13 +82,18 @@ def log_density(value: Column, edges: Column, prob: Column, within: str = "unifo
     return F.when(x.between(lo, hi), F.ln(prob) + inside).otherwise(F.lit(float("-inf")))
 
 
-def draw_within(bin_: Column, edges: Column, u: Column, within: str = "uniform") -> Column:
-    """A value inside a bin from a uniform number."""
+def draw_within(bin_: Column, edges: Column, u: Column, within: str = "uniform", z: Column | None = None, clip: bool = False) -> Column:
+    """A value inside a bin from a uniform number ``u``, or for a gaussian from a standard normal one ``z`` (held in the bin with ``clip``)."""
     if within not in WITHIN:
         raise ValueError(f"unknown density within bins {within!r}; there are {sorted(WITHIN)}")
     left, right = F.element_at(edges, bin_ + 1), F.element_at(edges, bin_ + 2)
     if within == "uniform":
         return left + u * (right - left)
+    if within == "gaussian":
+        if z is None:
+            raise ValueError("a gaussian inside bins needs a normal draw")
+        drawn = (left + right) / 2 + z * (right - left) * SCALE
+        return F.greatest(left, F.least(right, drawn)) if clip else drawn
     return F.when(u < 0.5, left + (right - left) * F.sqrt(u / 2)).otherwise(right - (right - left) * F.sqrt((1 - u) / 2))
 
 

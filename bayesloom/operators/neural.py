@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions.draws import normal, uniform
 from ..plans.kept import kept
+from . import binned
 
 LEAST = 1e-3
 
@@ -72,12 +74,13 @@ def mixture_loss(out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     return float(-total.sum()), np.column_stack([pi - r, -r * gap / s, r * (1 - gap**2) / s / (1 + np.exp(-raw))])
 
 
-def class_loss(out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Cross entropy of classes 0..k-1, and its gradient by the logits."""
+def class_loss(out: np.ndarray, y: np.ndarray, smoothing: float = 0.0) -> tuple[float, np.ndarray]:
+    """Cross entropy of classes 0..k-1, each held to be any class with a share of ``smoothing``, and its gradient by the logits."""
     p, at = _softmax(out), (np.arange(len(y)), y.astype(np.int64))
-    loss = float(-np.log(np.maximum(p[at], 1e-300)).sum())
-    p[at] -= 1
-    return loss, p
+    wanted = np.full_like(p, smoothing / p.shape[1])
+    wanted[at] += 1 - smoothing
+    loss = float(-(wanted * np.log(np.maximum(p, 1e-300))).sum())
+    return loss, p - wanted
 
 
 def start(df: DataFrame, inputs: list[str], outputs: int, hidden: int, seed: int = 0) -> Net:
@@ -89,10 +92,10 @@ def start(df: DataFrame, inputs: list[str], outputs: int, hidden: int, seed: int
     return Net(list(inputs), outputs, hidden, center, np.where(spread > 0, spread, 1.0), w, np.zeros(size), np.zeros(size))
 
 
-def train(net: Net, df: DataFrame, target: str, loss: str, steps: int, rate: float = 0.05) -> Net:
+def train(net: Net, df: DataFrame, target: str, loss: str, steps: int, rate: float = 0.05, smoothing: float = 0.0) -> Net:
     """``steps`` Adam steps on the mean loss over all rows of ``df`` (complete, of doubles); each is one pass over a kept table."""
     rows = kept(df.select(*net.inputs, target))
-    of = {"mixture": mixture_loss, "class": class_loss}[loss]
+    of = {"mixture": mixture_loss, "class": partial(class_loss, smoothing=smoothing)}[loss]
 
     for _ in range(steps):
         now = net
@@ -215,18 +218,20 @@ class Classes:
                 columns[f"_in_{p}"] = F.col(p).cast("double")
         return df.withColumns(columns) if columns else df, list(columns)
 
+    @staticmethod
+    def categories_of(df: DataFrame, c: str, most: int) -> list:
+        """A column's values in order, of which there must not be more than ``most``."""
+        found = sorted(r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect())
+        if len(found) > most:
+            raise ValueError(f"{c} has more than {most} values")
+        return found
+
     @staticmethod
     def fit(df: DataFrame, child: str, parents: list[str], most: int = 64, hidden: int = 16, steps: int = 60, rate: float = 0.05, seed: int = 0, embed: bool | None = None) -> Classes:
         """Values of the child, and of each parent that is text (or with ``embed`` any), must not be more than ``most``."""
 
-        def distinct(c: str) -> list:
-            found = sorted(r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect())
-            if len(found) > most:
-                raise ValueError(f"{c} has more than {most} values")
-            return found
-
-        categories = {p: distinct(p) for p in parents if embed or (embed is None and dict(df.dtypes)[p] in ("string", "boolean"))}
-        values = distinct(child)
+        categories = {p: Classes.categories_of(df, p, most) for p in parents if embed or (embed is None and dict(df.dtypes)[p] in ("string", "boolean"))}
+        values = Classes.categories_of(df, child, most)
         rows, inputs = Classes._inputs(df.dropna(subset=[child, *parents]), parents, categories)
         out = Classes(child, list(parents), values, categories, start(rows, inputs, max(len(values), 1), hidden, seed))
         return out.more(df, steps, rate)
@@ -257,3 +262,63 @@ class Classes:
 
     def size(self) -> dict:
         return {"classes": len(self.values), "weights": len(self.net.weights)}
+
+
+def has_few_values(df: DataFrame, column: str, most: int) -> bool:
+    """Whether a column counts as discrete: text, truth values or whole numbers, or up to ``most`` different real ones."""
+    if dict(df.dtypes)[column] not in ("double", "float") and not dict(df.dtypes)[column].startswith("decimal"):
+        return True
+    return df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).count() <= most
+
+
+@dataclass
+class BinClasses:
+    """A numeric child given parents: a network says the bin, and a density within bins the rest."""
+
+    child: str
+    edges: list[float]
+    within: str
+    clip: bool
+    classes: Classes
+    smoothing: float = 0.0
+    family = "binned_softmax_nn"
+
+    @property
+    def parents(self) -> list[str]:
+        return self.classes.parents
+
+    def _edges(self) -> Column:
+        return F.array(*[F.lit(float(e)) for e in self.edges])
+
+    @staticmethod
+    def fit(df: DataFrame, child: str, parents: list[str], bins: int = 8, kind: str = "quantile", within: str = "triangular", clip: bool = False, smoothing: float = 0.0, most: int = 64, hidden: int = 16, steps: int = 60, rate: float = 0.05, seed: int = 0) -> BinClasses:
+        rows = df.dropna(subset=[child, *parents])
+        edges = binned.bin_edges(rows, child, bins, kind).first()["edges"]
+        if edges is None:
+            raise ValueError(f"there are no values of {child} to put into bins")
+        categories = {p: Classes.categories_of(rows, p, most) for p in parents if dict(df.dtypes)[p] in ("string", "boolean")}
+        made, inputs = Classes._inputs(rows, parents, categories)
+        classes = Classes(child, list(parents), list(range(bins)), categories, start(made, inputs, bins, hidden, seed))
+        return BinClasses(child, edges, within, clip, classes, smoothing).more(df, steps, rate)
+
+    def more(self, df: DataFrame, steps: int, rate: float) -> BinClasses:
+        """Further steps on other rows; values outside the edges count for the outer bins."""
+        made, inputs = Classes._inputs(df.dropna(subset=[self.child, *self.parents]), self.parents, self.classes.categories)
+        code = binned.bin_of(F.col(self.child).cast("double"), self._edges()).cast("double")
+        net = train(self.classes.net, made.select(*inputs, code.alias("_y")), "_y", "class", steps, rate, self.smoothing)
+        c = self.classes
+        return BinClasses(self.child, self.edges, self.within, self.clip, Classes(c.child, c.parents, c.values, c.categories, net), self.smoothing)
+
+    def draw(self, rows: DataFrame, seed: int, keys: list) -> DataFrame:
+        own = [F.lit(seed), *keys, F.lit(self.child)]
+        at = self.classes._with(rows).withColumn("_b", (pick(F.col("_p"), uniform(*own, F.lit("bin"))) - 1).cast("int"))
+        value = binned.draw_within(F.col("_b"), self._edges(), uniform(*own), self.within, normal(*own), self.clip)
+        return at.withColumn(self.child, value).drop("_p", "_b")
+
+    def log_prob(self, rows: DataFrame) -> DataFrame:
+        x = F.col(self.child).cast("double")
+        mass = F.greatest(F.element_at("_p", binned.bin_of(x, self._edges()) + 1), F.lit(1e-12))
+        return self.classes._with(rows).withColumn("log_prob", binned.log_density(x, self._edges(), mass, self.within, self.clip)).drop("_p")
+
+    def size(self) -> dict:
+        return {"bins": len(self.edges) - 1, "weights": len(self.classes.net.weights)}

@@ -83,7 +83,7 @@ class Bins:
 
     def draw(self, rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
         at = binned.draw_bin(self.probs, rows, self.parents, uniform(F.lit(seed), *keys, F.lit(self.child), F.lit("bin")))
-        return at.withColumn(self.child, binned.draw_within(F.col("bin"), self._edges(), uniform(F.lit(seed), *keys, F.lit(self.child)), self.within)).drop("bin")
+        return at.withColumn(self.child, binned.draw_within(F.col("bin"), self._edges(), uniform(F.lit(seed), *keys, F.lit(self.child)), self.within, normal(F.lit(seed), *keys, F.lit(self.child)))).drop("bin")
 
     def log_prob(self, rows: DataFrame) -> DataFrame:
         at = rows.withColumn("bin", binned.bin_of(F.col(self.child).cast("double"), self._edges()))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from copy import copy, deepcopy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cpt, gaussian, particles
+from . import stored
 
 
 class Handle:
     """Answers for rows of parents; each row keeps its columns. Rows that lack a parent's column are an error."""
 
-    def __init__(self, net: particles.Network, node: str, seed: int = 0):
-        self.net, self.node, self.parents, self.seed = net, node, net.parents[node], seed
+    def __init__(self, net: particles.Network, node: str, seed: int = 0, settings: dict | None = None):
+        self.net, self.node, self.parents, self.seed, self.settings = net, node, net.parents[node], seed, dict(settings or {})
 
     def _check(self, rows: DataFrame, *also: str) -> None:
         missing = {*self.parents, *also} - set(rows.columns)
@@ -82,3 +85,25 @@ class Handle:
             f: gaussian.Linear = self.net.linear[self.node]
             return out | {"intercept": f.intercept, "coef": list(f.coef), "std": f.std}
         return out | ({"cells": self.net.tables[self.node].count()} if self.node in self.net.tables else self.net.others[self.node].size())
+
+    def export_config(self) -> dict:
+        """What it takes to fit the family again: node, parents, family and its settings."""
+        return {"node": self.node, "parents": list(self.parents), "family": self.family(), "settings": dict(self.settings)}
+
+    def state_dict(self) -> dict:
+        """The fitted parameters: numbers as plain values, and a ``table`` where they are one."""
+        if self.node in self.net.tables:
+            return {"table": self.net.tables[self.node]}
+        if self.node in self.net.linear:
+            f = self.net.linear[self.node]
+            return {"intercept": f.intercept, "coef": list(f.coef), "std": f.std}
+        family = self.net.others[self.node]
+        table = stored.table_of(family)
+        table = table if table is not None else getattr(family, "table", getattr(family, "points", None))
+        return stored.state_of(family) | ({"table": table} if table is not None else {})
+
+    def clone(self) -> Handle:
+        """A handle of the family alone, which later fits and updates of the model leave as it is."""
+        n = self.node
+        own = [{k: deepcopy(x) if k == n and part == "linear" else copy(x) for k, x in getattr(self.net, part).items() if k == n} for part in ("tables", "linear", "others")]
+        return Handle(particles.Network({n: list(self.parents)} | {p: [] for p in self.parents}, *own), n, self.seed, self.settings)

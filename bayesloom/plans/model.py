@@ -12,12 +12,14 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from copy import deepcopy
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import binned, conditional, cpt, factor, features, gaussian, hmc, kernel, neural, particles, process
+from . import stored
 from .handle import Handle
 from .kept import compact, kept
 
@@ -32,7 +34,7 @@ CPDS = {
     "binned": {"bins": 16, "kind": "uniform", "within": "uniform", "smoothing": 0.0},
     "gaussian_nn": {"hidden": 16, "steps": 60, "rate": 0.05},
     "mdn": {"components": 3, "hidden": 16, "steps": 60, "rate": 0.05},
-    "softmax_nn": {"most": 64, "hidden": 16, "steps": 60, "rate": 0.05},
+    "softmax_nn": {"most": 64, "bins": 8, "kind": "quantile", "within": "triangular", "clip": False, "smoothing": 0.0, "hidden": 16, "steps": 60, "rate": 0.05},
     "categorical_embedded_softmax": {"most": 64, "hidden": 16, "steps": 60, "rate": 0.05},
 }
 INFERENCE = {
@@ -47,6 +49,7 @@ INFERENCE = {
     "variable_elimination": {},
 }
 SAMPLING = {"ancestral": {"n_samples": 200}, "gibbs": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "candidates": 8}, "hmc": {"n_samples": 200, "burn_in": 10, "n_steps": 1, "step_size": 0.05, "n_leapfrog": 8, "scales": None}}
+STORED = (particles.Features, particles.Bins, neural.Mixture, neural.Classes, neural.BinClasses, process.Process)
 UPDATES = ("merge", "replace", "ema", "replay_buffer", "online_sgd")
 
 
@@ -59,7 +62,32 @@ def _blend(old: DataFrame, new: DataFrame, family: list[str], alpha: float) -> D
     return rows.select(*family, "n", (F.col("_p") / total).alias("prob"))
 
 
-def _choose(known: dict, name: str, kind: str, **given: object) -> tuple[str, dict]:
+#: Families and methods of one's own: what fits, answers or samples, by name.
+OWN: dict[str, dict[str, Callable]] = {"cpd": {}, "inference": {}, "sampling": {}}
+
+
+def register(kind: str, name: str, /, **defaults: object) -> Callable:
+    """A decorator that makes a family or method known under ``name``, with its settings' defaults.
+
+    ``cpd``: called with data, child, parents and the settings, gives an object with ``draw(rows, seed, keys)``,
+    ``log_prob(rows)``, ``size()`` and ``family``. ``inference``: called with the model, queries (``query_id``, ``ev_``
+    and ``do_`` columns), target, names of evidence and interventions and the settings, gives ``query_id, value, weight,
+    weight_kind``. ``sampling``: the same without a target, gives ``query_id, particle_id`` and all variables.
+    """
+    known = {"cpd": CPDS, "inference": INFERENCE, "sampling": SAMPLING}
+    if kind not in known:
+        raise ValueError(f"unknown kind {kind!r}; there are {sorted(known)}")
+    if name in known[kind] and name not in OWN[kind]:
+        raise ValueError(f"{kind} {name!r} is there already")
+
+    def keep(made: Callable) -> Callable:
+        known[kind][name], OWN[kind][name] = dict(defaults), made
+        return made
+
+    return keep
+
+
+def _choose(known: dict, name: str, kind: str, /, **given: object) -> tuple[str, dict]:
     if name not in known:
         raise ValueError(f"unknown {kind} method {name!r}; there are {sorted(known)}")
     return name, {**deepcopy(known[name]), **given}
@@ -128,8 +156,8 @@ class BeliefModel:
             raise RuntimeError("choose a learning method first")
         self._check(data)
         self.types = {v: data.schema[v].dataType.simpleString() for v in self.net.parents}
-        self._statistics(data)
         self._fit_others(data)
+        self._statistics(data)
         self._estimate()
         return self
 
@@ -160,7 +188,8 @@ class BeliefModel:
         """The discrete parents of a conditional Gaussian: those named, or those whose family has values."""
         named = self.cpds[v].get("discrete")
         valued = self._of("categorical_table", "softmax_nn", "categorical_embedded_softmax")
-        return [p for p in self.net.parents[v] if (p in named if named is not None else p in valued)]
+        numeric = {p for p, f in self.net.others.items() if isinstance(f, neural.BinClasses)}
+        return [p for p in self.net.parents[v] if (p in named if named is not None else p in valued and p not in numeric)]
 
     def _mixed(self, data: DataFrame, v: str) -> DataFrame:
         discrete = self._discrete(v)
@@ -189,8 +218,15 @@ class BeliefModel:
             self.net.others[v] = neural.Mixture.fit(data, v, self.net.parents[v], conf.get("components", 1), conf["hidden"], conf["steps"], conf["rate"], self.seed)
         for v in self._of("softmax_nn", "categorical_embedded_softmax"):
             conf = self.cpds[v]
+            if conf["cpd"] == "softmax_nn" and not neural.has_few_values(data, v, conf["most"]):  # a numeric child is put into bins
+                given = {k: conf[k] for k in ("bins", "kind", "within", "clip", "smoothing", "most", "hidden", "steps", "rate")}
+                self.net.others[v] = neural.BinClasses.fit(data, v, self.net.parents[v], **given, seed=self.seed)
+                continue
             embed = True if conf["cpd"] == "categorical_embedded_softmax" else None
             self.net.others[v] = neural.Classes.fit(data, v, self.net.parents[v], conf["most"], conf["hidden"], conf["steps"], conf["rate"], self.seed, embed)
+        for v in self._of(*OWN["cpd"]):
+            settings = {k: x for k, x in self.cpds[v].items() if k != "cpd"}
+            self.net.others[v] = OWN["cpd"][self.cpds[v]["cpd"]](data, v, self.net.parents[v], **settings)
         alike: dict[str, list[str]] = {}
         for v in self._of("gaussian_process"):
             alike.setdefault(json.dumps(self.cpds[v], sort_keys=True), []).append(v)
@@ -269,7 +305,7 @@ class BeliefModel:
         """
         if not self._fitted():
             raise RuntimeError("fit the model before updating it")
-        self.update_method = update_method or self.update_method
+        self.update_method = {"streaming_stats": "merge"}.get(update_method, update_method) or self.update_method
         if self.update_method is None:
             raise RuntimeError("the first update needs a method")
         if self.update_method not in UPDATES:
@@ -339,6 +375,8 @@ class BeliefModel:
         below = self.net.descendants(target) & {*evidence, *do}
         if target in clamped:
             return q.select("query_id", F.col(clamped[target]).alias("value"), F.lit(1.0).alias("weight"), F.lit("pmf").alias("weight_kind"))
+        if name in OWN["inference"]:
+            return OWN["inference"][name](self, q, target, evidence, do, **conf)
         n = int(conf.get("n_samples", 200))
         exact = all(x in clamped for x in p) and (mode == "compat" or not below)
         if name == "categorical_exact" and exact and target in self.net.tables:
@@ -416,7 +454,9 @@ class BeliefModel:
         """Draws with evidence and interventions clamped, without weights: forward, or by Gibbs sweeps."""
         q = self._signature(queries, (targets or list(self.net.parents))[0], list(evidence), list(do))
         name, conf = self.sampling
-        if name == "gibbs":
+        if name in OWN["sampling"]:
+            rows = OWN["sampling"][name](self, q, list(evidence), list(do), **conf)
+        elif name == "gibbs":
             rows = particles.gibbs(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, int(conf["burn_in"]), int(conf["n_steps"]), int(conf["candidates"]))
         elif name == "hmc":
             rows = hmc.sample(self.net, q, int(conf["n_samples"]), list(evidence), list(do), self.seed, int(conf["burn_in"]), int(conf["n_steps"]), float(conf["step_size"]), int(conf["n_leapfrog"]), conf["scales"])
@@ -440,18 +480,23 @@ class BeliefModel:
     def handle(self, node: str) -> Handle:
         """Draws, densities and conditional distributions of one fitted family."""
         self.cpd(node)
-        return Handle(self.net, node, self.seed)
+        return Handle(self.net, node, self.seed, (self.cpds or {}).get(node))
 
     def save(self, path: str) -> None:
         """Counts as Parquet, everything else as one JSON line in the same folder."""
         if self.cpds is None or not self._fitted():
             raise RuntimeError("there is nothing to save before a fit")
-        if self.net.others:
-            raise ValueError(f"families without additive statistics are fitted again, not saved: {sorted(self.net.others)}")
-        for v, c in self.counts.items():
-            c.write.mode("overwrite").parquet(f"{path}/counts/{v}")
+        own = {v: f for v, f in self.net.others.items() if v not in {*self.mixed, *self.points}}
+        unknown = {v for v in own if not isinstance(own[v], STORED)}
+        if unknown:
+            raise ValueError(f"families of one's own are not saved: {sorted(unknown)}")
+        tables = {"counts": self.counts, "mixed": self.mixed, "points": self.points, "tables": {v: stored.table_of(f) for v, f in own.items()}}
+        for what, frames in tables.items():
+            for v, t in frames.items():
+                if t is not None:
+                    t.write.mode("overwrite").parquet(f"{path}/{what}/{v}")
         spark = SparkSession.getActiveSession()
-        manifest = {"parents": self.net.parents, "seed": self.seed, "cpds": self.cpds, "inference": self.inference, "sampling": self.sampling, "stats": self.stats, "shift": self.shift}
+        manifest = {"parents": self.net.parents, "seed": self.seed, "cpds": self.cpds, "inference": self.inference, "sampling": self.sampling, "stats": self.stats, "shift": self.shift, "types": self.types, "merges": self.merges, "others": {v: [type(f).__name__, stored.state_of(f), stored.table_of(f) is not None] for v, f in own.items()}}
         spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
@@ -460,5 +505,12 @@ class BeliefModel:
         model = cls(m["parents"], m["seed"])
         model.cpds, model.inference, model.sampling, model.stats, model.shift = m["cpds"], tuple(m["inference"]), tuple(m["sampling"]), m["stats"], m["shift"]
         model.counts = {v: spark.read.parquet(f"{path}/counts/{v}") for v, c in m["cpds"].items() if c["cpd"] == "categorical_table"}
+        model.types, model.merges, model.net.others = m["types"], m["merges"], {}
+        model.mixed = {v: spark.read.parquet(f"{path}/mixed/{v}") for v in model._of("conditional_gaussian")}
+        for v, (kind, state, has_table) in m["others"].items():
+            model.net.others[v] = stored.family_from(kind, v, model.net.parents[v], state, spark.read.parquet(f"{path}/tables/{v}") if has_table else None)
+        for v in model._of("kde"):
+            model.points[v] = spark.read.parquet(f"{path}/points/{v}")
+            model._kernel(v)
         model._estimate()
         return model
