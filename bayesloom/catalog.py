@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import divergence, draws, records, scalars
 from .operators import binned, cpt, factor, gaussian, graph, particles, summary
-from .plans.kept import compact, kept
+from .plans.kept import compact, kept, kept_together
 from .streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +67,7 @@ def cpt_sql(child: str, parents: list[str], smoothing: str = "total_mass", prior
 def network(spark: SparkSession, d: str) -> particles.Network:
     """All tables from one aggregation that is kept, as are the tables: questions do not read the data."""
     rows = compact(kept(base(spark, d).groupBy(*N1).agg(F.count("*").alias("w"))))
-    return particles.Network(dict(N1), {c: compact(kept(cpt.fit_cpt(rows, c, p, weight="w"))) for c, p in N1.items()})
+    return particles.Network(dict(N1), kept_together({c: cpt.fit_cpt(rows, c, p, weight="w") for c, p in N1.items()}))
 
 
 def _register_tables() -> None:

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import _LINEAGE, _TRADE, lineage, query, r6, table, trade
+from .catalog import _LINEAGE, _TRADE, SQL, lineage, query, r6, table, trade
 from .functions import divergence, draws, records
 from .operators import binned, graph, kernel, report, summary
+from .plans.kept import kept
 from .streaming import updates
 
 #: Attempts of methods on queries, made of the event table; the same in both engines.
@@ -340,3 +341,23 @@ def ranges(spark, d):
 @query("m08_distinct_query_rows", "WITH t AS (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer), o AS (SELECT *, row_number() OVER (ORDER BY md5('3|' || c_mktsegment || '|' || c_nationkey), c_mktsegment, c_nationkey) AS r FROM t) SELECT c_mktsegment, c_nationkey FROM o WHERE r <= 20")
 def distinct_query_rows(spark, d):
     return report.distinct_rows(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], 20, seed=3)
+
+
+_BETWEEN = SQL["g09_betweenness"]
+_REACH = f"{_TRADE}, bt AS ({_BETWEEN}), nodes AS (SELECT DISTINCT x AS node FROM u), m AS (SELECT child AS node, parent AS member FROM e UNION SELECT parent, child FROM e UNION SELECT a.parent, b.parent FROM e a JOIN e b USING (child) WHERE a.parent <> b.parent), tt AS (SELECT DISTINCT child AS node FROM e WHERE parent LIKE 'N%'), ask AS (SELECT 'N' || n_nationkey AS node FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING avg(c_acctbal) > 4500), hub AS (SELECT node FROM bt WHERE betweenness >= (SELECT median(betweenness) FROM bt)), leaf AS (SELECT node FROM nodes WHERE node NOT IN (SELECT parent FROM e)), pr AS (SELECT DISTINCT least(node, member) AS a, greatest(node, member) AS b FROM m), pt AS (SELECT DISTINCT least(node, member) AS a, greatest(node, member) AS b FROM m WHERE node IN (FROM tt))"
+
+
+@query(
+    "a18_workload_coverage",
+    f"WITH {_REACH}, c AS (SELECT count(*) AS n FROM nodes) SELECT round((SELECT count(*) FROM tt) / n, 6) AS target_coverage, round((SELECT count(DISTINCT parent) FROM e WHERE child IN (FROM tt)) / n, 6) AS parent_coverage, "
+    "round(((SELECT count(*) FROM m WHERE node IN (FROM tt)) / (SELECT count(*) FROM tt)) / ((SELECT count(*) FROM m) / n), 6) AS blanket_ratio, round((SELECT count(*) FROM pt) / (SELECT count(*) FROM pr), 6) AS pair_coverage, "
+    "round((SELECT count(*) FROM ask) / n, 6) AS asked_coverage, round((SELECT count(*) FROM ask JOIN hub USING (node)) / (SELECT count(*) FROM hub), 6) AS hub_coverage, round(coalesce((SELECT count(*) FROM ask JOIN leaf USING (node)) / nullif((SELECT count(*) FROM leaf), 0), 0), 6) AS terminal_coverage FROM c",
+)
+def workload_reach(spark, d):
+    """How much of the trade graph is reached by tables of the nations bought from, and questions about nations of rich customers."""
+    e = kept(trade(spark, d))
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("a")).where("a > 4500")
+    asked = c.select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("node"))
+    leaves = e.select(F.col("child").alias("node")).join(e.select(F.col("parent").alias("node")), "node", "left_anti").distinct()
+    rows = report.workload_coverage(e, e.where("parent LIKE 'N%'").select(F.col("child").alias("node")), asked, graph.betweenness(e), {"terminal": leaves})
+    return rows.select(*[r6(x) for x in rows.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_log_density
+from . import ordered
 
 KINDS = ("uniform", "quantile", "gaussian")
 WITHIN = ("uniform", "triangular", "gaussian")
@@ -35,7 +36,7 @@ def bin_edges(df: DataFrame, value: str, bins: int, kind: str = "uniform", least
         raise ValueError(f"unknown kind of bins {kind!r}; there are {sorted(KINDS)}")
     x = F.col(value).cast("double")
     if kind == "quantile":
-        return df.agg(increasing(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)])), least).alias("edges"))
+        return ordered.percentiles(df, value, [i / bins for i in range(bins + 1)]).select(increasing(F.col("values"), least).alias("edges"))
     lo, hi = F.min(x), F.max(x)
     if kind == "uniform":
         inner = [lo + (hi - lo) * (i / bins) for i in range(1, bins)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from ..plans.kept import kept
+from ..plans.kept import compact, kept
 
 
 def support(df: DataFrame, column: str, declared: int | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def count_families(df: DataFrame, families: dict[str, list[str]]) -> dict[str, D
         return {}
     sets = [[*p, c] for c, p in families.items()]
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    rows = kept(df.select(*columns).groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().alias("_g"), F.count("*").alias("n")))
+    rows = compact(kept(df.select(*columns).groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().alias("_g"), F.count("*").alias("n"))))
     out = {}
     for child, parents in families.items():
         own = {*parents, child}

@@ -6,6 +6,8 @@ says what it starts and ends with, and a window over those few rows gives what e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,34 @@ def runs(df: DataFrame, key: str, order: list[str], size: int, ranges: int | Non
     return both.withColumn("run", F.col("_base") + F.col("_run")).withColumn("chunk", F.floor((place - 1) / size).cast("int")).select(*df.columns, "run", "chunk")
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], ranges: int | None = None) -> DataFrame:
+    """One row with ``values``: the exact percentiles of a column, between its two nearest values where a share falls between them.
+
+    Equal values are counted first; the counts are added up within ranges of the values, and what came before a range is a row of
+    its own. Nulls do not count; without values the row holds null.
+    """
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), ["_v"], ranges)
+    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    w = Window.orderBy("_part")  # a row for each range
+    before = kept(parts.select("_part", (F.sum("_s").over(w) - F.col("_s")).alias("_before")))
+    total = parts.agg(F.sum("_s")).first()[0]
+    if not total:
+        return df.sparkSession.range(1).select(F.lit(None).cast("array<double>").alias("values"))
+    places = [s * (total - 1) for s in shares]
+    wanted = sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)})
+    run = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v"))
+    rows = counts.join(F.broadcast(before), "_part").select("_v", (F.col("_before") + run).alias("_to"), (F.col("_before") + run - F.col("_n")).alias("_from"))
+    hits = F.filter(F.array(*[F.lit(i).cast("long") for i in wanted]), lambda i: (i >= F.col("_from")) & (i < F.col("_to")))
+    found = rows.where(F.size(hits) > 0).select(F.explode(hits).alias("_i"), "_v").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_at"))  # two for each share
+
+    def at(p: float) -> Column:
+        lo, hi = int(math.floor(p)), int(math.ceil(p))
+        low, high = (F.element_at("_at", F.lit(i).cast("long")) for i in (lo, hi))
+        return low if lo == hi else F.when(low == high, low).otherwise((hi - p) * low + (p - lo) * high)
+
+    return found.select(F.array(*[at(p) for p in places]).alias("values"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str | None = None, most: Column | None = None, ranges: int | None = None) -> DataFrame:
     """Each row of ``left`` with the latest row of ``right`` of its key that is not later, as a struct ``matched``, or null.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.kept import kept
+from . import graph, ordered
 from .summary import latest
 
 
@@ -38,7 +40,7 @@ def batching(df: DataFrame, keys: list[str], size: str, ms: str) -> DataFrame:
 
 def binned_line(df: DataFrame, keys: list[str], x: str, bins: int = 4) -> DataFrame:
     """``df`` with ``left, right, mid`` of the quantile bin of ``x``, right-closed, the lowest value in the first; rows without ``x`` go."""
-    cuts = F.broadcast(df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("_e")))  # one row
+    cuts = F.broadcast(ordered.percentiles(df, x, [i / bins for i in range(bins + 1)]).select(F.array_distinct("values").alias("_e")))  # one row
     rows = df.where(F.col(x).isNotNull()).crossJoin(cuts).where(F.size("_e") >= 2)
     at = F.greatest(F.size(F.filter("_e", lambda e: e < F.col(x))), F.lit(1))
     rows = rows.withColumn("left", F.element_at("_e", at)).withColumn("right", F.element_at("_e", at + 1))
@@ -149,3 +151,41 @@ def distinct_rows(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> D
     """``n`` of the distinct rows over ``columns``, chosen by hash, without replacement."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
     return df.select(*columns).distinct().orderBy(key, *columns).limit(n)
+
+
+def workload_coverage(edges: DataFrame, table_targets: DataFrame, asked_targets: DataFrame, centrality: DataFrame, groups: dict[str, DataFrame]) -> DataFrame:
+    """One row: how much of a network a workload of queries reaches.
+
+    Of the targets of table queries: the share of nodes (``target_coverage``), of nodes that are their parents
+    (``parent_coverage``), their mean blanket size over that of all nodes (``blanket_ratio``), and the share of all pairs of a node and
+    a blanket member that has one of them (``pair_coverage``). Of the targets of inference queries: the share of nodes
+    (``asked_coverage``), of hubs (nodes whose ``betweenness`` is at least the median), and of each of ``groups``. Shares of nothing are 0.
+    """
+    node = lambda df, c: df.select(F.col(c).alias("node"))
+    nodes = kept(node(edges, "parent").union(node(edges, "child")).distinct())
+    pairs = kept(graph.markov_blanket(edges))
+    n = nodes.count()
+    targets, asked = (kept(nodes.join(node(t, "node").distinct(), "node")) for t in (table_targets, asked_targets))
+    half = kept(centrality.join(nodes, "node", "right").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("b")))
+    median = ordered.percentiles(half, "b", [0.5]).first()[0]
+    hubs = half.where(F.col("b") >= F.lit(median[0] if median else 0.0)).select("node")
+    unordered = lambda p: p.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct()
+
+    def part(have: DataFrame, of: DataFrame) -> float:
+        size = of.distinct().count()
+        return have.join(of.distinct(), "node", "left_semi").distinct().count() / size if size else 0.0
+
+    of_targets = pairs.join(targets, "node", "left_semi")
+    mean = lambda p, k: p.count() / k if k else 0.0
+    whole, mine = mean(pairs, n), mean(of_targets, targets.count())
+    all_pairs = unordered(pairs).count()
+    said = {
+        "target_coverage": targets.count() / max(n, 1),
+        "parent_coverage": edges.join(targets.withColumnRenamed("node", "child"), "child", "left_semi").select("parent").distinct().count() / max(n, 1),
+        "blanket_ratio": mine / whole if whole else 0.0,
+        "pair_coverage": unordered(of_targets).count() / all_pairs if all_pairs else 0.0,
+        "asked_coverage": asked.count() / max(n, 1),
+        "hub_coverage": part(asked, hubs),
+        **{f"{name}_coverage": part(asked, g) for name, g in groups.items()},
+    }
+    return edges.sparkSession.range(1).select(*[F.lit(float(v)).alias(k) for k, v in said.items()])

@@ -58,13 +58,26 @@ def pareto(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 4) -> DataFrame:
     """``df`` with ``bin``: right-closed quantile bins over distinct edges, the lowest value included; null without two edges."""
-    cuts = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    edges = F.broadcast(df.agg(F.array_distinct(cuts).alias("_edges")))  # one row
+    cuts = ordered.percentiles(df, value, [i / bins for i in range(bins + 1)])
+    edges = F.broadcast(cuts.select(F.array_distinct("values").alias("_edges")))  # one row
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     at = F.size(F.filter(inner, lambda e: e < F.col(value)))
     return df.crossJoin(edges).withColumn("bin", F.when((F.size("_edges") >= 2) & F.col(value).isNotNull(), at)).drop("_edges")
 
 
+def bin_labels(edges: Column) -> Column:
+    """A label for each bin between ``edges``: ``[a, b]`` for the first, ``(a, b]`` for the others, numbers with four significant digits."""
+
+    def said(x: Column) -> Column:
+        digits = F.when(x == 0, 3).otherwise(3 - F.floor(F.log10(F.abs(x)))).cast("int")
+        scale = F.pow(F.lit(10.0), digits)
+        text = F.regexp_replace(F.format_number(F.round(x * scale) / scale, 6), ",", "")
+        return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")
+
+    pairs = F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda x, i: F.concat(F.when(i == 0, "[").otherwise("("), said(x), F.lit(", "), said(F.element_at(edges, i + 2)), F.lit("]")))
+    return F.when(F.size(edges) >= 2, pairs)
+
+
 def share(df: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
     """Counts per ``keys`` and their share of the total of ``within``."""
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))

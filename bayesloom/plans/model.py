@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import binned, conditional, cpt, factor, features, gaussian, hmc, kernel, neural, particles, process
 from . import stored
 from .handle import Handle
-from .kept import compact, kept
+from .kept import compact, kept, kept_together
 
 # Method names and their defaults.
 CPDS = {
@@ -261,11 +261,11 @@ class BeliefModel:
 
     def _estimate(self) -> None:
         self._mark = None
-        self.net.tables, self.net.linear = {}, {}
+        conf_of = {v: self.cpds[v] for v in self._of("categorical_table")}
+        self.net.tables = kept_together({v: cpt.fit_cpt(self.counts[v], v, self.net.parents[v], c["alpha"], c["smoothing"], c["prior"], weight="n") for v, c in conf_of.items()})
+        self.net.linear = {}
         for v, conf in self.cpds.items():
-            if conf["cpd"] == "categorical_table":
-                self.net.tables[v] = compact(kept(cpt.fit_cpt(self.counts[v], v, self.net.parents[v], conf["alpha"], conf["smoothing"], conf["prior"], weight="n")))
-            elif conf["cpd"] == "linear_gaussian":
+            if conf["cpd"] == "linear_gaussian":
                 self.net.linear[v] = gaussian.solve(self.stats[v], v, self.net.parents[v], self.shift, conf["ridge"])
             elif conf["cpd"] == "conditional_gaussian":
                 discrete = self._discrete(v)

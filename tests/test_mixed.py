@@ -372,3 +372,20 @@ def test_points_within_intervals(spark):
     assert {(r.i, r.j) for r in ordered.within(p, s.drop("k"), "x", "lo", "hi").collect()} == want
     got = ordered.within(p, s, "x", "lo", "hi", "k").collect()
     assert {(r.i, r.j) for r in got} == same and len(got) == len(same)
+
+
+def test_percentiles_by_counted_values(spark):
+    rng = random.Random(3)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for values in ([rng.choice([1.0, 2.5, 2.5, 9.0, -4.0, None]) for _ in range(200)], [rng.gauss(0, 1) for _ in range(301)], [7.0], [None, None]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        got = ordered.percentiles(df, "v", shares, 5).first()[0]
+        known = [v for v in values if v is not None]
+        assert got == (pytest.approx(list(np.quantile(known, shares))) if known else None)
+
+
+def test_labels_of_bins(spark):
+    from bayesloom.operators import summary
+
+    rows = spark.createDataFrame([([0.0, 1.5, 12345.678, 2e6],), ([1.0],), (None,)], "e array<double>")
+    assert [r[0] for r in rows.select(summary.bin_labels(F.col("e"))).collect()] == [["[0, 1.5]", "(1.5, 12350]", "(12350, 2000000]"], None, None]
