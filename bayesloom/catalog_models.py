@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .catalog import _JOINT, _U, N1, base, query, r6, table
-from .operators import binned, kernel, ordered, particles, selection, sketches, workload
-from .plans.batch import AnswerCache, batches, infer_batch, normalised, signatures
-from .plans.kept import scratch
+from .catalog import _JOINT, _U, N1, base, edges, query, r6, table
+from .operators import binned, graph, kernel, ordered, particles, selection, sketches, workload
+from .plans.batch import AnswerCache, batches, ground_truth, infer_batch, normalised, signatures
+from .plans.kept import kept, scratch
 from .plans.model import BeliefModel
 from .streaming import quantiles
 
@@ -381,3 +381,40 @@ def saved_and_loaded(spark, d):
     mixed_model(spark, d, method="likelihood_weighting", n_samples=100).save(path)
     rows = BeliefModel.load(spark, path).infer_posterior(asked(spark, d), "l_returnflag", evidence=["price"])
     return particles.pmf(rows, "value").select("query_id", F.col("value").alias("l_returnflag"), r6("prob"))
+
+
+# workloads and their exact answers
+_NAMES = sorted(N1)
+_ASKED_OF = ["l_linestatus", "o_orderstatus"]
+_POOL = {v: sorted({*N1[v], *[c for c, p in N1.items() if v in p], *[q for c, p in N1.items() if v in p for q in p]} - {v}) for v in N1}
+
+
+def _h(*parts: str) -> str:
+    return _U.format(key=" || '|' || ".join(parts))
+
+
+_TABLE_QUERIES = (
+    "dom AS (" + " UNION ALL ".join(f"SELECT '{v}' AS node, {v} AS state, row_number() OVER (ORDER BY {v}) - 1 AS code FROM (SELECT DISTINCT {v} FROM base)" for v in _NAMES) + "), "
+    "size AS (SELECT node, count(*) AS k FROM dom GROUP BY node), "
+    f"qs AS (SELECT s_suppkey AS query_id, {_ASKED_OF!r}[(s_suppkey % 2 + 1)::INT] AS target, CASE WHEN s_suppkey % 3 = 0 THEN 'blanket' ELSE 'any' END AS strategy FROM supplier), "
+    "pool(strategy, target, member) AS (VALUES " + ", ".join([f"('blanket', '{t}', '{x}')" for t, xs in _POOL.items() for x in xs] + [f"('any', '{t}', '{x}')" for t in _NAMES for x in _NAMES if x != t]) + "), "
+    f"pick AS (SELECT query_id, member, row_number() OVER (PARTITION BY query_id ORDER BY {_h(chr(39) + '4' + chr(39), 'query_id', 'member')}, member) AS r, floor({_h(chr(39) + '4' + chr(39), 'query_id', chr(39) + 'k' + chr(39))} * 2) AS k, floor({_h(chr(39) + '4' + chr(39), 'query_id', 'member', chr(39) + 'value' + chr(39))} * size.k)::INT AS code FROM qs JOIN pool USING (strategy, target) JOIN size ON size.node = member), "
+    "ev AS (SELECT query_id, member, state FROM pick JOIN dom ON dom.node = member AND dom.code = pick.code WHERE r <= pick.k), "
+    "wide AS (SELECT qs.query_id, qs.target, " + ", ".join(f"max(state) FILTER (member = '{v}') AS e_{v}" for v in _NAMES) + " FROM qs LEFT JOIN ev USING (query_id) GROUP BY ALL), "
+    "hit AS (SELECT query_id, target, CASE target " + " ".join(f"WHEN '{v}' THEN j.{v}" for v in _NAMES) + " END AS state, sum(p) AS p FROM wide JOIN j ON " + " AND ".join(f"(e_{v} IS NULL OR e_{v} = j.{v})" for v in _NAMES) + " GROUP BY ALL)"
+)
+
+
+@query("k07_q29_ground_truth", f"{_JOINT}, {_TABLE_QUERIES} SELECT hit.query_id, hit.target, dom.code::INT AS code, round(p / sum(p) OVER (PARTITION BY hit.query_id), 6) AS prob FROM hit JOIN dom ON dom.node = hit.target AND dom.state = hit.state")
+def ground_truth_records(spark, d):
+    """A question for each supplier with evidence drawn from the target's blanket or from all nodes, and its exact answer by state code."""
+    model = order_model(spark, d)
+    domain = kept(workload.domain_of(base(spark, d), list(N1)))
+    k = F.col("s_suppkey")
+    targets = table(spark, d, "supplier").select(k.alias("query_id"), F.element_at(F.array(*map(F.lit, _ASKED_OF)), (k % 2 + 1).cast("int")).alias("target"), F.when(k % 3 == 0, "blanket").otherwise("any").alias("strategy"))
+    blanket = graph.markov_blanket(edges(spark, d)).select(F.lit("blanket").alias("strategy"), F.col("node").alias("target"), "member")
+    nodes = domain.select("node").distinct()
+    others = nodes.select(F.lit("any").alias("strategy"), F.col("node").alias("target"), F.explode(F.array(*map(F.lit, _NAMES))).alias("member")).where("member <> target")
+    asked = workload.table_queries(targets, blanket.unionByName(others), domain, 1, seed=4)
+    rows = ground_truth(model, asked, domain)
+    return rows.select("query_id", "target", F.posexplode("probs").alias("code", "prob")).select("query_id", "target", "code", r6("prob"))

@@ -92,3 +92,26 @@ def bin_geometry(bin_: Column, edges: Column, least: float = 1e-6) -> Column:
     """Left and right edge, width (``least`` at least) and centre of a bin."""
     left, right = F.element_at(edges, bin_ + 1), F.element_at(edges, bin_ + 2)
     return F.struct(left.alias("left"), right.alias("right"), F.greatest(right - left, F.lit(least)).alias("width"), ((left + right) / 2).alias("centre"))
+
+
+def domain_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``node, state, code``: the values of each column as text, numbered from 0 in their order."""
+    seen = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("node"), F.col(c).cast("string").alias("state")) for c in columns])).alias("s")).select("s.*").where("state IS NOT NULL").distinct()
+    return seen.withColumn("code", F.row_number().over(Window.partitionBy("node").orderBy("state")) - 1)
+
+
+def table_queries(targets: DataFrame, pools: DataFrame, domain: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """``targets`` (``query_id, target, strategy``) with ``evidence``: a map from names to states, drawn by hash.
+
+    ``pools`` are rows of ``strategy, target, member``. From 0 to ``most`` members (all, if fewer) of a query's pool are
+    evidence, each in a state of the ``domain`` (``node, state, code``), every state alike likely. A target without a
+    pool, and a member that the domain does not have, give no evidence.
+    """
+    k = F.floor(uniform(seed, "query_id", F.lit("k")) * (most + 1))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(uniform(seed, "query_id", "member"), "member"))
+    sizes = domain.groupBy(F.col("node").alias("member")).agg(F.count("*").alias("_states"))
+    picked = targets.select("query_id", "target", "strategy", k.alias("_k")).join(pools, ["strategy", "target"]).join(sizes, "member").withColumn("_r", place).where("_r <= _k")
+    picked = picked.withColumn("code", F.floor(uniform(seed, "query_id", "member", F.lit("value")) * F.col("_states")).cast("int"))
+    stated = picked.join(domain.withColumnRenamed("node", "member"), ["member", "code"])
+    maps = stated.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("member", "state")))).alias("evidence"))
+    return targets.join(maps, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.create_map().cast("map<string,string>")))

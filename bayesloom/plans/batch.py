@@ -118,3 +118,28 @@ class AnswerCache:
         known = self._read(spark, "questions", like.select("_key"))
         answers = self._read(spark, "answers", like).join(known, ["_key", "call"]).drop("call", "target")
         return rows.select("query_id", "target", "_key").join(answers, "_key").drop("_key")
+
+
+def ground_truth(model: BeliefModel, queries: DataFrame, domain: DataFrame) -> DataFrame:
+    """``query_id, target, probs, reason``: exact answers as arrays in the order of the target's state codes.
+
+    ``domain`` has ``node, state, code``. A state that an answer lacks has probability 0. A query whose target, or a piece of whose
+    evidence, the domain does not have, or whose evidence is impossible, has null ``probs`` and a ``reason``.
+    """
+    rows = kept(normalised(queries))
+    known = domain.select(F.col("node").alias("_n"), F.col("state").alias("_s"))
+    given = rows.select("query_id", F.explode(F.map_entries("evidence")).alias("e")).select("query_id", F.col("e.key").alias("_n"), F.col("e.value").alias("_s"))
+    odd = given.join(known, ["_n", "_s"], "left_anti").select("query_id").distinct().withColumn("_odd", F.lit("evidence outside the domain"))
+    targets = domain.select(F.col("node").alias("target")).distinct().withColumn("_there", F.lit(True))
+    marked = kept(rows.join(odd, "query_id", "left").join(targets, "target", "left").withColumn("reason", F.when(F.col("_there").isNull(), "target outside the domain").otherwise(F.col("_odd"))))
+    before = model.inference
+    try:
+        model.set_inference_method("variable_elimination")
+        answers = infer_batch(model, marked.where("reason IS NULL").select("query_id", "target", "evidence", "do"))
+    finally:
+        model.inference = before
+    cells = marked.where("reason IS NULL").select("query_id", "target").join(domain.select(F.col("node").alias("target"), F.col("state").alias("value"), "code"), "target")
+    full = cells.join(answers.select("query_id", "value", "weight"), ["query_id", "value"], "left").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", F.coalesce("weight", F.lit(0.0)).alias("w")))), lambda x: x["w"]).alias("probs"), F.count("weight").alias("_some"))
+    out = marked.select("query_id", "target", "reason").join(full, "query_id", "left")
+    impossible = F.col("reason").isNull() & (F.coalesce("_some", F.lit(0)) == 0)
+    return out.select("query_id", "target", F.when(~impossible, F.col("probs")).alias("probs"), F.when(impossible, "impossible evidence").otherwise(F.col("reason")).alias("reason"))

@@ -389,3 +389,17 @@ def test_labels_of_bins(spark):
 
     rows = spark.createDataFrame([([0.0, 1.5, 12345.678, 2e6],), ([1.0],), (None,)], "e array<double>")
     assert [r[0] for r in rows.select(summary.bin_labels(F.col("e"))).collect()] == [["[0, 1.5]", "(1.5, 12350]", "(12350, 2000000]"], None, None]
+
+
+def test_exact_answers_and_reasons(spark):
+    from bayesloom.operators import workload
+    from bayesloom.plans.batch import ground_truth
+
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y")], "u string, c string")
+    m = BeliefModel({"u": [], "c": ["u"]}).set_learning_method(nodes_cpds={v: {"cpd": "categorical_table", "smoothing": "mle"} for v in "uc"}).fit(df)
+    domain = workload.domain_of(df.unionByName(spark.createDataFrame([("never", None)], "u string, c string")), ["u", "c"])
+    rows = [(1, "c", {"u": "a"}, None), (2, "u", {"c": "y"}, None), (3, "c", {"u": "zzz"}, None), (4, "other", {}, None), (5, "c", {"u": "never"}, None), (6, "u", None, None)]
+    got = {r.query_id: (r.probs and [round(x, 6) for x in r.probs], r.reason) for r in ground_truth(m, ask(spark, rows), domain).collect()}
+    assert got[1] == ([0.666667, 0.333333], None) and got[2] == ([0.5, 0.5, 0.0], None) and got[6] == ([0.75, 0.25, 0.0], None)
+    assert got[3] == (None, "evidence outside the domain") and got[4] == (None, "target outside the domain") and got[5] == (None, "impossible evidence")
+    assert m.inference[0] == "likelihood_weighting"
