@@ -55,6 +55,23 @@ def test_diverse_selection(spark, contexts):
     assert selection.diverse(rows.limit(0), "p", "c", "ctx", spark.createDataFrame([("p1", 3)], "p string, take int")).count() == 0
 
 
+def test_diverse_selection_of_the_table(spark):
+    """The registered query over its whole tables."""
+    import pandas as pd
+
+    from bayesloom import catalog, catalog_models  # noqa: F401
+
+    sf = "/root/testdata/sf0.01"
+    li, s = pd.read_parquet(f"{sf}/lineitem.parquet"), pd.read_parquet(f"{sf}/supplier.parquet")
+    parts = li.groupby("l_suppkey").l_partkey.agg(set)
+    got = {}
+    for r in catalog.QUERIES["k02_diverse_selection"](spark, sf).collect():
+        got.setdefault(r.problem, {})[r.place] = r.candidate
+    for nation, g in s.groupby("s_nationkey"):
+        want = plain_diverse(nation, {k: parts.get(k, set()) for k in g.s_suppkey}, 8)
+        assert [got[nation][i] for i in sorted(got[nation])] == want
+
+
 def test_allocation_spills_over(spark, contexts):
     rng = random.Random(7)
     rows = [(p, g, c, sorted(s)) for p, cs in contexts.items() for c, s in cs.items() for g in ("a", "b", "div") if g == "div" or rng.random() < 0.3]
