@@ -32,7 +32,7 @@ def test_frequencies_and_densities(spark):
     assert probs == pytest.approx({0: 0.7 * 2 / 3 + 0.1, 1: 0.1, 2: 0.7 / 3 + 0.1})
     grid = values(spark, np.linspace(-0.05, 2.05, 2101)).withColumn("e", F.array(F.lit(0.0), F.lit(0.5), F.lit(2.0)))
     mass = F.when(F.col("x") < 0.5, 0.3).otherwise(0.7)
-    for within in binned.WITHIN:
+    for within in ("uniform", "triangular"):  # a gaussian reaches over the edges, see test_stored
         total = grid.agg(F.sum(F.exp(binned.log_density(F.col("x"), F.col("e"), mass, within))) * 0.001).first()[0]
         assert total == pytest.approx(1, abs=0.01)
     clipped = values(spark, [9.0]).withColumn("e", F.array(F.lit(0.0), F.lit(0.5), F.lit(2.0)))
