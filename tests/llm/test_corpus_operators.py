@@ -352,4 +352,4 @@ def test_pipeline(spark, sf):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
