@@ -13,7 +13,7 @@ The models count all training labels' texts, and the shared continuations those
 documents, in tables of grams built by Spark. Only the calibration is fitted to at most
 ``per_class`` labelled texts of each class, chosen by hash and weighed so that the classes keep
 their shares of all training labels. Every text is scored whole, in pieces of bounded size that
-carry their context along, by the grams' evidence: broadcast if small, joined if not.
+carry their context along, by the grams' evidence: broadcast at once if small, in pieces if not.
 
 Cases: null or empty text has no evidence and gets the score of none; a text shorter than a
 passage is one; without labels of both classes every score is 0; repeated or null ids are scored
@@ -24,17 +24,18 @@ gives no rows. Other columns are ignored (``scored`` passes them on).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, cut, released
+from .common import as_bytes, ceil_div, chunks_by_bytes, cut, released
 
 #: Symbols in a gram, discount, weight of the shared backoff in a class's contexts, calibration texts of each class.
 ORDER, DISCOUNT, STRENGTH, PER_CLASS = 6, 0.75, 10.0, 3000
@@ -43,8 +44,9 @@ CROSSING = 2
 #: Symbols of the passages whose likelihoods are compared, bytes looked at at once, grams looked at before they are
 #: counted, and held before they are handed on.
 PASSAGES, PIECE, NEW, HELD = (8, 24), 1 << 18, 1 << 19, 1 << 21
-#: Evidence of up to so many grams, and so many labels, are broadcast; more are joined.
-BROADCAST_GRAMS = 2_000_000
+#: Evidence of up to so many grams is broadcast at once, more in pieces of so many (``LEAST`` at least), which each stretch
+#: of so many bytes of text looks into. Up to so many labels are broadcast; more are joined.
+BROADCAST_GRAMS, LEAST, STRETCH = 2_000_000, 1 << 16, 1 << 22
 #: Grams of less evidence than this say nothing and are not kept.
 SILENT = 0.02
 SPACE = np.zeros(256, bool)
@@ -224,10 +226,10 @@ def passages(evidence: np.ndarray, width: int) -> float:
     return float((total[width:] - total[:-width]).max() / width)
 
 
-def text_features(text: bytes, table: Table) -> list[float]:
-    """Length-normalised differences of the log-likelihoods: of the whole text, and of its likeliest passage of each width."""
+def features_of(pieces: Iterable[np.ndarray], table: Table) -> list[float]:
+    """Length-normalised differences of the log-likelihoods: of a whole text, and of its likeliest passage of each width."""
     n, total, best, tail = 0, 0.0, [-math.inf] * len(PASSAGES), np.zeros(0, np.float32)
-    for grams in text_grams(text):
+    for grams in pieces:
         e = table(grams)
         n, total = n + len(e), total + float(e.sum(dtype=np.float64))
         run = np.concatenate((tail, e))  # passages may begin in the piece before
@@ -236,63 +238,93 @@ def text_features(text: bytes, table: Table) -> list[float]:
     return [total / n, *best] if n else [0.0] * (1 + len(PASSAGES))
 
 
+def text_features(text: bytes, table: Table) -> list[float]:
+    return features_of(text_grams(text), table)
+
+
 FEATURES = ("_of_all", *[f"_of_{w}" for w in PASSAGES])
 
 
 def with_features(docs: DataFrame, evidence: DataFrame, model: str, most: int = BROADCAST_GRAMS) -> DataFrame:
-    """``docs`` with ``FEATURES``: by a broadcast of up to ``most`` grams' evidence, or by joins if there are more."""
-    evidence = evidence.select("gram", F.col(model).alias("e"))
-    return _broadcast_features(docs, evidence) if evidence.count() <= most else _joined_features(docs, evidence)
+    """``docs`` with ``FEATURES``: by one broadcast of up to ``most`` grams' evidence, or by several, if there are more. The results are the same."""
+    evidence, count = evidence.select("gram", F.col(model).cast("float").alias("e")), evidence.count()
+    return _broadcast_features(docs, evidence) if count <= most else _pieced_features(docs, evidence, ceil_div(count, max(most, LEAST)))
+
+
+def _shipped(evidence: DataFrame) -> Broadcast:
+    """A piece of the evidence, by gram."""
+    got = evidence.toArrow()  # about ``most`` rows
+    grams, e = got.column("gram").to_numpy(), got.column("e").to_numpy()
+    order = np.argsort(grams)
+    return evidence.sparkSession.sparkContext.broadcast((grams[order], e[order]))
 
 
 def _broadcast_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    got = evidence.toArrow()  # at most ``most`` rows
-    shipped, at = docs.sparkSession.sparkContext.broadcast((got.column("gram").to_numpy(), got.column("e").to_numpy())), docs.columns.index("text")
+    shipped, at = _shipped(evidence), docs.columns.index("text")
 
     @released
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*shipped.value)
         for batch in batches:
             parts = (batch.column(at).slice(k, 500) for k in range(0, batch.num_rows, 500))
-            x = np.array([text_features(t, table) for part in parts for t in as_bytes(part)]).reshape(-1, len(FEATURES))
-            for name, column in zip(FEATURES, x.T, strict=True):
-                batch = batch.append_column(name, pa.array(column))
-            yield batch
+            yield _with_columns(batch, [text_features(t, table) for part in parts for t in as_bytes(part)])
+
+    return docs.mapInArrow(task, _with_feature_fields(docs))
+
 
-    return docs.mapInArrow(task, StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in FEATURES]]))
+def _with_columns(batch: pa.RecordBatch, rows: list[list[float]]) -> pa.RecordBatch:
+    for name, column in zip(FEATURES, np.array(rows).reshape(-1, len(FEATURES)).T, strict=True):
+        batch = batch.append_column(name, pa.array(column))
+    return batch
 
 
-def _joined_features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Each row's symbols meet the grams' evidence by a join; sums and passages are made where a row's pieces meet."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _with_feature_fields(docs: DataFrame) -> StructType:
+    return StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in FEATURES]])
+
+
+def distinct(grams: list[np.ndarray]) -> np.ndarray:
+    g = np.sort(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+    return g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g
+
+
+def _pieced_features(docs: DataFrame, evidence: DataFrame, pieces: int) -> DataFrame:
+    """Texts stay where they lie. Those of a stretch of rows look their distinct grams up in each piece of the evidence, and are scored by what they found.
+
+    Neither a symbol nor a text is shuffled. A piece at a time passes the driver; a worker holds them as sorted arrays, 12 bytes a gram.
+    """
+    piece, at = F.pmod(F.xxhash64("gram"), F.lit(pieces)), docs.columns.index("text")
+    shipped = [_shipped(evidence.where(piece == k)) for k in range(pieces)]
+
+    def table_of(own: np.ndarray) -> Table:
+        said = np.zeros(len(own), np.float32)
+        for x in shipped:
+            grams, e = x.value
+            if len(grams):
+                where = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                hit = grams[where] == own
+                said[hit] = e[where[hit]]
+        return Table(own[said != 0], said[said != 0])
+
+    def scored_stretch(texts: list[bytes]) -> list[list[float]]:
+        if len(texts) == 1:  # perhaps a very long one: its grams are made twice, and never held all at once
+            held: list[np.ndarray] = []
+            for grams in text_grams(texts[0]):
+                held.append(grams)
+                if sum(map(len, held)) > STRETCH:
+                    held = [distinct(held)]
+            table = table_of(distinct(held))
+            return [text_features(texts[0], table)]
+        grams = [list(text_grams(t)) for t in texts]
+        table = table_of(distinct([g for own in grams for g in own]))
+        return [features_of(own, table) for own in grams]
 
     @released
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                place = 0
-                for grams in text_grams(text):
-                    for k in range(0, len(grams), 1 << 16):
-                        part = grams[k : k + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row)), pa.array(np.arange(place, place + len(part))), pa.array(part)], names=["_row", "place", "gram"])
-                        place += len(part)
-
-    said = keyed.select("_row", "text").mapInArrow(grams_of, "_row long, place long, gram long")
-    at = said.join(evidence, "gram", "left").select("_row", "place", F.coalesce("e", F.lit(0.0)).alias("e"))
-    stretch = max(PASSAGES)
-    # a stretch of symbols goes with the one before it, so that each passage lies within one group
-    part = F.floor(F.col("place") / stretch)
-    near = at.select("_row", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"), "place", "e")
-    runs = near.groupBy("_row", "part").agg(F.sort_array(F.collect_list(F.struct("place", "e"))).alias("run"), F.sum(F.when(F.col("own") == F.col("part"), F.col("e"))).alias("sum"), F.count_if(F.col("own") == F.col("part")).alias("n"))
-
-    def best(width: int) -> Column:
-        sums = F.aggregate("run", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["e"])))
-        means = F.zip_with(F.slice(sums, width + 1, 2 * stretch + 1), F.slice(sums, F.lit(1), F.greatest(F.size(sums) - width, F.lit(0))), lambda hi, lo: (hi - lo) / width)
-        return F.when(F.size("run") >= width, F.array_max(means))
-
-    x = runs.groupBy("_row").agg((F.sum("sum") / F.sum("n")).alias(FEATURES[0]), *[F.max(best(w)).alias(f) for w, f in zip(PASSAGES, FEATURES[1:], strict=True)])
-    x = x.select("_row", FEATURES[0], *[F.coalesce(f, FEATURES[0]).alias(f) for f in FEATURES[1:]])
-    return keyed.join(x, "_row", "left").fillna(0.0, [*FEATURES]).select(*docs.columns, *FEATURES)
+            texts = as_bytes(batch.column(at))
+            yield _with_columns(batch, [x for i, j in chunks_by_bytes(texts, STRETCH) for x in scored_stretch(texts[i:j])])
+
+    return docs.mapInArrow(task, _with_feature_fields(docs))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 0.001) -> np.ndarray:
