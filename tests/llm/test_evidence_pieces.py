@@ -1,5 +1,7 @@
 """Evidence of more grams than one broadcast holds."""
 
+import random
+
 import numpy as np
 
 from bayesloom.llm import toxicity
@@ -25,3 +27,21 @@ def test_pieces_of_evidence_give_the_same_features_and_move_no_symbols(spark, mo
         pieced = toxicity.with_features(docs, evidence, "whole", most)
         assert shuffles(pieced) == 0  # before, each symbol was a row of a join and of two groupings
         assert {r.doc_id: r for r in pieced.collect()} == whole
+
+
+def test_pipeline_drops_the_same_toxic_documents_by_pieces(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    said = lambda k: " ".join(rng.choice(["ba", "ke", "lo"]) + rng.choice(["no", "ra", "ti"]) for _ in range(k))
+    docs = spark.createDataFrame([(i, said(12) + (" grumpfing " + said(2) if i % 4 == 0 else "")) for i in range(400)], "doc_id long, text string")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    fit, monkeypatched = toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda d, known: monkeypatched.append(1) or fit(d, known, most=50))
+    monkeypatch.setattr(toxicity, "LEAST", 50)
+    pieced = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert monkeypatched and shuffles(pieced) == 0
+    assert {r.doc_id for r in pieced.collect()} == kept and 290 <= len(kept) <= 310
