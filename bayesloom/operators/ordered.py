@@ -128,3 +128,32 @@ def within(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str
     probes = points.where(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_cell", F.floor(F.col(at).cast("double") / size(F.col("_level"))))
     met = probes.join(spread, ["_level", "_cell", *([key] if key else [])])
     return met.where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("_level", "_cell")
+
+
+def totals_within(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, value: str, key: str | None = None, ranges: int | None = None) -> DataFrame:
+    """``intervals`` with ``n`` and ``total``: how many points (of its ``key``, if given) have ``low <= at < high``, and the sum of their ``value``.
+
+    Totals up to an interval's high end less those up to its low end, so that no pair of a point and an interval is made.
+    Ends and points, counted by place, lie in ranges of their order (equal ends share one); what one range carries into the next
+    is a row for each of its keys. Sums are exact decimals of ten places: values must be finite, and null ones add nothing.
+    Intervals that hold no point, or are empty, null or not finite, are left out, as by ``within``.
+    """
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    usable = (length > 0) & (length < float("inf")) & ~F.isnan(length)
+    number, k = "decimal(38,10)", F.col(key) if key else F.lit(0)
+    rows = kept(intervals.where(usable).withColumn("_id", F.monotonically_increasing_id()))
+    none = F.lit(0).cast("long"), F.lit(0).cast(number)
+    # at equal places ends come first: a point there belongs to the interval that begins, and not to the one that closes
+    ends = F.inline(F.array(*[F.struct(F.col(c).cast("double").alias("_x"), F.lit(sign).alias("_sign")) for c, sign in ((low, -1), (high, 1))]))
+    ends = rows.select(k.alias("_k"), "_id", ends).select("_k", "_x", F.lit(0).alias("_side"), "_id", "_sign", none[0].alias("_n"), none[1].alias("_v"))
+    own = points.where(F.abs(F.col(at).cast("double")) < float("inf")).groupBy(k.alias("_k"), F.col(at).cast("double").alias("_x")).agg(F.count("*").alias("_n"), F.coalesce(F.sum(F.col(value).cast(number)).cast(number), none[1]).alias("_v"))
+    own = own.select("_k", "_x", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast("int").alias("_sign"), "_n", "_v")
+    dealt = ranged(ends.unionByName(own).where("_k is not null"), ["_k", "_x", "_side"], ranges)
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and key
+    carried = dealt.groupBy("_part", "_k").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+    carried = carried.select("_part", "_k", F.coalesce(F.sum("_n").over(before), none[0]).alias("_n0"), F.coalesce(F.sum("_v").over(before).cast(number), none[1]).alias("_v0"))
+    here = Window.partitionBy("_part", "_k").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = dealt.select("_part", "_k", "_id", "_sign", F.sum("_n").over(here).alias("_n"), F.sum("_v").over(here).cast(number).alias("_v")).where("_id is not null")
+    upto = upto.join(carried, ["_part", "_k"]).select("_id", (F.col("_sign") * (F.col("_n") + F.col("_n0"))).alias("n"), (F.col("_sign") * (F.col("_v") + F.col("_v0"))).cast(number).alias("v"))
+    found = upto.groupBy("_id").agg(F.sum("n").alias("n"), F.sum("v").cast("double").alias("total")).where("n > 0")
+    return rows.join(found, "_id").drop("_id")
