@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Bytes of words and ids that a worker remembers before it forgets the older half.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 #: What an entry takes besides its bytes.
 ENTRY = 170
 
@@ -25,11 +25,14 @@ class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``tokenizer.encode``.
 
     The tokenizer drops white space and none of its pieces crosses it, so a text's ids are its
-    words' ids one after another. Words of Latin letters with at most one mark of punctuation
-    behind go straight to the tokenizer's BPE model; every other word goes through ``encode``.
+    words' ids one after another. Words of Latin letters, with marks of punctuation behind or not,
+    go straight to the tokenizer's BPE model; every other word goes through ``encode``. A word's
+    other forms (capitals, marks behind) are remembered from the second time on that any of them
+    occurs, so that words which occur once take one entry.
     """
 
-    MARKS = frozenset(".,;:|!?")
+    #: ASCII punctuation that is one piece of the pre-tokenizer's behind letters, alone or together; an apostrophe may begin an ending.
+    MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,7 +46,7 @@ class WordIds:
         plain = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha() and c != 0x130]
         self.bytes_of = {c.lower(): "".join(x for x, _ in before.pre_tokenize_str(c.lower())) for c in plain if len(c.lower()) == 1 and ord(c.lower()) < 0x180}
         self.letters = set(plain) & {c for c in plain if c.lower() in self.bytes_of}
-        self.marks = {c: self._encode(c) for c in self.MARKS}
+        self.marks: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return as_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -55,22 +58,39 @@ class WordIds:
         self.young[word] = ids
         return ids
 
-    def _letters(self, word: str) -> bytes:
-        key = word.encode()
-        if (ids := self.young.get(key)) is None and (ids := self.old.get(key)) is None:
-            made = "".join(map(self.bytes_of.__getitem__, word))
-            ids = self._keep(key, as_ids([t.id for t in self.tokenizer.model.tokenize(made)]))
+    def _behind(self, marks: bytes) -> bytes:
+        if (ids := self.marks.get(marks)) is None:
+            ids = self._encode(marks.decode())
+            if len(self.marks) < 10_000 and len(marks) < 100:
+                self.marks[marks] = ids
         return ids
 
+    def _lowered(self, body: bytes) -> bytes | None:
+        """The lower-cased body, if it has nothing but known letters."""
+        if body.isalpha():  # ASCII
+            return body.lower()
+        text = body.decode()
+        return text.lower().encode() if text and self.letters.issuperset(text) else None
+
     def _word(self, word: bytes) -> bytes:
-        if (ids := self.old.get(word)) is None:
-            text = word.decode()
-            body, mark = (text[:-1], text[-1]) if text[-1] in self.MARKS else (text, "")
-            if body and self.letters.issuperset(body):
-                ids = self._letters(body.lower()) + (self.marks[mark] if mark else b"")
-            else:
-                ids = self._encode(text)
-        return self._keep(word, ids) if word not in self.young else ids
+        if (ids := self.old.get(word)) is not None:
+            return self._keep(word, ids)
+        body = word.rstrip(self.MARKS)
+        key = self._lowered(body)
+        if key is None:
+            return self._keep(word, self._encode(word.decode()))
+        if (ids := self.young.get(key)) is None:
+            known = (ids := self.old.get(key)) is not None
+            if not known:
+                made = key.decode()
+                made = made if made.isascii() else "".join(map(self.bytes_of.__getitem__, made))
+                ids = as_ids([t.id for t in self.tokenizer.model.tokenize(made)])
+            self._keep(key, ids)
+            if not known:
+                return ids + self._behind(word[len(body) :]) if len(body) < len(word) else ids
+        if len(body) < len(word):
+            ids += self._behind(word[len(body) :])
+        return self._keep(word, ids) if word != key else ids
 
     def __call__(self, text: bytes) -> bytes:
         get, words = self.young.get, text.split()
