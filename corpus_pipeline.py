@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bayesloom.llm import minhash, mixing, packing, personal, queries, toxicity
-from bayesloom.llm.common import with_row_key
+from bayesloom.llm.common import cut_freed, if_few, with_row_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies (shingles of five words, similarity of 0.8 or more)."""
     rows = with_row_key(docs, "_row_key")
     found = minhash.near_duplicates(rows.select(F.col("_row_key").alias("doc_id"), "text"), width=5, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_row_key"))
-    return rows.join(gone, "_row_key", "left_anti").select(*docs.columns)
+    gone = cut_freed(found.where("not kept").select(F.col("doc_id").alias("_row_key")))
+    return rows.join(if_few(gone), "_row_key", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
